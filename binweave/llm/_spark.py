@@ -42,3 +42,10 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str, buckets:
     ranked = cut.withColumn("_local", local)
     joined = ranked.join(totals, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
     return joined.withColumn(name, (F.col("_local") + F.col("_base")).cast("long")).drop("_bucket", "_group", "_at", "_base", "_local")
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most so many rows in this session: whole texts are long, and both sides hold a batch at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

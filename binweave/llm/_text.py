@@ -155,3 +155,58 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
+
+
+class HashMap:
+    """64-bit hashes to float32 values in open addressing; look up a whole array at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.zeros(size, U), np.zeros(size, np.float32)
+        keys = np.where(keys == 0, U(1), keys)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            self.keys[slot[left[free]]] = keys[left[free]]  # of several for one slot the last one stays
+            done = self.keys[slot[left]] == keys[left]
+            self.values[slot[left[done]]] = values[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: float = np.nan) -> np.ndarray:
+        keys = np.where(keys == 0, U(1), keys)
+        out, slot, left = np.full(len(keys), default, np.float32), self._slot(keys), np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (held != 0)]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        return out
+
+
+_EDGE = np.zeros(256, bool)
+_EDGE[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges without up to `most` ASCII punctuation marks at either end; at least one byte stays."""
+    starts, ends = starts.copy(), ends.copy()
+    for _ in range(most):
+        ends -= (ends - starts > 1) & _EDGE[data[ends - 1]]
+        starts += (ends - starts > 1) & _EDGE[data[starts]]
+    return starts, ends
+
+
+def term_hashes(data: np.ndarray, offsets: np.ndarray):
+    """Hashes of lower-cased words without punctuation at the ends, and the word offsets of every text."""
+    data = _LOWER[data]
+    starts, ends, at = words(data, offsets)
+    if not len(starts):
+        return np.zeros(0, U), at
+    starts, ends = trimmed(data, starts, ends)
+    return range_hash(prefix(_BYTE[data]), starts, ends), at

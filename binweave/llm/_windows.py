@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import shuffle_partitions
+from ._spark import shuffle_partitions, small_batches
 from ._text import _BYTE, mix64, pack, prefix, range_hash, slices, spread, unpack, utf8, word_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 
 
@@ -92,7 +92,8 @@ def find_anchors(spec: Windows, sym: np.ndarray, at: np.ndarray):
     text = np.searchsorted(at, start, "right") - 1
     lo, hi = np.maximum(place - spec.left, at[text]), np.minimum(place + length, at[text + 1])
     shape = ((place - lo) * (length + 1) + (hi - place)).astype(np.uint64)
-    return start, count, place, text, grams[place], mix64(range_hash(pre, lo, hi) + shape)
+    # anchors have small hashes; hashed once more they spread evenly over the buckets
+    return start, count, place, text, mix64(grams[place] + np.uint64(1)), mix64(range_hash(pre, lo, hi) + shape)
 
 
 def _anchor_blocks(spec: Windows, buckets: int):
@@ -130,7 +131,7 @@ def _anchor_blocks(spec: Windows, buckets: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             key, crc = batch.column("key").to_numpy(zero_copy_only=False), batch.column("crc").to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 19):
                 sym, at = symbols(spec, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 start, count, place, text, gram, context = find_anchors(spec, sym, at)
                 held.append((gram, context, start - at[text], place - start, count, text + len(docs)))
@@ -145,16 +146,57 @@ def _anchor_blocks(spec: Windows, buckets: int):
     return run
 
 
-def _rows(found):
+def _document_blocks(groups: int):
+    """Rows (grp, block) of packed documents: key, crc, whether the id is null, text length, texts."""
+
+    def flush(held):
+        key, crc, null, size = (np.concatenate([h[i] for h in held]) for i in range(4))
+        data = np.concatenate([h[4] for h in held])
+        at = np.cumsum(size) - size
+        group = _group(key, crc, groups)
+        order = np.argsort(group, kind="stable")
+        cut = np.flatnonzero(np.diff(group[order], append=-1)) + 1
+        for a, b in zip(np.append(0, cut[:-1]), cut):
+            i = order[a:b]
+            yield int(group[i[0]]), pack(key[i], crc[i].astype(np.uint32), null[i].astype(np.uint8), size[i], data[spread(at[i], size[i])])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = utf8(batch.column("text"))
+            held.append((batch.column("key").to_numpy(zero_copy_only=False), batch.column("crc").to_numpy(zero_copy_only=False), np.asarray(batch.column("id").is_null()), np.diff(offsets), data))
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield from _rows(flush(held), "grp")
+                held, size = [], 0
+        if held:
+            yield from _rows(flush(held), "grp")
+
+    return run
+
+
+def _documents(table: pa.Table):
+    """(key, crc), whether the id is null, text bytes of every document of a group."""
+    for block in table.column("block").to_pylist():
+        key, crc, null, size, data = unpack(block)
+        raw, at = data.tobytes(), 0
+        for k, c, z, n in zip(key.tolist(), crc.tolist(), null.tolist(), size.tolist()):
+            yield (k, c), z, raw[at : at + n]
+            at += n
+
+
+def _rows(found, name: str = "slot"):
     slots, blocks = [], []
     for slot, block in found:
         slots.append(slot)
         blocks.append(block)
-    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(blocks, pa.binary())], ["slot", "block"])
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(blocks, pa.binary())], [name, "block"])
 
 
 def _group(key: np.ndarray, crc: np.ndarray, groups: int) -> np.ndarray:
-    """The same as group_of() on columns."""
+    """Group of a document."""
     return (key % groups + crc.astype(np.int64) % groups) % groups
 
 
@@ -223,37 +265,27 @@ def _resolve(spec: Windows, buckets: int):
     return run
 
 
-def _index(docs: pa.Table) -> dict:
-    """Rows of a group by (key, crc)."""
-    where: dict = {}
-    for i, k in enumerate(zip(docs.column("key").to_pylist(), docs.column("crc").to_pylist())):
-        where.setdefault(k, []).append(i)
-    return where
-
-
 def _contexts(spec: Windows):
     """Rows (gram, slot, key, crc, start, off, count, text) of the open anchors; text: the context's symbols, `before` of them left of the anchor."""
     schema = pa.schema([("lead", pa.binary()), ("context", pa.binary()), ("before", pa.int32()), ("key", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("off", pa.int32()), ("count", pa.int32())])
 
     def run(_, docs, found):
-        where, cols = _index(docs), [[] for _ in schema.names]
-        texts = docs.column("text")
+        cols: list[list] = [[] for _ in schema.names]
         held: dict = {}
         for block in found.column("block").to_pylist():
             key, crc, doc, *rest = unpack(block)
-            cuts = np.flatnonzero(np.diff(doc, append=-1)) + 1
             order = np.argsort(doc, kind="stable")
             doc, rest = doc[order], [x[order] for x in rest]
             cuts = np.flatnonzero(np.diff(doc.astype(np.int64), append=-1)) + 1
             for a, b in zip(np.append(0, cuts[:-1]), cuts):
                 held.setdefault((int(key[doc[a]]), int(crc[doc[a]])), []).append([x[a:b] for x in rest])
-        for k, parts in held.items():
+        for k, _, text in _documents(docs):
+            if (parts := held.pop(k, None)) is None:  # a row like one before needs no second look
+                continue
             start, off, count, _, _ = (np.concatenate(x) for x in zip(*parts))
-            data, offsets = utf8(texts.slice(where[k][0], 1))
+            sym = np.frombuffer(text, np.uint8)
             if spec.by_word:
-                sym, _, _, _ = word_hashes(data, offsets)
-            else:
-                sym = data
+                sym, _, _, _ = word_hashes(sym, np.array([0, len(sym)]))
             place = start.astype(np.int64) + off
             lo, hi = np.maximum(place - spec.left, 0), np.minimum(place + spec.length, len(sym))
             wide = sym.dtype.itemsize
@@ -302,8 +334,10 @@ def _gather(apply: Callable):
             cuts = np.flatnonzero(np.diff(doc.astype(np.int64), append=-1)) + 1
             for a, b in zip(np.append(0, cuts[:-1]), cuts) if len(doc) else ():
                 held.setdefault((int(key[doc[a]]), int(crc[doc[a]])), []).append((start[a:b], size[a:b]))
-        spans = []
-        for k in zip(docs.column("key").to_pylist(), docs.column("crc").to_pylist()):
+        ids, texts, spans = [], [], []
+        for k, null, text in _documents(docs):
+            ids.append(None if null else k[0])
+            texts.append(text)
             parts = held.get(k)
             if not parts:
                 spans.append(np.zeros((0, 2), np.int64))
@@ -315,21 +349,21 @@ def _gather(apply: Callable):
             new[1:] = start[1:] > end[:-1]
             first = np.flatnonzero(new)
             spans.append(np.stack([start[first], np.append(end[first[1:] - 1], end[-1])], 1))
-        return apply(docs, spans)
+        return apply(ids, texts, spans)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, spec: Windows, compare: Callable[[DataFrame, int], DataFrame], apply: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
-    """`compare` turns open contexts into span blocks; `apply` gets documents (id, text) and their spans and returns a table of `schema`."""
+    """`compare` turns open contexts into span blocks; `apply` gets ids, texts (bytes) and spans of documents and returns a table of `schema`."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(shuffle_partitions(docs.sparkSession), total // BLOCK_BYTES + 1)
     own = own.withColumn("key", F.coalesce("id", F.lit(LAST))).withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    own = own.withColumn("grp", F.pmod(F.pmod("key", F.lit(groups)) + F.pmod("crc", F.lit(groups)), F.lit(groups)).cast("int"))
+    small_batches(docs.sparkSession)
     anchors = own.select("key", "crc", "text").mapInArrow(_anchor_blocks(spec, groups), "slot int, block binary")
     resolved = anchors.groupBy("slot").applyInArrow(_resolve(spec, groups), "kind int, grp int, block binary")
-    by_group = own.groupBy("grp")
+    by_group = own.mapInArrow(_document_blocks(groups), "grp int, block binary").groupBy("grp")
     context_schema = "lead binary, context binary, before int, key long, crc long, start int, off int, count int"
     contexts = by_group.cogroup(resolved.where("kind = 1").groupBy("grp")).applyInArrow(_contexts(spec), context_schema)
     spans = resolved.where("kind = 0").unionByName(compare(contexts, groups))

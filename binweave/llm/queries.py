@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rlz_dedup, sharding, suffix_dedup
+from . import mixing, quality, rlz_dedup, sharding, suffix_dedup
 from ._spark import read
 
 
@@ -24,6 +24,12 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under a model of labelled good text, and whether it is kept."""
+    out = quality.classify(read(spark, folder, "documents").select("doc_id", "text", "lang"), read(spark, folder, "labels"))
+    return out.drop("text")
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Sources weigh 1, 2, 3, repeating; no target above three times its source."""
     out = mixing.mix(read(spark, folder, "documents").select("doc_id", "text", "source"))
@@ -38,7 +44,7 @@ def op8_rlz_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op5_suffix_dedup, op7_source_mixing, op8_rlz_dedup)}
+    return {f.__name__: f for f in (op1_kd_sharding, op5_suffix_dedup, op6_kneser_ney_quality, op7_source_mixing, op8_rlz_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

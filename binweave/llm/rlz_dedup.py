@@ -83,13 +83,13 @@ def drop_repeated_words(docs: DataFrame, length: int = 13, k: int = 5, id_col: s
     def compare(contexts: DataFrame, groups: int) -> DataFrame:
         return contexts.repartition(groups, F.col("lead")).mapInArrow(_factor_block(spec, groups), "kind int, grp int, block binary")
 
-    def apply(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
+    def apply(ids: list, texts: list[bytes], spans: list[np.ndarray]) -> pa.Table:
         sizes, kept = [], []
-        for text, cut in zip(table.column("text"), spans):
-            own = (text.as_py() or "").encode().split()
+        for text, cut in zip(texts, spans):
+            own = text.split()
             sizes.append(len(own))
             kept.append(b" ".join(w for a, b in zip([0, *cut[:, 1]], [*cut[:, 0], len(own)]) for w in own[a:b]).decode())
         pairs = pa.array([[{"start": int(a), "end": int(b)} for a, b in cut] for cut in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.table([table.column("id"), pa.array(sizes, pa.int64()), pairs, pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pairs, pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
 
     return remove_repeats(docs, spec, compare, apply, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string", id_col, text_col)

@@ -116,13 +116,9 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 50, k: int = 20, id_col:
         dealt = contexts.repartitionByRange(groups, F.col("lead"))
         return dealt.mapInArrow(_compare_bucket(spec, groups), "kind int, grp int, block binary")
 
-    def apply(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
-        sizes, kept = [], []
-        for text, cut in zip(table.column("text"), spans):
-            raw = (text.as_py() or "").encode()
-            sizes.append(len(raw))
-            kept.append(b"".join(raw[a:b] for a, b in zip([0, *cut[:, 1]], [*cut[:, 0], len(raw)])))
+    def apply(ids: list, texts: list[bytes], spans: list[np.ndarray]) -> pa.Table:
+        kept = [b"".join(raw[a:b] for a, b in zip([0, *cut[:, 1]], [*cut[:, 0], len(raw)])) for raw, cut in zip(texts, spans)]
         pairs = pa.array([[{"start": int(a), "end": int(b)} for a, b in cut] for cut in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.table([table.column("id"), pa.array(sizes, pa.int64()), pairs, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pairs, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return remove_repeats(docs, spec, compare, apply, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", id_col, text_col)
