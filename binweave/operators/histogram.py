@@ -1,0 +1,355 @@
+"""The histogram: axes on the driver, cells in a DataFrame (i0, i1, ..., state).
+
+Cells are sparse: a cell that isn't there has the accumulator's zero.  Every operation on a filled histogram is a
+projection of bin numbers followed by a merge of states, on a table as small as the number of cells.
+"""
+
+from __future__ import annotations
+
+from functools import reduce as fold
+from math import prod
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..plans.fill import as_column, axis_columns, fill_cells, keys
+from .accumulator import Accumulator, BigCount, Count, Fraction, Mean, WeightedMean, WeightedSum
+from .axis import Axis, Category, Integer, Regular
+from .reduce import Command, normalised, plan
+
+MAX_RANK = 32
+MAX_DENSE = 50_000_000
+
+
+def _moved(old: Axis, new: Axis, i: Column) -> Column:
+    """Bin numbers of an axis in the axis that it has grown or been merged into."""
+    if old == new:
+        return i
+    if isinstance(old, Category):
+        at = [new.values.index(v) for v in old.values]
+        inner = i if at == list(range(len(at))) else F.element_at(F.array(*map(F.lit, at or [0])), F.when((i >= 0) & (i < old.size), i + 1).otherwise(1))
+    else:
+        shift = old.low - new.low if isinstance(old, Regular) else old.start - new.start if isinstance(old, Integer) else new.edges.index(old.edges[0])
+        inner = i + shift
+    return F.when(i < 0, i).when(i >= old.size, F.lit(new.size)).otherwise(inner).cast("int")
+
+
+class Histogram:
+    def __init__(self, *axes: Axis, accumulator: Accumulator | None = None, cells: DataFrame | None = None):
+        if not 1 <= len(axes) <= MAX_RANK:
+            raise ValueError(f"a histogram has 1 to {MAX_RANK} axes")
+        self.axes, self.accumulator, self._cells = list(axes), accumulator or Count(), cells
+
+    # --- inspection
+
+    @property
+    def rank(self) -> int:
+        return len(self.axes)
+
+    @property
+    def size(self) -> int:
+        """Number of cells, flow bins included."""
+        return prod(a.extent for a in self.axes)
+
+    def axis(self, i: int = 0) -> Axis:
+        return self.axes[i]
+
+    @property
+    def keys(self) -> list[str]:
+        return keys(self.axes)
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(k, T.IntegerType()) for k in self.keys] + [T.StructField(c, T._parse_datatype_string(t)) for c, t in self.accumulator.state])
+
+    @property
+    def cells(self) -> DataFrame:
+        """Bin numbers and state of the cells that were touched."""
+        if self._cells is None:
+            session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+            return session.createDataFrame([], self.schema)
+        return self._cells
+
+    def _with(self, axes: list[Axis], cells: DataFrame | None, acc: Accumulator | None = None) -> Histogram:
+        return Histogram(*axes, accumulator=acc or self.accumulator, cells=cells)
+
+    def cached(self) -> Histogram:
+        """Keep the cells, so that several readings share one pass over the rows."""
+        return self._with(self.axes, self.cells.cache())
+
+    def reset(self) -> Histogram:
+        return self._with(self.axes, None)
+
+    # --- filling
+
+    def fill(self, df: DataFrame, *columns, weight=None, sample=None, order_by=None, shift: float | None = None, inner_only: bool = False) -> Histogram:
+        """This histogram after seeing the rows.  Columns are names, expressions or constants; a row without a cell is left out.
+
+        NULL in an axis column counts like NaN; rows with a NULL weight or sample are left out.
+        """
+        order = None if order_by is None else as_column(order_by)
+        sources = axis_columns(self.axes, list(columns))
+        axes = [a.grown(df, c[0], order) if a.growth else a for a, c in zip(self.axes, sources)]
+        acc = self.accumulator
+        if isinstance(acc, Count) and weight is not None:
+            acc = Count(real=True)
+        new = self._with(axes, fill_cells(df, axes, acc, list(columns), weight, sample, order, shift, inner_only), acc)
+        return new if self._cells is None else self._moved_to(axes)._merged_with(new)
+
+    def _moved_to(self, axes: list[Axis]) -> Histogram:
+        if axes == self.axes:
+            return self
+        moved = [_moved(a, b, F.col(k)).alias(k) for a, b, k in zip(self.axes, axes, self.keys)]
+        return self._with(axes, self.cells.select(*moved, *(c for c, _ in self.accumulator.state)))
+
+    def _regroup(self, axes: list[Axis], index: list[Column]) -> Histogram:
+        """Cells under new bin numbers (NULL: dropped), states of one number merged."""
+        names = keys(axes)
+        rows = self.cells.select(*(i.alias(n) for i, n in zip(index, names)), *(c for c, _ in self.accumulator.state)).na.drop(subset=names)
+        return self._with(axes, rows.groupBy(*names).agg(*self.accumulator.merge()))
+
+    # --- reading
+
+    def table(self, dense: bool = False) -> DataFrame:
+        """Bin numbers and results (value, variance, ...); with `dense` also for cells never touched."""
+        cells = self.dense() if dense else self.cells
+        return cells.select(*self.keys, *(c.alias(n) for n, c in self.accumulator.read().items()))
+
+    def dense(self) -> DataFrame:
+        """All cells, in any order; touched ones have their state, others zero."""
+        if self.size > MAX_DENSE:
+            raise OverflowError(f"{self.size} cells are too many to lay out")
+        grid, step, columns = self.cells.sparkSession.range(self.size), 1, []
+        for k, a in zip(self.keys, self.axes):  # the first axis runs fastest
+            columns.append((F.floor(F.col("id") / step) % a.extent + a.first).cast("int").alias(k))
+            step *= a.extent
+        grid = grid.select(*columns)
+        zero = self.accumulator.zero()
+        joined = grid.join(self.cells, self.keys, "left")
+        return joined.select(*self.keys, *(F.coalesce(F.col(c), zero[c]).alias(c) for c, _ in self.accumulator.state))
+
+    def ordered(self, df: DataFrame) -> DataFrame:
+        """In the order of iteration: the first axis runs fastest."""
+        return df.orderBy(*reversed(self.keys))
+
+    def _inner(self) -> Column:
+        return fold(Column.__and__, [a.inner(F.col(k)) for a, k in zip(self.axes, self.keys)])
+
+    def _checked(self, index: tuple) -> Column:
+        if len(index) != self.rank:
+            raise ValueError(f"{self.rank} axes need as many numbers, not {len(index)}")
+        for a, i in zip(self.axes, index):
+            if not a.first <= i < a.stop:
+                raise IndexError("no such cell")
+        return fold(Column.__and__, [F.col(k) == i for k, i in zip(self.keys, index)])
+
+    def at(self, *index: int) -> dict:
+        """Results of one cell."""
+        where = self._checked(index)
+        found = self.table().where(where).drop(*self.keys).first()
+        if found is None:
+            one = self.cells.sparkSession.range(1).select(*(c.alias(n) for n, c in self.accumulator.zero().items()))
+            found = one.select(*(c.alias(n) for n, c in self.accumulator.read().items())).first()
+        return found.asDict(recursive=True)
+
+    def __getitem__(self, index) -> dict:
+        return self.at(*(index if isinstance(index, tuple) else (index,)))
+
+    def with_cell(self, *index: int, **state) -> Histogram:
+        """The same with one cell's state replaced."""
+        where = self._checked(index)
+        row = self.cells.sparkSession.range(1).select(*(F.lit(i).cast("int").alias(k) for k, i in zip(self.keys, index)), *(F.lit(state.get(c, 0)).cast(t).alias(c) for c, t in self.accumulator.state))
+        return self._with(self.axes, self.cells.where(~where).unionByName(row))
+
+    def map_cells(self, **state: Column) -> Histogram:
+        """All cells, untouched ones too, with states computed from their old ones."""
+        cells = self.dense()
+        return self._with(self.axes, cells.select(*self.keys, *(state.get(c, F.col(c)).cast(t).alias(c) for c, t in self.accumulator.state)))
+
+    def edges(self, k: int) -> DataFrame:
+        """Bins of axis k, flow bins included: (i, lower, upper, center, width) or (i, bin)."""
+        a, session = self.axes[k], self.cells.sparkSession
+        if a.continuous:
+            rows = [(i, float(b.lower), float(b.upper), float(b.center), float(b.width)) for i in range(a.first, a.stop) for b in [a.bin(i)]]
+            return session.createDataFrame(rows, f"i{k} int, lower{k} double, upper{k} double, center{k} double, width{k} double")
+        rows = [(i, str(a.value(i)) if 0 <= i < a.size else None) for i in range(a.first, a.stop)]
+        return session.createDataFrame(rows, f"i{k} int, bin{k} string")
+
+    def indexed(self, coverage: str = "inner", ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+        """Cells in order with their bins; inner ones, all, or those in a rectangle [begin, end) per axis."""
+        out = self.table(dense=True)
+        if ranges is not None:
+            out = out.where(fold(Column.__and__, [(F.col(k) >= max(b, a.first)) & (F.col(k) < min(e, a.stop)) for k, a, (b, e) in zip(self.keys, self.axes, ranges)]))
+        elif coverage == "inner":
+            out = out.where(self._inner())
+        for k in range(self.rank):
+            out = out.join(F.broadcast(self.edges(k)), f"i{k}")  # as many rows as the axis has bins
+        return self.ordered(out)
+
+    def density(self, coverage: str = "inner") -> DataFrame:
+        """Value over the product of bin widths (1 for discrete axes)."""
+        out = self.indexed(coverage)
+        width = fold(Column.__mul__, [F.col(f"width{k}") if a.continuous else F.lit(1.0) for k, a in enumerate(self.axes)])
+        return out.withColumn("density", F.when(F.abs(width) == float("inf"), 0.0).otherwise(F.col("value") / F.when(width != 0, width)))
+
+    def cumulative(self, axis: int = 0) -> DataFrame:
+        """Running sum of the inner cells along an axis."""
+        rest = [k for i, k in enumerate(self.keys) if i != axis]
+        window = Window.partitionBy(*rest).orderBy(self.keys[axis]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self.table(dense=True).where(self._inner()).withColumn("cumulative", F.sum("value").over(window))
+
+    def top(self, n: int = 1, coverage: str = "inner", smallest: bool = False) -> DataFrame:
+        out = self.table(dense=True)
+        out = out.where(self._inner()) if coverage == "inner" else out
+        return out.orderBy(F.col("value").asc() if smallest else F.col("value").desc(), *reversed(self.keys)).limit(n)
+
+    def any_of(self, test: Column, coverage: str = "inner") -> bool:
+        out = self.table(dense=True)
+        return bool((out.where(self._inner()) if coverage == "inner" else out).agg(F.bool_or(test)).first()[0])
+
+    def cosine(self, other: Histogram) -> float:
+        """Cosine similarity of the inner cells' values."""
+        a, b = (h.table().where(h._inner()).select(*h.keys, F.col("value").cast("double").alias(n)) for h, n in ((self, "a"), (other, "b")))
+        both = a.join(b, self.keys, "full_outer").na.fill(0.0)
+        ab, aa, bb = both.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") * F.col("a")), F.sum(F.col("b") * F.col("b"))).first()
+        return ab / ((aa * bb) ** 0.5)
+
+    # --- algorithms
+
+    def sum(self, coverage: str = "all") -> dict:
+        """Results of all cells merged."""
+        out = self.sum_state(coverage).select(*(c.alias(n) for n, c in self.accumulator.read().items())).first()
+        return out.asDict(recursive=True)
+
+    def sum_state(self, coverage: str = "all") -> DataFrame:
+        cells = self.cells.where(self._inner()) if coverage == "inner" else self.cells
+        zero = self.accumulator.zero()
+        return cells.agg(*self.accumulator.merge()).select(*(F.coalesce(F.col(c), zero[c]).alias(c) for c, _ in self.accumulator.state))
+
+    def empty(self, coverage: str = "all") -> bool:
+        cells, zero = (self.cells.where(self._inner()) if coverage == "inner" else self.cells), self.accumulator.zero()
+        return cells.where(fold(Column.__or__, [~F.col(c).eqNullSafe(zero[c]) for c, _ in self.accumulator.state])).isEmpty()
+
+    def project(self, *axes: int) -> Histogram:
+        """Keep these axes, in this order; cells of the others, flow bins too, are merged."""
+        if len(set(axes)) != len(axes):
+            raise ValueError("axes must be different")
+        if not axes or not all(0 <= k < self.rank for k in axes):
+            raise ValueError("no such axis")
+        return self._regroup([self.axes[k] for k in axes], [F.col(f"i{k}") for k in axes])
+
+    def reduce(self, *commands: Command) -> Histogram:
+        chosen = normalised([c for x in commands for c in (x if isinstance(x, (list, tuple)) else [x])], self.rank)
+        plans = [plan(a, chosen.get(k), F.col(f"i{k}")) for k, a in enumerate(self.axes)]
+        return self._regroup([p.axis for p in plans], [p.index for p in plans])
+
+    def grouping_sets(self, sets: list[list[int]]) -> DataFrame:
+        """One reading of the cells for several projections; bin numbers of axes left out are NULL."""
+        cells = self.cells
+        cells.createOrReplaceTempView("_cells")
+        merge = self.accumulator.merge()
+        parts = [cells.groupBy(*(f"i{k}" for k in s)).agg(*merge).select(*((F.col(n) if k in s else F.lit(None).cast("int")).alias(n) for k, n in enumerate(self.keys)), *(c for c, _ in self.accumulator.state)) for s in sets]
+        return fold(DataFrame.unionByName, parts)
+
+    # --- operators
+
+    def _promoted(self, acc: Accumulator) -> Histogram:
+        """The same cells in a wider accumulator: whole < big < real < weighted."""
+        if acc == self.accumulator:
+            return self
+        value = F.col("value")
+        to = {"bigcount": {"value": value.cast("decimal(38,0)")}, "count": {"value": value.cast("double")}, "weighted_sum": {"value": value.cast("double"), "variance": value.cast("double")}}
+        if not isinstance(self.accumulator, (Count, BigCount)) or acc.name not in to:
+            raise ValueError(f"{self.accumulator.name} and {acc.name} can't be combined")
+        return self._with(self.axes, self.cells.select(*self.keys, *(c.alias(n) for n, c in to[acc.name].items())), acc)
+
+    @staticmethod
+    def _common(a: Accumulator, b: Accumulator) -> Accumulator:
+        rank = lambda x: (0 if not x.real else 2) if isinstance(x, Count) else 1 if isinstance(x, BigCount) else 3
+        return a if rank(a) >= rank(b) else b
+
+    def _merged_with(self, other: Histogram) -> Histogram:
+        acc = self._common(self.accumulator, other.accumulator)
+        a, b = self._promoted(acc), other._promoted(acc)
+        cells = a.cells.unionByName(b.cells).groupBy(*self.keys).agg(*acc.merge())
+        return self._with(a.axes, cells, acc)
+
+    def __add__(self, other: Histogram) -> Histogram:
+        """Cell by cell; growing integer and category axes may differ and are merged."""
+        if self.rank != other.rank:
+            raise ValueError("histograms of different rank")
+        axes = [a.merged(b) for a, b in zip(self.axes, other.axes)]
+        return self._moved_to(axes)._merged_with(other._moved_to(axes))
+
+    def _aligned(self, other: Histogram, allowed: tuple) -> tuple[DataFrame, Accumulator]:
+        if self.axes != other.axes:
+            raise ValueError("axes differ")
+        acc = self._common(self.accumulator, other.accumulator)
+        if not isinstance(acc, allowed):
+            raise TypeError(f"{acc.name} has no such operator")
+        a, b = self._promoted(acc), other._promoted(acc)
+        zero = acc.zero()
+        left = a.cells.select(*self.keys, *(F.col(c).alias(f"a_{c}") for c, _ in acc.state))
+        right = b.cells.select(*self.keys, *(F.col(c).alias(f"b_{c}") for c, _ in acc.state))
+        both = left.join(right, self.keys, "full_outer")
+        return both.select(*self.keys, *(F.coalesce(F.col(f"{p}_{c}"), zero[c]).alias(f"{p}_{c}") for p in "ab" for c, _ in acc.state)), acc
+
+    def __sub__(self, other: Histogram) -> Histogram:
+        both, acc = self._aligned(other, (Count, BigCount))
+        return self._with(self.axes, both.select(*self.keys, (F.col("a_value") - F.col("b_value")).cast(acc.state[0][1]).alias("value")), acc)
+
+    def __mul__(self, other) -> Histogram:
+        if not isinstance(other, Histogram):
+            cells = self.cells.select(*self.keys, *(c.alias(n) for n, c in self.accumulator.scale(other).items()))
+            return self._with(self.axes, cells, self.accumulator.scaled)
+        both, acc = self._aligned(other, (Count, BigCount))
+        return self._with(self.axes, both.select(*self.keys, (F.col("a_value") * F.col("b_value")).cast(acc.state[0][1]).alias("value")), acc)
+
+    __rmul__ = __mul__
+
+    def __truediv__(self, other) -> Histogram:
+        """By a number, or cell by cell in doubles (0/0 is NaN, so all cells are laid out; the variance of weighted sums is propagated)."""
+        if not isinstance(other, Histogram):
+            return self * (1.0 / other)
+        _, acc = self._aligned(other, (Count, BigCount, WeightedSum))
+        both, _ = self._with(self.axes, self.dense())._aligned(other, (Count, BigCount, WeightedSum))
+        a, b = F.col("a_value").cast("double"), F.col("b_value").cast("double")
+        signed = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+        ratio = F.when(b != 0, a / F.when(b != 0, b)).otherwise(signed)
+        if not isinstance(acc, WeightedSum):
+            return self._with(self.axes, both.select(*self.keys, ratio.alias("value")), Count(real=True))
+        part = lambda v, x: F.when(x != 0, F.col(v) / F.when(x != 0, x * x)).otherwise(F.lit(float("nan")))
+        variance = (part("a_variance", a) + part("b_variance", b)) * ratio * ratio
+        return self._with(self.axes, both.select(*self.keys, ratio.alias("value"), variance.alias("variance")), acc)
+
+    def __eq__(self, other) -> bool:
+        if not isinstance(other, Histogram) or self.axes != other.axes or self.accumulator.name != other.accumulator.name:
+            return False
+        names, zero = [c for c, _ in self.accumulator.state], self.accumulator.zero()
+        a = self.cells.select(*self.keys, *(F.col(c).alias(f"a_{c}") for c in names))
+        b = other.cells.select(*self.keys, *(F.col(c).alias(f"b_{c}") for c in names))
+        differ = [~F.coalesce(F.col(f"a_{c}"), zero[c]).eqNullSafe(F.coalesce(F.col(f"b_{c}"), zero[c])) for c in names]
+        return a.join(b, self.keys, "full_outer").where(fold(Column.__or__, differ)).isEmpty()
+
+    __hash__ = None
+
+    def __repr__(self) -> str:
+        return f"histogram({', '.join(map(repr, self.axes))}, accumulator={self.accumulator.name})"
+
+
+def weighted_histogram(*axes: Axis) -> Histogram:
+    return Histogram(*axes, accumulator=WeightedSum())
+
+
+def profile(*axes: Axis) -> Histogram:
+    return Histogram(*axes, accumulator=Mean())
+
+
+def weighted_profile(*axes: Axis) -> Histogram:
+    return Histogram(*axes, accumulator=WeightedMean())
+
+
+def fraction(*axes: Axis) -> Histogram:
+    return Histogram(*axes, accumulator=Fraction())
