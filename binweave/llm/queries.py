@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, rlz_dedup, sharding, suffix_dedup
+from . import decontamination, mixing, near_dedup, packing, pii, quality, rlz_dedup, search, sharding, suffix_dedup
 from ._spark import read
 
 
@@ -17,6 +17,37 @@ def op1_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_bilstm_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and hash of the patterns' spans, and all spans, in every whole text."""
+    out = pii.find_personal_data(read(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["base"])
+    return out.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(F.encode(pii.joined(base), "UTF-8"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op3_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as rows of 2048 token ids."""
+    return packing.pack(read(spark, folder, "documents").select("doc_id", "text"), capacity=2048)
+
+
+def op4_bm25_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item whose id is divisible by 20."""
+    queries = read(spark, folder, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    out = search.top_k(read(spark, folder, "documents").select("doc_id", "text"), queries, k=10)
+    return out.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    out = decontamination.find_leaks(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
+    return out.select("doc_id", F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.size("hits").cast("long").alias("n_items"), "contaminated")
+
+
+def op10_chosen_path_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return near_dedup.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"), n=2, share=80)
+
+
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes covered by 50-byte strings that a document with a smaller id has too."""
     out = suffix_dedup.drop_repeated_bytes(read(spark, folder, "documents"), length=50)
@@ -44,8 +75,26 @@ def op8_rlz_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op5_suffix_dedup, op6_kneser_ney_quality, op7_source_mixing, op8_rlz_dedup)}
+    every = (
+        op1_kd_sharding, op2_bilstm_pii, op3_token_packing, op4_bm25_top_k, op5_suffix_dedup, op6_kneser_ney_quality,
+        op7_source_mixing, op8_rlz_dedup, op9_benchmark_decontamination, op10_chosen_path_near_dedup,
+    )
+    return {f.__name__: f for f in every}
+
+
+_SPACE = "[^ \\t\\n\\x0B\\f\\r]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = f"regexp_extract_all({_LOWER}, '{_SPACE}')"
+    return {
+        "op4_bm25_top_k": f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+tf AS (SELECT doc_id, len AS length, w, count(*) AS f FROM (SELECT doc_id, len(w) AS len, unnest(w) AS w FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({words}) AS w FROM benchmark WHERE item_id % 20 = 0),
+df AS (SELECT w, count(*) AS df FROM tf WHERE w IN (SELECT w FROM q) GROUP BY w),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN df USING (w) JOIN tf USING (w), stats GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+    }
