@@ -248,7 +248,6 @@ class Histogram:
     def grouping_sets(self, sets: list[list[int]]) -> DataFrame:
         """One reading of the cells for several projections; bin numbers of axes left out are NULL."""
         cells = self.cells
-        cells.createOrReplaceTempView("_cells")
         merge = self.accumulator.merge()
         parts = [cells.groupBy(*(f"i{k}" for k in s)).agg(*merge).select(*((F.col(n) if k in s else F.lit(None).cast("int")).alias(n) for k, n in enumerate(self.keys)), *(c for c, _ in self.accumulator.state)) for s in sets]
         return fold(DataFrame.unionByName, parts)
