@@ -14,7 +14,10 @@ def durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files before the cut are needed no more; Spark deletes them once the driver has collected what refers to them.
+    context._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
