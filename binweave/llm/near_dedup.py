@@ -6,12 +6,15 @@
    each class following one or two further tokens chosen by the node's path, `depth` levels down.
 3. Classes in a small node are compared exhaustively (with sizes and sketch bits first).  Nodes still large at the last level
    hold families of near copies; there every class is compared with a central leader and another, and those that find no link
-   with `MORE_LEADERS` more, so the work stays in proportion.
+   with `MORE_LEADERS` more, so that most of a family is one component early.
 4. Links are confirmed on full sets.  First one candidate per class is tried, then all candidates that still join different
    components.  Components come from alternating large-star and small-star steps.
+5. Classes of the families that are still in different components are joined exactly (`_across`), by the rarest shingles
+   of their sets: what leaders have not met is compared there, in blocks, however large a family is.
 
 Two sets at the threshold agree in a token with probability `share`/100, so a pair escapes one tree with probability 1 - share^depth
-at most and all of them with that to the power of `trees`: under 1e-5 for 0.8, 4 and 24.
+at most and all of them with that to the power of `trees`: under 1e-5 for 0.8, 4 and 24.  A pair that meets in a large node
+only is found by step 5.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ _OFFSETS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0xD1B54A32D192ED03)
 _LAST = (1 << 63) - 1
 #: Leaders of a large node that only classes without any link are compared with.
 MORE_LEADERS = 8
+#: Bits of the table by which shingles are ordered from rare to frequent; any table gives the same links.
+_TABLE = 20
+#: Rows of one shingle that a block has.
+_ROWS = 2048
 
 
 def minwise(items: np.ndarray) -> np.ndarray:
@@ -171,6 +178,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(_confirm(share), "a binary, b binary").distinct()
 
 
+def _bucket(items: np.ndarray) -> np.ndarray:
+    return (mix64(items) >> U(64 - _TABLE)).astype(np.int64)
+
+
+def _tally(batches):
+    total = np.zeros(1 << _TABLE, np.int64)
+    for batch in batches:
+        for x in batch.column("items"):
+            total += 0 if not len(items := np.frombuffer(x.as_buffer(), U)) else np.bincount(_bucket(items), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "c"])
+
+
+def _prefixes(held, share: int):
+    """The rarest shingles of a set: two sets at the threshold have one of them in common, as both follow one order."""
+    def run(batches):
+        counts = held.value
+        for batch in batches:
+            out = []
+            for x in batch.column("items"):
+                items = np.frombuffer(x.as_buffer(), U)
+                most = len(items) + share * len(items) // -100 + 1
+                out.append(items[np.lexsort((items, counts[_bucket(items)]))[:most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(out, pa.list_(pa.int64()))], ["f", "tokens"])
+
+    return run
+
+
+def _across(sets: DataFrame, slim: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold: none that does is left out by the prefixes and bounds.
+
+    For each shingle only classes outside its main component are compared with all, so a family in one component costs nothing.
+    """
+    spark = sets.sparkSession
+    table = sets.select("items").mapInArrow(_tally, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(1 << _TABLE, np.int64)
+    counts[table.column("bucket").to_numpy()] = table.column("c").to_numpy()
+    tokens = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), share), "f binary, tokens array<long>")
+    root = F.coalesce("root", "f").alias("root")
+    rows = durable(tokens.join(slim, "f").join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", root, "n", "low", "high", F.posexplode("tokens").alias("pos", "token")))
+    of = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots"))
+    blocks = lambda c: F.ceil(c / _ROWS).cast("int")
+    held = rows.join(of.where("roots > 1").select("token", "main", blocks(F.col("c") - F.col("most")).alias("i_most"), blocks(F.col("c")).alias("j_most")), "token")
+    named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("f", "root", "n", "low", "high", "pos")]
+    own = lambda most: F.pmod(F.xxhash64("f"), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    minor = held.where("root != main").select("token", own("i_most").alias("i"), every("j_most").alias("j"), *named("a"))
+    whole = held.select("token", own("j_most").alias("j"), every("i_most").alias("i"), (F.col("root") == F.col("main")).alias("in_main"), *named("b"))
+    both = minor.join(whole, ["token", "i", "j"]).where("a_root != b_root and (in_main or a_f < b_f)")
+    # the most that two sets with this shingle at these places of the order can share
+    shared = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1)
+    return _likely(both.where((100 + share) * shared >= share * (F.col("a_n") + F.col("b_n"))), share).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large-star and small-star steps."""
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -219,7 +280,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 2
     classes = durable(rows.where("f is not null").groupBy("f").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "low", "high"))))
     pairs, families = candidates(classes, trees, limit, depth, leaders, share)
     pairs = durable(pairs)
-    members = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct().join(classes.select("f", "rep"), "f")
+    slim = classes.select("f", "n", "low", "high")
+    members = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f")))
+    if families is not None:
+        large = durable(families.select("f").distinct())
+        members = members.unionByName(large)
+    members = members.distinct().join(classes.select("f", "rep"), "f")
     sets = durable(own.withColumn("rep", key).join(members, "rep").select("f", "text").mapInArrow(_packed_sets(n), "f binary, items binary"))
     # one candidate per class first: most others then fall inside a component
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
@@ -234,9 +300,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 2
         ends = links.select(F.explode(F.array("a", "b")).alias("f")).distinct()
         alone = families.join(ends, "f", "left_anti").select("f", "node")
         more = [f"h{i}" for i in range(leaders, leaders + MORE_LEADERS)]
-        further = _stars(alone, families.select("node", *more).distinct(), more, classes.select("f", "n", "low", "high"), share).distinct()
+        further = _stars(alone, families.select("node", *more).distinct(), more, slim, share).distinct()
         links = links.unionByName(confirmed(further, sets, share))
     roots = components(links)
+    if families is not None:  # all that is still apart in the families, exactly; what it links are whole components
+        roots = durable(roots)
+        crossing = durable(confirmed(_across(sets.join(large, "f"), slim, roots, share), sets, share))
+        if not crossing.isEmpty():
+            end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+            joined = crossing.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct()
+            top = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            single = top.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti")
+            roots = roots.unionByName(single).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     named = classes.select("f", "rep").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select("f", "least")

@@ -62,5 +62,22 @@ def test_against_all_pairs(spark):
         assert got == brute(rows, n, 80)
 
 
+def test_groups_of_a_large_family(spark):
+    """Groups of three in a family of one vocabulary, a third of the rows: all its nodes stay large, and no leader is near.
+
+    One level leaves nodes as large here as four do in a family some hundred times as large.
+    """
+    r = random.Random(4)
+    base, texts = [f"b{i}" for i in range(100)], []
+    for _ in range(150):
+        own = r.sample(base, 75)
+        texts += [own, own[:-8], own[8:]]  # the first is linked to both others, they not with each other
+    texts += [[f"x{i}_{j}" for j in range(5)] for i in range(900)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    got = sorted(tuple(x) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=1, depth=1).collect())
+    assert got == brute(rows, 1, 80)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
