@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over test items as an inverted index with block maxima, queried by every training passage.
 
 A passage retrieves all items that score at least `threshold` of what the item scores against itself.  Items lie in
-blocks; a term keeps its largest impact in each block it occurs in.  Only terms of few items are looked up in every passage:
-their block maxima, plus the most that the other terms can give an item of the block, bound its scores, and just the
+blocks; a term keeps its largest impact in each block it occurs in.  Each item's most frequent terms, as many as stay
+below the threshold together, are not looked up: a passage that reaches the threshold has another term of the item too.  The
+looked-up terms' block maxima, plus the most that the others can give an item of the block, bound its scores, and just the
 blocks whose bound reaches the threshold are scored exactly.  What is retrieved is then verified: the item's 5-word shingles, its question's words and its answer's words must occur in
 the passage.
 
@@ -32,8 +33,8 @@ class Index:
     start: np.ndarray  # postings of term i: start[i]:start[i + 1]
     item: np.ndarray
     weight: np.ndarray  # share of the item's own score
-    light: np.ndarray  # terms of many items
-    rest: np.ndarray  # per block: the largest share of an item's score that its light terms have
+    light: np.ndarray  # terms that no item is looked up by
+    rest: np.ndarray  # per block: the largest share of an item's score that its light terms have; below the threshold
     block_start: np.ndarray
     block: np.ndarray
     block_weight: np.ndarray
@@ -55,13 +56,25 @@ def build(ids: list[int], texts: list[str], threshold: float) -> Index:
     score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[o] / mean))
     own = np.bincount(o, score, n)
     weight = score / own[o] if len(o) else score
-    light = df > max(2, n // 20)
+    # an item's postings from its most frequent term on: light while their weights stay below the threshold together
+    common = np.repeat(df, df)
+    by_item = np.lexsort((t, -common, o))
+    sums = np.cumsum(weight[by_item])
+    begin = np.searchsorted(o[by_item], np.arange(n))
+    sums -= np.append(0.0, sums)[begin][o[by_item]] if len(o) else 0.0
+    posting_light = np.zeros(len(o), bool)
+    posting_light[by_item] = (sums < threshold - 1e-6) & (common[by_item] > max(2, n // 20))
     rest = np.zeros(n // BLOCK + 1)
-    np.maximum.at(rest, np.arange(n) // BLOCK, np.bincount(o, weight * np.repeat(light, df), n))
-    block = o // BLOCK
-    edge = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (block[1:] != block[:-1]))) if len(t) else np.zeros(0, np.int64)
+    np.maximum.at(rest, np.arange(n) // BLOCK, np.bincount(o, weight * posting_light, n))
+    light = np.logical_and.reduceat(posting_light, first) if len(first) else np.zeros(0, bool)
     start = np.append(first, len(t))
-    return Index(np.array(ids, np.int64), vocabulary, start, o, weight, light, rest, np.searchsorted(edge, start), block[edge], np.maximum.reduceat(weight, edge) if len(edge) else np.zeros(0), [terms[a:b] for a, b in zip(at[:-1], at[1:])])
+    # only postings that are looked up make blocks
+    looked = np.flatnonzero(~posting_light)
+    lt, block, lw = t[looked], o[looked] // BLOCK, weight[looked]
+    edge = np.flatnonzero(np.append(True, (lt[1:] != lt[:-1]) | (block[1:] != block[:-1]))) if len(lt) else np.zeros(0, np.int64)
+    terms_of = lt[edge]
+    block_start = np.append(np.searchsorted(terms_of, vocabulary), len(edge))
+    return Index(np.array(ids, np.int64), vocabulary, start, o, weight, light, rest, block_start, block[edge], np.maximum.reduceat(lw, edge) if len(edge) else np.zeros(0), [terms[a:b] for a, b in zip(at[:-1], at[1:])])
 
 
 def _grams(terms: np.ndarray, n: int = 5) -> np.ndarray:

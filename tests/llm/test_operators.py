@@ -137,6 +137,21 @@ def test_search_against_all_scores(spark):
     assert search.top_k(docs.limit(0), queries).count() == 0
 
 
+def test_leaks_of_repeated_items(spark):
+    """An item text that is a third of the benchmark, and items of common words only, are found in exact copies."""
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(20))
+    again, common = text(), [f"c{i}" for i in range(30)]
+    items = [(i, again if i % 3 == 0 else text()) for i in range(90)] + [(100 + i, " ".join(r.sample(common, 20))) for i in range(20)]
+    filler = lambda: " ".join("z" + r.choice("abcdefgh") for _ in range(70))
+    rows = [(d, f"{filler()} {t} {filler()}", "en", "a") for d, (_, t) in enumerate(items)] + [(200, filler(), "en", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: {h["item_id"] for h in x["hits"]} for x in decontamination.find_leaks(spark.createDataFrame(rows, TYPES), bench).collect()}
+    for d, (_, t) in enumerate(items):
+        assert {i for i, other in items if other == t} <= got[d]
+    assert got[200] == set()
+
+
 def test_leaks(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randint(3, 8)))
