@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside are removed as each ends; the session's setting comes back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """Cut the lineage through the shared folder in spark.checkpoint.dir; only a local session (tests) may leave that unset.  Shuffle files before the cut go."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    out = df.checkpoint(eager=True)
-    # Shuffle files before the cut are needed no more; Spark deletes them once the driver has collected what refers to them.
-    context._jvm.System.gc()
-    return out
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

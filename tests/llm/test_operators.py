@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -206,19 +206,47 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    """Probabilities of all words after a context sum to one, and equal interpolation by hand on counts."""
+def plain_kneser_ney(texts, n_shapes=16):
+    """log p(w | u, v) by the textbook's formulas on dictionaries; lower orders count the different words before."""
+    said = [["<again>" if i and w == t[i - 1] else w for i, w in enumerate(t)] for t in (x.split() for x in texts)]
+    vocabulary = {w for t in said for w in t} - {"<again>"}
+    tri = Counter(g for t in said for g in zip(["<s>", "<s>", *t], ["<s>", *t], t) if g[2] != "<again>")
+    bi = Counter(g[1:] for g in tri)
+    uni = Counter(g[1] for g in bi)
+
+    def discounts(counts):
+        n = Counter(min(c, 5) for c in counts.values())
+        if not n[1] or not n[2]:
+            return [0.5] * 3
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2] if n[3] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] and n[4] else 1.5]
+        return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+
+    def level(counts, of, lower):
+        d, total, left = discounts(counts), Counter(), Counter()
+        for g, c in counts.items():
+            total[of(g)] += c
+            left[of(g)] += d[min(c, 3) - 1]
+        return lambda g: lower(g) if not total[of(g)] else (counts[g] - d[min(counts[g], 3) - 1] if counts[g] else 0) / total[of(g)] + left[of(g)] / total[of(g)] * lower(g)
+
+    p1 = level(uni, lambda g: "", lambda g: 1 / (len(vocabulary) + 2 + n_shapes))
+    p2 = level(bi, lambda g: g[0], lambda g: p1(g[1]))
+    return level(tri, lambda g: g[:2], lambda g: p2(g[1:]))
+
+
+def test_kneser_ney_against_the_formulas(spark):
     r = random.Random(5)
-    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(50))) for i in range(30)]
-    model = quality.Scorer(*quality.train(spark.createDataFrame(rows, "doc_id long, text string"), min_count=1))
-    for context in ("a b", "c c", "h g"):
-        total = 0.0
-        for w in "abcdefgh":
-            text = f"{context} {w}".encode()
-            hashes, shapes, at = quality._tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            hashes = np.array([quality._tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, 1]))[0][0] for x in text.decode().split()], np.uint64)
-            total += float(np.exp(model.log_probabilities(hashes, shapes, at)[-1]))
-        assert 0.6 < total < 1.001  # repetitions and unknown words have the rest
+    texts = [" ".join(r.choice("aaabbcdefgh") for _ in range(r.randint(0, 60))) for _ in range(40)]
+    p = plain_kneser_ney(texts)
+    model = quality.Scorer(quality.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_count=1))
+    for text in ("a b a c h g", "c", "b d b d a h c e f g a", "a b z a b"):
+        own = text.split()
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = model.log_probabilities(*quality._tokens(data, np.array([0, len(data)])))
+        own = ["<other>" if w == "z" else w for w in own]
+        assert np.allclose(found, [np.log(p(g)) for g in zip(["<s>", "<s>", *own], ["<s>", *own], own)], atol=1e-4)
+    for u, v in (("a", "b"), ("h", "g"), ("<s>", "<s>")):  # words, marks of the model and shapes together
+        assert abs(sum(p((u, v, w)) for w in [*"abcdefgh", "<again>", "<s>", *range(16)]) - 1) < 1e-9
 
 
 def test_quality_on_held_out_labels(spark):
@@ -231,7 +259,7 @@ def test_quality_on_held_out_labels(spark):
     rows += [(720, None, None, "a"), (721, "", "en", "a"), (None, good(), "xx", "a")]
     labels = [(i, int(not 600 <= i < 660), int(i >= 660)) for i in range(0, 720, 2)]
     docs = spark.createDataFrame(rows, TYPES).withColumn("keep", F.lit(3))
-    out = {x["doc_id"]: x for x in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_train=150, max_check=150).collect()}
+    out = {x["doc_id"]: x for x in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_train=150).collect()}
     unseen = [i for i in range(1, 720, 2)]
     assert all(not out[i]["keep"] for i in unseen if i >= 600)
     assert sum(out[i]["keep"] for i in unseen if i < 600) > 290
