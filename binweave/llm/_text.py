@@ -8,6 +8,7 @@ pattern ``[^\\x20\\x09-\\x0D]+`` on characters.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +35,21 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_POWERS: dict = {}
+
+
+@lru_cache(maxsize=2)  # a table that is sent by its name: tasks make their own
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, U(_P)), np.full(size, U(_PINV))
+    up[0] = down[0] = 1
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    return up, down
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i below n."""
-    if _POWERS.get("n", 0) < n:
-        size = max(n, 1 << 21)
-        up, down = np.full(size, U(_P)), np.full(size, U(_PINV))
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        _POWERS.update(n=size, up=up, down=down)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    up, down = _powers(1 << max(21, n.bit_length()))
+    return up[:n], down[:n]
 
 
 def prefix(symbols: np.ndarray) -> np.ndarray:
