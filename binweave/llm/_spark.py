@@ -43,14 +43,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def numbered(df: DataFrame, group: str, order: list[Column], name: str, buckets: int, size: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: str, bucket: Column, order: list[Column], name: str, size: Column | None = None) -> DataFrame:
     """Add `name`: rows before this one in its group by `order` (with `size`: the sum of sizes before it).
 
-    `order[0]` must be a double in [0, 1) spread evenly over the rows of any group; the group is cut into
-    `buckets` ranges of it, each small enough for one task, and the ranges' totals are added up in a table
-    of groups x buckets rows.  So no task sees a whole group, however large that is.
+    `bucket` is a long that never falls along the order and cuts any group into ranges small enough for one task; the
+    ranges' totals are added up in a table of groups x buckets rows.  So no task sees a whole group, however large that is.
+    Names with an underscore are this function's own; callers keep their rows in a struct.
     """
-    cut = df.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(order[0] * buckets)).cast("int"))
+    cut = df.withColumn("_bucket", bucket)
     what = F.count(F.lit(1)) if size is None else F.coalesce(F.sum(size), F.lit(0))
     totals = cut.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_at")).agg(what.alias("_sum"))
     before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import numbered, shuffle_partitions
+from ._spark import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,30 +62,29 @@ def mix(
     the border is taken if that comes nearer to the target.  Only the table of sources reaches the driver.
 
     Edges: null or empty texts have size 0; the null source is a source of its own, last; a null or
-    non-positive quality counts as 1e-6; repeated rows draw the same key and are ordered arbitrarily among
+    non-positive quality counts as 1e-6; very long texts are counted whole; repeated rows draw the same key and are ordered arbitrarily among
     themselves; empty tables give no rows; input columns named like an output are replaced.
     """
     new = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c.lower() not in new]
     spark = docs.sparkSession
-    docs = docs.select(*kept).withColumn("size", word_count(F.col(text_col)))
+    of, text = F.col(source_col).cast("string"), F.col(text_col).cast("string")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 12).cast("double") + 0.5) / float(1 << 52)
+    weight = F.greatest(F.coalesce(quality if quality is not None else letter_share(text), F.lit(0.0)), F.lit(1e-6))
     # null sorts last and never equals a real source
-    docs = docs.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("z")))
-    table = docs.groupBy("_src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    table = sorted(table, key=lambda r: r["_src"])
-    names = [r["_src"][1:] if r["_src"][0] == "s" else None for r in table]
+    src = F.coalesce(F.concat(F.lit("s"), of), F.lit("z"))
+    rows = docs.select(F.struct(*kept).alias("row"), word_count(text).alias("size"), src.alias("src"), (-F.log(u) / weight).alias("key"), F.col(id_col).alias("id"))
+    table = rows.groupBy("src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    table = sorted(table, key=lambda r: r["src"])
+    names = [r["src"][1:] if r["src"][0] == "s" else None for r in table]
     goals = targets([r["size"] for r in table], weights(names), most)
-    rows = [(r["_src"], r["size"], float(t), int(t // r["size"]) if r["size"] else 0) for r, t in zip(table, goals)]
-    goal = spark.createDataFrame(rows, "_of string, source_size long, target double, _epochs long")
-    goal = F.broadcast(goal) if len(rows) <= 100_000 else goal
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 12).cast("double") + 0.5) / float(1 << 52)
-    weight = F.greatest(F.coalesce(quality if quality is not None else letter_share(F.col(text_col)), F.lit(0.0)), F.lit(1e-6))
-    docs = docs.withColumn("_key", -F.log(u) / weight)
-    even = 1 - F.exp(-F.col("_key"))  # in the order of the keys, and near uniform
-    buckets = max(shuffle_partitions(spark), max([r["n"] for r in table], default=0) // 50_000 + 1)
-    placed = numbered(docs, "_src", [even, F.col("_key"), F.col(id_col)], "_before", buckets, F.col("size"))
-    placed = placed.join(goal, F.col("_src") == F.col("_of"))
-    left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    extra = F.when((F.col("_before") < left) & (2 * F.col("_before") + F.col("size") <= 2 * left), 1).otherwise(0)
-    placed = placed.withColumn("copies", (F.col("_epochs") + extra).cast("long"))
-    return placed.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *new)
+    goal = spark.createDataFrame([(r["src"], r["size"], float(t), int(t // r["size"]) if r["size"] else 0) for r, t in zip(table, goals)], "of string, source_size long, target double, epochs long")
+    goal = F.broadcast(goal) if len(table) <= 100_000 else goal
+    # Whatever the weights, the log of the keys has a density below 0.26 per octave: no bucket gets a larger share of a source.
+    steps = max(64, max([r["n"] for r in table], default=0) // 100_000)
+    placed = numbered(rows, "src", F.floor(F.log2("key") * steps), [F.col("key"), F.col("id")], "before", F.col("size"))
+    placed = placed.join(goal, F.col("src") == F.col("of"))
+    left = F.col("target") - F.col("epochs") * F.col("source_size")
+    extra = F.when((F.col("before") < left) & (2 * F.col("before") + F.col("size") <= 2 * left), 1).otherwise(0)
+    placed = placed.withColumn("copies", (F.col("epochs") + extra).cast("long"))
+    return placed.withColumn("taken", F.col("copies") * F.col("size")).select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *new)

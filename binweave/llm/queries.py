@@ -12,8 +12,8 @@ from ._spark import read
 
 
 def op1_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight shards of near equal bytes, at medians of size and text fingerprint."""
-    out = sharding.shard(read(spark, folder, "documents").select("doc_id", "text"), shards=8)
+    """Eight shards of near equal bytes, at medians of size and language."""
+    out = sharding.shard(read(spark, folder, "documents").select("doc_id", "text", "lang"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import durable, numbered, shuffle_partitions
+from ._spark import durable, freeing, numbered, shuffle_partitions
 
 _BITS, _ROUND = 64, 16
 _CASES = 256
@@ -28,10 +28,11 @@ class Split:
     cut: int
 
 
-def order_key(part: Column, tie: Column) -> Column:
-    """63-bit key: a value in [0, 1] first, a hash to break ties after it (so equal values can be split too)."""
-    value = F.floor(F.least(F.greatest(F.coalesce(part, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * F.lit(float((1 << 31) - 1))).cast("long")
-    return F.shiftleft(value, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(tie), 32))
+def order_key(part: Column, text: Column, row: Column) -> Column:
+    """63-bit key: a value in [0, 1] (27 bits), then 20 bits of a hash of `text`, then 16 of `row`: equal values can be split, equal texts last."""
+    value = F.floor(F.least(F.greatest(F.coalesce(part, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * F.lit(float((1 << 27) - 1))).cast("long")
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 44), _ROUND).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text, row), 48))
+    return F.shiftleft(value, 36).bitwiseOR(tie)
 
 
 def _dim(number: Column, dims: list[str]) -> Column:
@@ -41,14 +42,18 @@ def _dim(number: Column, dims: list[str]) -> Column:
     return out
 
 
-def kd_tree(rows: DataFrame, weight: str, dims: list[str], leaves: int) -> list[Split]:
-    """Splits of the tree with that many leaves; `rows` has a long weight and 63-bit keys (see order_key)."""
+def kd_tree(rows: DataFrame, weight: str, dims: list[str], leaves: int, slack: float = 0.0) -> list[Split]:
+    """Splits of the tree with that many leaves; `rows` has a long weight and 63-bit keys (see order_key).
+
+    Where that is off by at most `slack` of a leaf's weight, rows that differ in the last 16 bits only (equal texts) stay together.
+    """
     splits: list[Split] = []
     open_nodes = {1: leaves}
     rows = rows.select(F.col(weight).alias("_w"), *dims, F.lit(1).cast("long").alias("_node"))
     span: list[int] = []
+    near = 0.0
     while open_nodes := {k: m for k, m in open_nodes.items() if m > 1}:
-        ends = [f(F.shiftright(F.col(d), 32)).alias(f"_{i}{f.__name__}") for i, d in enumerate(dims) for f in (F.min, F.max)]
+        ends = [f(F.shiftright(F.col(d), 36)).alias(f"_{i}{f.__name__}") for i, d in enumerate(dims) for f in (F.min, F.max)]
         stats = {r["_node"]: r for r in rows.groupBy("_node").agg(F.sum("_w").alias("_total"), *ends).collect() if r["_node"] in open_nodes}
         width = {n: [r[f"_{i}max"] - r[f"_{i}min"] for i in range(len(dims))] for n, r in stats.items()}
         span = span or [max(1, x) for x in width.get(1, [1] * len(dims))]
@@ -56,24 +61,26 @@ def kd_tree(rows: DataFrame, weight: str, dims: list[str], leaves: int) -> list[
         goal = {n: r["_total"] * (open_nodes[n] // 2) / open_nodes[n] for n, r in stats.items()}
         if not chosen:
             break
+        near = near or slack * stats[1]["_total"] / leaves
         # the row key that each open node is split by; done and empty nodes drop out
         keyed = _look_up(rows, {n: (i,) for n, i in chosen.items()}, "_dim int").select("_node", "_w", _dim(F.col("_dim"), dims).alias("_key"))
-        found = {n: (0, 0) for n in chosen}  # high bits so far, weight before them
+        found = {n: (0, 0, 0) for n in chosen}  # high bits so far, weight before them and at them
+        cut: dict[int, int] = {}
         for low in range(_BITS - _ROUND, -1, -_ROUND):
-            at = {n: (high, float(goal[n] - base)) for n, (high, base) in found.items()}
+            at = {n: (high, float(goal[n] - base)) for n, (high, base, _) in found.items() if n not in cut}
+            if not at:
+                break
             bins = _look_up(keyed, at, "_high long, _need double").where(F.shiftright(F.shiftright("_key", low), _ROUND) == F.col("_high"))
             bins = bins.groupBy("_node", "_need", F.shiftright("_key", low).alias("_bin")).agg(F.sum("_w").alias("_w"))
             upto = F.sum("_w").over(Window.partitionBy("_node").orderBy("_bin"))
             bins = bins.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_need"))
-            first = bins.groupBy("_node").agg(F.min(F.struct("_bin", "_upto", "_w")).alias("_b")).collect()
-            for r in first:
+            for r in bins.groupBy("_node").agg(F.min(F.struct("_bin", "_upto", "_w")).alias("_b")).collect():
                 n, b = r["_node"], r["_b"]
-                found[n] = (b["_bin"], found[n][1] + b["_upto"] - b["_w"])
-                weight_at = {**(weight_at if low < _BITS - _ROUND else {}), n: b["_w"]}
-        new = []
-        for n, (key, before) in found.items():
-            inside = before + weight_at[n] - goal[n] <= goal[n] - before  # nearer to the goal with the row at the median, or without?
-            new.append(Split(n, chosen[n], key + 1 if inside else key))
+                found[n] = key, before, own = b["_bin"], found[n][1] + b["_upto"] - b["_w"], b["_w"]
+                inside = before + own - goal[n] <= goal[n] - before  # nearer to the goal with what lies at the median, or without?
+                if not low or low == _ROUND and min(before + own - goal[n], goal[n] - before) <= near:
+                    cut[n] = (key + inside) << low
+        new = [Split(n, chosen[n], key) for n, key in cut.items()]
         splits += new
         rows = _step(rows, new, dims, "_node")
         open_nodes = {c: m for s in new for c, m in ((2 * s.node, open_nodes[s.node] // 2), (2 * s.node + 1, open_nodes[s.node] - open_nodes[s.node] // 2))}
@@ -116,40 +123,51 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def category(value: Column) -> Column:
+    """A coordinate in [0, 1) of a name; null is 0."""
+    return F.coalesce(F.crc32(F.encode(value.cast("string"), "UTF-8")) / float(1 << 32), F.lit(0.0))
+
+
+def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, names: tuple[str, ...] = ("lang",), slack: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, then size, text_crc32, shard and slot.
 
-    Dimensions are the size (log scale) and the text's CRC32, so equal texts meet in one leaf unless a
-    median falls among them.  Give the number of shards, or `target_bytes` (shards = ceil(total / target)).
+    Dimensions are the size (log scale) and the columns in `names` that `docs` has.  A median may move by `slack` of a shard to keep
+    equal texts (of one name) together; a group of equal texts that the even sizes don't allow to stay whole is split.  Give the number
+    of shards, or `target_bytes` (shards = ceil(total / target)).
 
-    Edges: null text has size 1 and CRC 0; rows with null ids take part; rows that agree in id and text
-    can't be told apart and share a shard; an empty table gives no rows; columns of the input named like
+    Edges: null text has size 1 and CRC 0; a very long text counts whole; rows with null ids or names take part; rows that agree in id and
+    text can't be told apart and share a shard; an empty table gives no rows; columns of the input named like
     an output column are replaced.  Shards are 0.. in the order of the leaves; slots are gapless from 0.
     """
     extra = [c for c in docs.columns if c.lower() not in ("size", "text_crc32", "shard", "slot")]
-    docs = docs.select(*extra).withColumn("size", text_size(F.col(text_col))).withColumn("text_crc32", text_crc32(F.col(text_col)))
-    tie = F.struct(F.col(id_col), F.col("text_crc32"))
-    keyed = docs.withColumn("_k0", order_key(F.log2(F.col("size").cast("double")) / 40, tie)).withColumn("_k1", order_key(F.col("text_crc32") / float(1 << 32), tie))
-    narrow = durable(keyed.select("size", "_k0", "_k1"))
+    text = F.col(text_col)
+    rows = docs.select(F.struct(*extra).alias("row"), F.col(id_col).alias("id"), text_size(text).alias("size"), text_crc32(text).alias("text_crc32"), *(category(F.col(n)).alias(f"c{i}") for i, n in enumerate(n for n in names if n in docs.columns)))
+    parts = [F.log2(F.col("size").cast("double")) / 40, *(F.col(c) for c in rows.columns if c[0] == "c")]
+    dims = [f"k{i}" for i in range(len(parts))]
+    of = F.struct("size", "text_crc32")
+    rows = rows.select("row", "id", "size", "text_crc32", *(order_key(p, of, F.col("id")).alias(k) for p, k in zip(parts, dims)))
+    narrow = durable(rows.select("size", *dims))
     total = narrow.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).first()
     leaves = shards or max(1, -(-(total["b"] or 0) // (target_bytes or 1 << 30)))
-    splits = kd_tree(narrow, "size", ["_k0", "_k1"], leaves)
+    with freeing(docs.sparkSession):
+        splits = kd_tree(narrow, "size", dims, leaves, slack)
     level: dict[int, list[Split]] = {}
     for s in splits:
         level.setdefault(s.node.bit_length(), []).append(s)
-    placed = keyed.withColumn("_node", F.lit(1).cast("long"))
+    placed = rows.withColumn("node", F.lit(1).cast("long"))
     for _, at in sorted(level.items()):
-        placed = _step(placed, at, ["_k0", "_k1"], "_node")
+        placed = _step(placed, at, dims, "node")
     inner = {s.node for s in splits}
     ends = sorted(({1} | {c for n in inner for c in (2 * n, 2 * n + 1)}) - inner, key=lambda n: n << (64 - n.bit_length()))
     if len(ends) <= _CASES:
         number = F.lit(0)
         for i, n in enumerate(ends):
-            number = F.when(F.col("_node") == n, F.lit(i)).otherwise(number)
+            number = F.when(F.col("node") == n, F.lit(i)).otherwise(number)
         placed = placed.withColumn("shard", number.cast("int"))
     else:
-        names = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(ends)], "_of long, shard int")
-        placed = placed.join(F.broadcast(names), F.col("_node") == F.col("_of")).drop("_of")
-    even = F.shiftrightunsigned(F.xxhash64(F.lit(7), id_col, "text_crc32"), 11) / float(1 << 53)
+        leaf = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(ends)], "of long, shard int")
+        placed = placed.join(F.broadcast(leaf), F.col("node") == F.col("of")).drop("of")
+    even = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id", "text_crc32"), 11) / float(1 << 53)
     buckets = max(shuffle_partitions(docs.sparkSession), total["n"] // (leaves * 50_000) + 1)
-    return numbered(placed, "shard", [even, F.col(id_col), F.col("text_crc32")], "slot", buckets).select(*extra, "size", "text_crc32", "shard", "slot")
+    out = numbered(placed, "shard", F.floor(even * buckets), [even, F.col("id"), F.col("text_crc32")], "slot")
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in extra), "size", "text_crc32", "shard", "slot")

@@ -48,6 +48,58 @@ def test_one_text_for_most_rows_is_split(spark):
     assert len(counts) == 8 and max(counts) - min(counts) <= 4
 
 
+def test_equal_texts_share_a_shard_where_sizes_allow(spark):
+    r = random.Random(9)
+    rows = [(i, f"text {i // 4} " + "x" * (i // 4 % 50), r.choice(["en", "en", "de"])) for i in range(4000)]
+    rows = [(i, t, rows[i // 4 * 4][2]) for i, t, _ in rows]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string"), shards=8, slack=0.01).collect()
+    of, sums = defaultdict(set), Counter()
+    for x in out:
+        of[x["text"]].add(x["shard"])
+        sums[x["shard"]] += x["size"]
+    assert all(len(s) == 1 for s in of.values())
+    assert max(sums.values()) - min(sums.values()) <= 0.06 * sum(sums.values()) / 8
+
+
+CLASHES = ("row", "id", "size", "src", "key", "of", "before", "_bucket", "_group", "_at", "_base", "_local", "node", "_node", "k0", "c0", "epochs")
+
+
+def test_no_column_of_the_input_is_lost(spark):
+    docs = spark.createDataFrame(documents(n=50), TYPES)
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(i))
+    for out in (mixing.mix(docs), sharding.shard(docs, shards=3)):
+        for r in out.collect():
+            assert all(r[name] == i for i, name in enumerate(CLASHES) if name != "size") and r["size"] is not None
+    assert mixing.mix(docs).columns == [*TYPES.replace(" long", "").replace(" string", "").split(", "), *(c for c in CLASHES if c != "size"), "size", "source_size", "target", "copies", "taken"]
+
+
+def test_no_task_gets_most_of_a_source_of_low_weights(spark):
+    """Keys of texts that are nearly all digits lie far out; the ranges that tasks get hold no large share of a source all the same."""
+    u = [(i + 0.5) / 20_000 for i in range(20_000)]
+    for weights in ([1.0], [1e-6], [0.1, 0.15], [1.0, 1e-6, 0.02]):
+        bins = Counter(int(np.floor(np.log2(-np.log(x) / weights[i % len(weights)]) * 64)) for i, x in enumerate(u))
+        assert max(bins.values()) < 0.006 * len(u)
+
+
+def test_mix_takes_what_the_keys_order_says(spark):
+    rows = documents(n=400) + [(i, "1234 " * (i % 9), "en", "digits") for i in range(1000, 1100)]
+    docs = spark.createDataFrame(rows, TYPES)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 12).cast("double") + 0.5) / float(1 << 52)
+    out = mixing.mix(docs).withColumn("u", u).collect()
+    for source in {r["source"] for r in out}:
+        own = [r for r in out if r["source"] == source]
+        total, goal = own[0]["source_size"], own[0]["target"]
+        epochs = int(goal // total)
+        letters = lambda t: 1 - sum(not (c.isalpha() or c.isspace()) for c in t) / max(1, len(t))
+        own.sort(key=lambda r: (-np.log(r["u"]) / max(1e-6, letters(r["text"] or "")), r["doc_id"] is None, r["doc_id"]))
+        before, left, want = 0, goal - epochs * total, 0
+        for r in own:
+            want += r["size"] * (epochs + (before < left and 2 * before + r["size"] <= 2 * left))
+            before += r["size"]
+        assert abs(sum(r["taken"] for r in own) - want) <= 1e-9, source
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
     assert mixing.targets([10, 1000], [3, 1], 3) == [30, 980]
