@@ -4,13 +4,14 @@
    one set are one class; only classes are joined, so copies cost nothing more.
 2. `trees` independent trees: a class enters one node per tree by a minwise token; nodes of more than `limit` classes branch,
    each class following one or two further tokens chosen by the node's path, `depth` levels down.
-3. Classes in a small node are compared exhaustively (with sizes and sketch bits first).  Nodes still large at the last level
-   hold families of near copies; there every class is compared with a central leader and another, and those that find no link
-   with `MORE_LEADERS` more, so that most of a family is one component early.
-4. Links are confirmed on full sets.  First one candidate per class is tried, then all candidates that still join different
-   components.  Components come from alternating large-star and small-star steps.
+3. Classes in a small node are compared exhaustively (with sizes and sketch bits first), and links are confirmed on full sets: first one
+   candidate per class, then all candidates that still join different components.
+4. Nodes still large at the last level hold families of near copies.  There components are contracted: in `_ROUNDS` rounds the largest component
+   of each node elects a leader, and every class outside that component is compared with one leader, so a round has a row per class.
 5. Classes of the families that are still in different components are joined exactly (`_across`), by the rarest shingles
-   of their sets: what leaders have not met is compared there, in blocks, however large a family is.
+   of their sets: what leaders have not met is compared there, in blocks, however large a family is.  Rounds only save work; links don't depend on them.
+
+Components come from alternating large-star and small-star steps.
 
 Two sets at the threshold agree in a token with probability `share`/100, so a pair escapes one tree with probability 1 - share^depth
 at most and all of them with that to the power of `trees`: under 1e-5 for 0.8, 4 and 24.  A pair that meets in a large node
@@ -31,8 +32,8 @@ _COORDINATES = 128
 _MULTIPLIERS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _OFFSETS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0xD1B54A32D192ED03))
 _LAST = (1 << 63) - 1
-#: Leaders of a large node that only classes without any link are compared with.
-MORE_LEADERS = 8
+#: Rounds in which large nodes elect leaders; any number gives the same components.
+_ROUNDS = 3
 #: Bits of the table by which shingles are ordered from rare to frequent; any table gives the same links.
 _TABLE = 20
 #: Rows of one shingle that a block has.
@@ -93,7 +94,7 @@ def _step(node: Column, sketch: Column, branch: int) -> Column:
     return F.xxhash64(node, at, F.element_at(sketch, at))
 
 
-def _nodes(rows: DataFrame, level: int, limit: int) -> DataFrame:
+def _nodes(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two classes or more, and the nodes' sizes."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return durable(rows.join(sizes, "node"))
@@ -109,22 +110,15 @@ def _likely(df: DataFrame, share: int) -> DataFrame:
     return df.where(fit & (F.col("a_f") != F.col("b_f"))).select(F.when(ends, F.col("a_f")).otherwise(F.col("b_f")).alias("a"), F.when(ends, F.col("b_f")).otherwise(F.col("a_f")).alias("b"))
 
 
-def _stars(members: DataFrame, heads: DataFrame, names: list[str], slim: DataFrame, share: int) -> DataFrame:
-    """Pairs of the members of large nodes with their nodes' leaders."""
-    stars = members.select("node", "f").join(heads, "node").select(F.col("f").alias("b_f"), F.explode(F.array_distinct(F.array(*names))).alias("a_f"))
-    a, b = (slim.select(*(F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "low", "high"))) for s in "ab")
-    return _likely(stars.where("a_f != b_f").distinct().join(b, "b_f").join(a, "a_f"), share)
-
-
-def candidates(classes: DataFrame, trees: int, limit: int, depth: int, leaders: int, share: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs (a, b) of classes to compare, and the rows of the nodes that stayed large (with leaders h0, h1, ...)."""
+def candidates(classes: DataFrame, trees: int, limit: int, depth: int, share: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (a, b) of classes to compare, and (node, f) of the nodes that stayed large."""
     slim = classes.select("f", "n", "low", "high")
     start = F.explode(F.array(*(F.lit(t) for t in range(trees)))).alias("t")
     rows = classes.select("f", "sketch", start).select("f", _step(F.col("t").cast("long"), F.col("sketch"), 7).alias("node"))
     pairs: DataFrame | None = None
     families: DataFrame | None = None
     for level in range(1, depth + 1):
-        held = _nodes(rows, level, limit)
+        held = _nodes(rows)
         small = held.where(F.col("c") <= limit).select("node", "f").join(slim, "f")
         a, b = (small.select("node", *(F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "low", "high"))) for s in "ab")
         found = _likely(a.join(b, "node").where(F.col("a_f") < F.col("b_f")), share)
@@ -138,15 +132,21 @@ def candidates(classes: DataFrame, trees: int, limit: int, depth: int, leaders:
             child = F.explode(F.array_compact(F.array(_step(F.col("node"), F.col("sketch"), 1), second)))
             rows = more.select("f", child.alias("node")).distinct()
         else:
-            # a family's centre is in most of its nodes: the first leader is central, the others any
-            often = large.groupBy("f").agg(F.count(F.lit(1)).alias("often"))
-            ranks = [F.struct(-F.col("often"), F.xxhash64("f")), *(F.struct(F.lit(0).cast("long"), F.xxhash64("f", "node", F.lit(i))) for i in range(1, leaders + MORE_LEADERS))]
-            heads = durable(large.join(often, "f").groupBy("node").agg(*(F.min_by("f", r).alias(f"h{i}") for i, r in enumerate(ranks))))
-            pairs = pairs.unionByName(_stars(large, heads, [f"h{i}" for i in range(leaders)], slim, share))
-            families = large.select("node", "f").join(heads, "node")
+            families = large.select("node", "f")
     return pairs.distinct(), families
 
 
+def _leaders(families: DataFrame, roots: DataFrame, slim: DataFrame, share: int, turn: int) -> DataFrame:
+    """Pairs (a, b): a class of a family with a leader of another component that is the largest in one of its nodes; one pair per class at most."""
+    rows = families.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    parts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"), F.min_by("f", F.xxhash64("f", F.lit(turn))).alias("head"))
+    heads = parts.groupBy("node").agg(F.max_by(F.struct("root", "head"), F.struct("c", F.xxhash64("root"))).alias("h"))
+    met = rows.join(heads, "node").where("root != h.root")
+    met = met.groupBy(F.col("f").alias("b_f")).agg(F.min_by("h.head", F.xxhash64("h.head", F.lit(turn))).alias("a_f"))
+    a, b = (slim.select(*(F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "low", "high"))) for s in "ab")
+    return _likely(met.join(b, "b_f").join(a, "a_f"), share).distinct()
+
+
 def _packed_sets(n: int):
     def run(batches):
         for batch in batches:
@@ -251,9 +251,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = durable(star(star(edges, True), False))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == last:
-            break
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
         last = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) when links (a, b) join their components; nodes without a root are their own."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct()
+    top = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    single = top.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti")
+    return durable(roots.unionByName(single).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _ancestors(links: DataFrame, jumps: int = 3) -> DataFrame:
@@ -264,21 +273,22 @@ def _ancestors(links: DataFrame, jumps: int = 3) -> DataFrame:
     return up
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 24, limit: int = 16, depth: int = 4, leaders: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 24, limit: int = 16, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked, directly or through others, by a Jaccard similarity of `share` % or more of their n-word shingle sets.
 
     Words are lower-cased (A-Z) runs of characters other than space and 0x09-0x0D; a text of fewer than n words is one shingle.
     component_id is the smallest doc_id of the component; kept marks the row that has it.
 
-    Edges: null and empty texts have no shingles and are linked with nothing; a null id is the largest, and a component of null ids
-    only has the null id (its rows are kept); rows that repeat an id are kept or dropped together; every input row gives one row.
+    Edges: null and empty texts have no shingles and are linked with nothing; a very long text counts whole; a null id is the largest, and a component
+    of null ids only has the null id (its rows are kept); rows that repeat an id are kept or dropped together; every input row gives one row; other columns of the input don't matter.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = durable(own.mapInArrow(_sketches(n), "id long, n long, f binary, sketch array<int>, low long, high long"))
     key = F.coalesce("id", F.lit(_LAST))
     classes = durable(rows.where("f is not null").groupBy("f").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "low", "high"))))
-    pairs, families = candidates(classes, trees, limit, depth, leaders, share)
+    rows = rows.select("id", "n", "f")
+    pairs, families = candidates(classes, trees, limit, depth, share)
     pairs = durable(pairs)
     slim = classes.select("f", "n", "low", "high")
     members = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f")))
@@ -294,27 +304,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 2
     part = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     open_ = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
     open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(open_, sets, share))
-    if families is not None:  # classes of a family that have no link yet meet more of its members
-        links = durable(links)
-        ends = links.select(F.explode(F.array("a", "b")).alias("f")).distinct()
-        alone = families.join(ends, "f", "left_anti").select("f", "node")
-        more = [f"h{i}" for i in range(leaders, leaders + MORE_LEADERS)]
-        further = _stars(alone, families.select("node", *more).distinct(), more, slim, share).distinct()
-        links = links.unionByName(confirmed(further, sets, share))
-    roots = components(links)
-    if families is not None:  # all that is still apart in the families, exactly; what it links are whole components
-        roots = durable(roots)
+    roots = durable(components(links.unionByName(confirmed(open_, sets, share))))
+    if families is not None:
+        for turn in range(_ROUNDS):
+            roots = _merged(roots, confirmed(_leaders(families, roots, slim, share, turn), sets, share))
+        # all that is still apart in the families, exactly; what it links are whole components
         crossing = durable(confirmed(_across(sets.join(large, "f"), slim, roots, share), sets, share))
         if not crossing.isEmpty():
-            end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            joined = crossing.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct()
-            top = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-            single = top.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti")
-            roots = roots.unionByName(single).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            roots = _merged(roots, crossing)
     named = classes.select("f", "rep").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select("f", "least")
-    out = rows.select("id", "n", "f").join(named, "f", "left")
+    out = rows.join(named, "f", "left")
     component = F.when(F.col("f").isNull(), F.col("id")).when(F.col("least") < _LAST, F.col("least"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
