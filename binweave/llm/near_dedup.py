@@ -20,6 +20,8 @@ only is found by step 5.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,7 @@ _MULTIPLIERS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7
 _OFFSETS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0xD1B54A32D192ED03))
 _LAST = (1 << 63) - 1
 #: Rounds in which large nodes elect leaders; any number gives the same components.
-_ROUNDS = 3
+_ROUNDS = 2
 #: Bits of the table by which shingles are ordered from rare to frequent; any table gives the same links.
 _TABLE = 20
 #: Rows of one shingle that a block has.
@@ -256,15 +258,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (node, root) when links (a, b) join their components; nodes without a root are their own."""
+def _between(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between the roots of their ends, the smaller root first; nodes without a root are their own."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct()
-    top = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    return ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _relabelled(roots: DataFrame, top: DataFrame) -> DataFrame:
+    """roots (node, root) when each root of `top` (root, top) becomes its top."""
     single = top.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti")
     return durable(roots.unionByName(single).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots when links (a, b) join their components."""
+    return _relabelled(roots, components(_between(roots, links)).select(F.col("node").alias("root"), F.col("root").alias("top")))
+
+
+def _hung(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots when each hangs on the smallest root that it is linked with: parts of components, that are whole where links form stars."""
+    up = _between(roots, links).groupBy(F.col("b").alias("root")).agg(F.min("a").alias("top"))
+    over = up.select(F.col("root").alias("top"), F.col("top").alias("next"))
+    return _relabelled(roots, durable(up.join(over, "top", "left").select("root", F.coalesce("next", "top").alias("top"))))
+
+
 def _ancestors(links: DataFrame, jumps: int = 3) -> DataFrame:
     """(node, root): an ancestor up to 2**jumps steps up for links (a, b) with one a per b: never outside the node's component."""
     up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -306,12 +324,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 2
     open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
     roots = durable(components(links.unionByName(confirmed(open_, sets, share))))
     if families is not None:
+        near, met = roots, []
         for turn in range(_ROUNDS):
-            roots = _merged(roots, confirmed(_leaders(families, roots, slim, share, turn), sets, share))
-        # all that is still apart in the families, exactly; what it links are whole components
-        crossing = durable(confirmed(_across(sets.join(large, "f"), slim, roots, share), sets, share))
-        if not crossing.isEmpty():
-            roots = _merged(roots, crossing)
+            met.append(durable(confirmed(_leaders(families, near, slim, share, turn), sets, share)))
+            near = _hung(near, met[-1])
+        # all that is still apart in the families, exactly
+        met.append(confirmed(_across(sets.join(large, "f"), slim, near, share), sets, share))
+        roots = _merged(roots, reduce(DataFrame.unionByName, met))
     named = classes.select("f", "rep").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select("f", "least")
