@@ -6,40 +6,34 @@
    each class following one or two further tokens chosen by the node's path, `depth` levels down.
 3. Classes in a small node are compared exhaustively (with sizes and sketch bits first), and links are confirmed on full sets: first one
    candidate per class, then all candidates that still join different components.
-4. Nodes still large at the last level hold families of near copies.  There components are contracted: in `_ROUNDS` rounds the largest component
-   of each node elects a leader, and every class outside that component is compared with one leader, so a round has a row per class.
-5. Classes of the families that are still in different components are joined exactly (`_across`), by the rarest shingles
-   of their sets: what leaders have not met is compared there, in blocks, however large a family is.  Rounds only save work; links don't depend on them.
+4. Nodes still large at the last level hold families of near copies.  The classes of such a node are dealt into blocks, and every two
+   blocks meet in one task, which compares all pairs that are not in one component yet (`_compare`): on sizes and sketch bits, then on the
+   full sets.  What is linked there is one component at once, so a family of near copies costs little, and no pair is left out.
 
 Components come from alternating large-star and small-star steps.
 
-Two sets at the threshold agree in a token with probability `share`/100, so a pair escapes one tree with probability 1 - share^depth
-at most and all of them with that to the power of `trees`: under 1e-5 for 0.8, 4 and 24.  A pair that meets in a large node
-only is found by step 5.
+Two sets at the threshold stay together in a tree of 4 levels with probability 0.51 (a token agrees with 0.8; a quarter of the nodes have a
+second branch), so a pair escapes 16 trees with probability 1e-5, and 24 with 3e-8.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import durable, small_batches
-from ._text import U, mix64, shingles, slices, utf8, word_hashes
+from ._text import U, mix64, shingles, slices, spread, utf8, word_hashes
 
 _COORDINATES = 128
 _MULTIPLIERS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _OFFSETS = mix64(np.arange(1, _COORDINATES + 1, dtype=U) * U(0xD1B54A32D192ED03))
 _LAST = (1 << 63) - 1
-#: Rounds in which large nodes elect leaders; any number gives the same components.
-_ROUNDS = 2
-#: Bits of the table by which shingles are ordered from rare to frequent; any table gives the same links.
-_TABLE = 20
-#: Rows of one shingle that a block has.
-_ROWS = 2048
+#: Classes, and bytes of their sets, in a block of a large node.
+_ROWS, _BYTES = 2048, 16 << 20
+#: Sketch bits in which two sets at the threshold may differ: 12.8 are expected, give or take 3.4.
+_DIFFER = 32
 
 
 def minwise(items: np.ndarray) -> np.ndarray:
@@ -103,20 +97,18 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _likely(df: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches leave possible.
-
-    The smaller set has `share` % of the larger at least; at the threshold 115 of 128 sketch bits agree, give or take 3.4.
-    """
-    fit = (100 * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n")) & (F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) <= 36)
+    """Pairs (a, b) that sizes and sketches leave possible; the smaller set has `share` % of the larger at least."""
+    differ = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
+    fit = (100 * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n")) & (differ <= _DIFFER)
     ends = F.col("a_f") < F.col("b_f")
     return df.where(fit & (F.col("a_f") != F.col("b_f"))).select(F.when(ends, F.col("a_f")).otherwise(F.col("b_f")).alias("a"), F.when(ends, F.col("b_f")).otherwise(F.col("a_f")).alias("b"))
 
 
-def candidates(classes: DataFrame, trees: int, limit: int, depth: int, share: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs (a, b) of classes to compare, and (node, f) of the nodes that stayed large."""
+def candidates(classes: DataFrame, trees: int, limit: int, depth: int, share: int, family_trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (a, b) of classes to compare, and (node, f) of the nodes of the first `family_trees` trees that stayed large."""
     slim = classes.select("f", "n", "low", "high")
-    start = F.explode(F.array(*(F.lit(t) for t in range(trees)))).alias("t")
-    rows = classes.select("f", "sketch", start).select("f", _step(F.col("t").cast("long"), F.col("sketch"), 7).alias("node"))
+    start = F.explode(F.array(*(F.lit(t).cast("byte") for t in range(trees)))).alias("t")
+    rows = classes.select("f", "sketch", start).select("f", _step(F.col("t").cast("long"), F.col("sketch"), 7).alias("node"), "t")
     pairs: DataFrame | None = None
     families: DataFrame | None = None
     for level in range(1, depth + 1):
@@ -129,26 +121,15 @@ def candidates(classes: DataFrame, trees: int, limit: int, depth: int, share: in
         if large.isEmpty():
             break
         if level < depth:
-            more = large.select("f", "node").distinct().join(classes.select("f", "sketch"), "f")
+            more = large.select("f", "node", "t").join(classes.select("f", "sketch"), "f")
             second = F.when(F.pmod(F.xxhash64("node", F.lit(99)), F.lit(4)) == 0, _step(F.col("node"), F.col("sketch"), 2))
             child = F.explode(F.array_compact(F.array(_step(F.col("node"), F.col("sketch"), 1), second)))
-            rows = more.select("f", child.alias("node")).distinct()
+            rows = more.select("f", child.alias("node"), "t").distinct()
         else:
-            families = large.select("node", "f")
+            families = large.where(F.col("t") < family_trees).select("node", "f")
     return pairs.distinct(), families
 
 
-def _leaders(families: DataFrame, roots: DataFrame, slim: DataFrame, share: int, turn: int) -> DataFrame:
-    """Pairs (a, b): a class of a family with a leader of another component that is the largest in one of its nodes; one pair per class at most."""
-    rows = families.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    parts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"), F.min_by("f", F.xxhash64("f", F.lit(turn))).alias("head"))
-    heads = parts.groupBy("node").agg(F.max_by(F.struct("root", "head"), F.struct("c", F.xxhash64("root"))).alias("h"))
-    met = rows.join(heads, "node").where("root != h.root")
-    met = met.groupBy(F.col("f").alias("b_f")).agg(F.min_by("h.head", F.xxhash64("h.head", F.lit(turn))).alias("a_f"))
-    a, b = (slim.select(*(F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "low", "high"))) for s in "ab")
-    return _likely(met.join(b, "b_f").join(a, "a_f"), share).distinct()
-
-
 def _packed_sets(n: int):
     def run(batches):
         for batch in batches:
@@ -180,58 +161,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(_confirm(share), "a binary, b binary").distinct()
 
 
-def _bucket(items: np.ndarray) -> np.ndarray:
-    return (mix64(items) >> U(64 - _TABLE)).astype(np.int64)
-
-
-def _tally(batches):
-    total = np.zeros(1 << _TABLE, np.int64)
-    for batch in batches:
-        for x in batch.column("items"):
-            total += 0 if not len(items := np.frombuffer(x.as_buffer(), U)) else np.bincount(_bucket(items), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "c"])
-
-
-def _prefixes(held, share: int):
-    """The rarest shingles of a set: two sets at the threshold have one of them in common, as both follow one order."""
-    def run(batches):
-        counts = held.value
-        for batch in batches:
-            out = []
-            for x in batch.column("items"):
-                items = np.frombuffer(x.as_buffer(), U)
-                most = len(items) + share * len(items) // -100 + 1
-                out.append(items[np.lexsort((items, counts[_bucket(items)]))[:most]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(out, pa.list_(pa.int64()))], ["f", "tokens"])
+def _compare(share: int):
+    """Links (a, b) between the components that a task finds linked in a block, or between two blocks: one per class at most."""
+    def run(key, table):
+        one = key[1].as_py() == key[2].as_py()
+        side = table.column("side").to_numpy()
+        n, low, high = table.column("n").to_numpy(), *(table.column(c).to_numpy().view(U) for c in ("low", "high"))
+        names = table.column("f").combine_chunks()
+        _, label = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+        # the sets as numbers of a vocabulary of their own
+        raw = [np.frombuffer(x.as_buffer(), U) for x in table.column("items").combine_chunks()]
+        size = np.array([len(x) for x in raw])
+        vocabulary, tokens = np.unique(np.concatenate(raw), return_inverse=True)
+        begin, mark = np.cumsum(size) - size, np.zeros(len(vocabulary), bool)
+        before = label.copy()
+        for i in range(len(n)) if one else np.flatnonzero(side == 0):
+            j = np.arange(i + 1, len(n)) if one else np.flatnonzero(side == 1)
+            j = j[label[j] != label[i]]
+            j = j[(100 * np.minimum(n[j], n[i]) >= share * np.maximum(n[j], n[i])) & (np.bitwise_count(low[j] ^ low[i]) + np.bitwise_count(high[j] ^ high[i]) <= _DIFFER)]
+            if not len(j):
+                continue
+            mark[tokens[begin[i] : begin[i] + size[i]]] = True
+            both = np.add.reduceat(mark[tokens[spread(begin[j], size[j])]], np.cumsum(size[j]) - size[j], dtype=np.int64)
+            mark[tokens[begin[i] : begin[i] + size[i]]] = False
+            j = j[100 * both >= share * (n[i] + n[j] - both)]
+            if len(j):
+                label[np.isin(label, label[j])] = label[i]
+        # a class that has moved is linked with the first of its new component
+        first = np.zeros(label.max() + 1, np.int64)
+        first[label[::-1]] = np.arange(len(label))[::-1]
+        of = np.zeros(before.max() + 1, np.int64)  # one class speaks for each former component
+        of[before[::-1]] = np.arange(len(label))[::-1]
+        moved = of[np.unique(before)]
+        moved = moved[first[label[moved]] != moved]
+        return pa.table([names.take(pa.array(first[label[moved]])), names.take(pa.array(moved))], ["a", "b"])
 
     return run
 
 
-def _across(sets: DataFrame, slim: DataFrame, roots: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the threshold: none that does is left out by the prefixes and bounds.
-
-    For each shingle only classes outside its main component are compared with all, so a family in one component costs nothing.
-    """
-    spark = sets.sparkSession
-    table = sets.select("items").mapInArrow(_tally, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(1 << _TABLE, np.int64)
-    counts[table.column("bucket").to_numpy()] = table.column("c").to_numpy()
-    tokens = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), share), "f binary, tokens array<long>")
-    root = F.coalesce("root", "f").alias("root")
-    rows = durable(tokens.join(slim, "f").join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", root, "n", "low", "high", F.posexplode("tokens").alias("pos", "token")))
-    of = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots"))
-    blocks = lambda c: F.ceil(c / _ROWS).cast("int")
-    held = rows.join(of.where("roots > 1").select("token", "main", blocks(F.col("c") - F.col("most")).alias("i_most"), blocks(F.col("c")).alias("j_most")), "token")
-    named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("f", "root", "n", "low", "high", "pos")]
-    own = lambda most: F.pmod(F.xxhash64("f"), F.col(most)).cast("int")
-    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
-    minor = held.where("root != main").select("token", own("i_most").alias("i"), every("j_most").alias("j"), *named("a"))
-    whole = held.select("token", own("j_most").alias("j"), every("i_most").alias("i"), (F.col("root") == F.col("main")).alias("in_main"), *named("b"))
-    both = minor.join(whole, ["token", "i", "j"]).where("a_root != b_root and (in_main or a_f < b_f)")
-    # the most that two sets with this shingle at these places of the order can share
-    shared = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1)
-    return _likely(both.where((100 + share) * shared >= share * (F.col("a_n") + F.col("b_n"))), share).distinct()
+def _within(families: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join all components which pairs of the families' nodes link."""
+    rows = families.join(classes.select("f", "n", "low", "high"), "f").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    parts = rows.groupBy("node").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _ROWS), F.ceil(F.sum("n") * 8 / _BYTES)).cast("int").alias("parts"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
+    own = F.pmod(F.xxhash64("f", "node"), F.col("parts")).cast("int").alias("own")
+    dealt = rows.join(parts, "node").select("node", "f", "root", "n", "low", "high", own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "f", "root", "n", "low", "high").join(sets, "f")
+    return dealt.groupBy("node", "i", "j").applyInArrow(_compare(share), "a binary, b binary")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -265,22 +240,11 @@ def _between(roots: DataFrame, links: DataFrame) -> DataFrame:
     return ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _relabelled(roots: DataFrame, top: DataFrame) -> DataFrame:
-    """roots (node, root) when each root of `top` (root, top) becomes its top."""
-    single = top.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti")
-    return durable(roots.unionByName(single).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-
-
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots when links (a, b) join their components."""
-    return _relabelled(roots, components(_between(roots, links)).select(F.col("node").alias("root"), F.col("root").alias("top")))
-
-
-def _hung(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots when each hangs on the smallest root that it is linked with: parts of components, that are whole where links form stars."""
-    up = _between(roots, links).groupBy(F.col("b").alias("root")).agg(F.min("a").alias("top"))
-    over = up.select(F.col("root").alias("top"), F.col("top").alias("next"))
-    return _relabelled(roots, durable(up.join(over, "top", "left").select("root", F.coalesce("next", "top").alias("top"))))
+    """roots (node, root) when links (a, b) join their components."""
+    top = components(_between(roots, links)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    single = top.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti")
+    return roots.unionByName(single).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def _ancestors(links: DataFrame, jumps: int = 3) -> DataFrame:
@@ -291,7 +255,7 @@ def _ancestors(links: DataFrame, jumps: int = 3) -> DataFrame:
     return up
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 24, limit: int = 16, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 24, limit: int = 16, depth: int = 4, family_trees: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked, directly or through others, by a Jaccard similarity of `share` % or more of their n-word shingle sets.
 
     Words are lower-cased (A-Z) runs of characters other than space and 0x09-0x0D; a text of fewer than n words is one shingle.
@@ -306,7 +270,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 2
     key = F.coalesce("id", F.lit(_LAST))
     classes = durable(rows.where("f is not null").groupBy("f").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "low", "high"))))
     rows = rows.select("id", "n", "f")
-    pairs, families = candidates(classes, trees, limit, depth, share)
+    pairs, families = candidates(classes, trees, limit, depth, share, family_trees)
     pairs = durable(pairs)
     slim = classes.select("f", "n", "low", "high")
     members = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f")))
@@ -324,13 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, trees: int = 2
     open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
     roots = durable(components(links.unionByName(confirmed(open_, sets, share))))
     if families is not None:
-        near, met = roots, []
-        for turn in range(_ROUNDS):
-            met.append(durable(confirmed(_leaders(families, near, slim, share, turn), sets, share)))
-            near = _hung(near, met[-1])
-        # all that is still apart in the families, exactly
-        met.append(confirmed(_across(sets.join(large, "f"), slim, near, share), sets, share))
-        roots = _merged(roots, reduce(DataFrame.unionByName, met))
+        roots = durable(_merged(roots, durable(_within(families, classes, sets, roots, share))))
     named = classes.select("f", "rep").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select("f", "least")
