@@ -1 +1 @@
-"""Multi-dimensional generalised histograms on PySpark DataFrames."""
+"""Multi-dimensional generalised binned tables on PySpark DataFrames."""

@@ -1,6 +1,6 @@
-"""The histogram: axes on the driver, cells in a DataFrame (i0, i1, ..., state).
+"""The binned table: axes on the driver, cells in a DataFrame (i0, i1, ..., state).
 
-Cells are sparse: a cell that isn't there has the accumulator's zero.  Every operation on a filled histogram is a
+Cells are sparse: a cell that isn't there has the accumulator's zero.  Every operation on a filled binned table is a
 projection of bin numbers followed by a merge of states, on a table as small as the number of cells.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.fill import as_column, axis_columns, fill_cells, keys
-from .accumulator import Accumulator, BigCount, Count, Fraction, Mean, WeightedMean, WeightedSum
+from .accumulator import Accumulator, BigCount, Count, Fraction, Mean, WeightedMean, WeightedSum, exact_sum
 from .axis import Axis, Category, Integer, Regular
 from .reduce import Command, normalised, plan
 
@@ -36,10 +36,10 @@ def _moved(old: Axis, new: Axis, i: Column) -> Column:
     return F.when(i < 0, i).when(i >= old.size, F.lit(new.size)).otherwise(inner).cast("int")
 
 
-class Histogram:
+class Binned:
     def __init__(self, *axes: Axis, accumulator: Accumulator | None = None, cells: DataFrame | None = None):
         if not 1 <= len(axes) <= MAX_RANK:
-            raise ValueError(f"a histogram has 1 to {MAX_RANK} axes")
+            raise ValueError(f"a binned table has 1 to {MAX_RANK} axes")
         self.axes, self.accumulator, self._cells = list(axes), accumulator or Count(), cells
 
     # --- inspection
@@ -72,20 +72,20 @@ class Histogram:
             return session.createDataFrame([], self.schema)
         return self._cells
 
-    def _with(self, axes: list[Axis], cells: DataFrame | None, acc: Accumulator | None = None) -> Histogram:
-        return Histogram(*axes, accumulator=acc or self.accumulator, cells=cells)
+    def _with(self, axes: list[Axis], cells: DataFrame | None, acc: Accumulator | None = None) -> Binned:
+        return Binned(*axes, accumulator=acc or self.accumulator, cells=cells)
 
-    def cached(self) -> Histogram:
+    def cached(self) -> Binned:
         """Keep the cells, so that several readings share one pass over the rows."""
         return self._with(self.axes, self.cells.cache())
 
-    def reset(self) -> Histogram:
+    def reset(self) -> Binned:
         return self._with(self.axes, None)
 
     # --- filling
 
-    def fill(self, df: DataFrame, *columns, weight=None, sample=None, order_by=None, shift: float | None = None, inner_only: bool = False) -> Histogram:
-        """This histogram after seeing the rows.  Columns are names, expressions or constants; a row without a cell is left out.
+    def fill(self, df: DataFrame, *columns, weight=None, sample=None, order_by=None, shift: float | None = None, inner_only: bool = False) -> Binned:
+        """This binned table after seeing the rows.  Columns are names, expressions or constants; a row without a cell is left out.
 
         NULL in an axis column counts like NaN; rows with a NULL weight or sample are left out.
         """
@@ -98,13 +98,13 @@ class Histogram:
         new = self._with(axes, fill_cells(df, axes, acc, list(columns), weight, sample, order, shift, inner_only), acc)
         return new if self._cells is None else self._moved_to(axes)._merged_with(new)
 
-    def _moved_to(self, axes: list[Axis]) -> Histogram:
+    def _moved_to(self, axes: list[Axis]) -> Binned:
         if axes == self.axes:
             return self
         moved = [_moved(a, b, F.col(k)).alias(k) for a, b, k in zip(self.axes, axes, self.keys)]
         return self._with(axes, self.cells.select(*moved, *(c for c, _ in self.accumulator.state)))
 
-    def _regroup(self, axes: list[Axis], index: list[Column]) -> Histogram:
+    def _regroup(self, axes: list[Axis], index: list[Column]) -> Binned:
         """Cells under new bin numbers (NULL: dropped), states of one number merged."""
         names = keys(axes)
         rows = self.cells.select(*(i.alias(n) for i, n in zip(index, names)), *(c for c, _ in self.accumulator.state)).na.drop(subset=names)
@@ -157,13 +157,13 @@ class Histogram:
     def __getitem__(self, index) -> dict:
         return self.at(*(index if isinstance(index, tuple) else (index,)))
 
-    def with_cell(self, *index: int, **state) -> Histogram:
+    def with_cell(self, *index: int, **state) -> Binned:
         """The same with one cell's state replaced."""
         where = self._checked(index)
         row = self.cells.sparkSession.range(1).select(*(F.lit(i).cast("int").alias(k) for k, i in zip(self.keys, index)), *(F.lit(state.get(c, 0)).cast(t).alias(c) for c, t in self.accumulator.state))
         return self._with(self.axes, self.cells.where(~where).unionByName(row))
 
-    def map_cells(self, **state: Column) -> Histogram:
+    def map_cells(self, **state: Column) -> Binned:
         """All cells, untouched ones too, with states computed from their old ones."""
         cells = self.dense()
         return self._with(self.axes, cells.select(*self.keys, *(state.get(c, F.col(c)).cast(t).alias(c) for c, t in self.accumulator.state)))
@@ -209,7 +209,7 @@ class Histogram:
         out = self.table(dense=True)
         return bool((out.where(self._inner()) if coverage == "inner" else out).agg(F.bool_or(test)).first()[0])
 
-    def cosine(self, other: Histogram) -> float:
+    def cosine(self, other: Binned) -> float:
         """Cosine similarity of the inner cells' values."""
         a, b = (h.table().where(h._inner()).select(*h.keys, F.col("value").cast("double").alias(n)) for h, n in ((self, "a"), (other, "b")))
         both = a.join(b, self.keys, "full_outer").na.fill(0.0)
@@ -226,13 +226,16 @@ class Histogram:
     def sum_state(self, coverage: str = "all") -> DataFrame:
         cells = self.cells.where(self._inner()) if coverage == "inner" else self.cells
         zero = self.accumulator.zero()
+        doubles = [c for c, t in self.accumulator.state if t == "double"]
+        if isinstance(self.accumulator, (Count, WeightedSum)) and doubles:  # real cells may cancel
+            return cells.sparkSession.range(1).select(*(exact_sum(cells, c).alias(c) for c in doubles))
         return cells.agg(*self.accumulator.merge()).select(*(F.coalesce(F.col(c), zero[c]).alias(c) for c, _ in self.accumulator.state))
 
     def empty(self, coverage: str = "all") -> bool:
         cells, zero = (self.cells.where(self._inner()) if coverage == "inner" else self.cells), self.accumulator.zero()
         return cells.where(fold(Column.__or__, [~F.col(c).eqNullSafe(zero[c]) for c, _ in self.accumulator.state])).isEmpty()
 
-    def project(self, *axes: int) -> Histogram:
+    def project(self, *axes: int) -> Binned:
         """Keep these axes, in this order; cells of the others, flow bins too, are merged."""
         if len(set(axes)) != len(axes):
             raise ValueError("axes must be different")
@@ -240,7 +243,7 @@ class Histogram:
             raise ValueError("no such axis")
         return self._regroup([self.axes[k] for k in axes], [F.col(f"i{k}") for k in axes])
 
-    def reduce(self, *commands: Command) -> Histogram:
+    def reduce(self, *commands: Command) -> Binned:
         chosen = normalised([c for x in commands for c in (x if isinstance(x, (list, tuple)) else [x])], self.rank)
         plans = [plan(a, chosen.get(k), F.col(f"i{k}")) for k, a in enumerate(self.axes)]
         return self._regroup([p.axis for p in plans], [p.index for p in plans])
@@ -254,7 +257,7 @@ class Histogram:
 
     # --- operators
 
-    def _promoted(self, acc: Accumulator) -> Histogram:
+    def _promoted(self, acc: Accumulator) -> Binned:
         """The same cells in a wider accumulator: whole < big < real < weighted."""
         if acc == self.accumulator:
             return self
@@ -269,20 +272,20 @@ class Histogram:
         rank = lambda x: (0 if not x.real else 2) if isinstance(x, Count) else 1 if isinstance(x, BigCount) else 3
         return a if rank(a) >= rank(b) else b
 
-    def _merged_with(self, other: Histogram) -> Histogram:
+    def _merged_with(self, other: Binned) -> Binned:
         acc = self._common(self.accumulator, other.accumulator)
         a, b = self._promoted(acc), other._promoted(acc)
         cells = a.cells.unionByName(b.cells).groupBy(*self.keys).agg(*acc.merge())
         return self._with(a.axes, cells, acc)
 
-    def __add__(self, other: Histogram) -> Histogram:
+    def __add__(self, other: Binned) -> Binned:
         """Cell by cell; growing integer and category axes may differ and are merged."""
         if self.rank != other.rank:
-            raise ValueError("histograms of different rank")
+            raise ValueError("binned tables of different rank")
         axes = [a.merged(b) for a, b in zip(self.axes, other.axes)]
         return self._moved_to(axes)._merged_with(other._moved_to(axes))
 
-    def _aligned(self, other: Histogram, allowed: tuple) -> tuple[DataFrame, Accumulator]:
+    def _aligned(self, other: Binned, allowed: tuple) -> tuple[DataFrame, Accumulator]:
         if self.axes != other.axes:
             raise ValueError("axes differ")
         acc = self._common(self.accumulator, other.accumulator)
@@ -295,12 +298,12 @@ class Histogram:
         both = left.join(right, self.keys, "full_outer")
         return both.select(*self.keys, *(F.coalesce(F.col(f"{p}_{c}"), zero[c]).alias(f"{p}_{c}") for p in "ab" for c, _ in acc.state)), acc
 
-    def __sub__(self, other: Histogram) -> Histogram:
+    def __sub__(self, other: Binned) -> Binned:
         both, acc = self._aligned(other, (Count, BigCount))
         return self._with(self.axes, both.select(*self.keys, (F.col("a_value") - F.col("b_value")).cast(acc.state[0][1]).alias("value")), acc)
 
-    def __mul__(self, other) -> Histogram:
-        if not isinstance(other, Histogram):
+    def __mul__(self, other) -> Binned:
+        if not isinstance(other, Binned):
             cells = self.cells.select(*self.keys, *(c.alias(n) for n, c in self.accumulator.scale(other).items()))
             return self._with(self.axes, cells, self.accumulator.scaled)
         both, acc = self._aligned(other, (Count, BigCount))
@@ -308,9 +311,9 @@ class Histogram:
 
     __rmul__ = __mul__
 
-    def __truediv__(self, other) -> Histogram:
+    def __truediv__(self, other) -> Binned:
         """By a number, or cell by cell in doubles (0/0 is NaN, so all cells are laid out; the variance of weighted sums is propagated)."""
-        if not isinstance(other, Histogram):
+        if not isinstance(other, Binned):
             return self * (1.0 / other)
         _, acc = self._aligned(other, (Count, BigCount, WeightedSum))
         both, _ = self._with(self.axes, self.dense())._aligned(other, (Count, BigCount, WeightedSum))
@@ -324,7 +327,7 @@ class Histogram:
         return self._with(self.axes, both.select(*self.keys, ratio.alias("value"), variance.alias("variance")), acc)
 
     def __eq__(self, other) -> bool:
-        if not isinstance(other, Histogram) or self.axes != other.axes or self.accumulator.name != other.accumulator.name:
+        if not isinstance(other, Binned) or self.axes != other.axes or self.accumulator.name != other.accumulator.name:
             return False
         names, zero = [c for c, _ in self.accumulator.state], self.accumulator.zero()
         a = self.cells.select(*self.keys, *(F.col(c).alias(f"a_{c}") for c in names))
@@ -335,20 +338,20 @@ class Histogram:
     __hash__ = None
 
     def __repr__(self) -> str:
-        return f"histogram({', '.join(map(repr, self.axes))}, accumulator={self.accumulator.name})"
+        return f"binned table({', '.join(map(repr, self.axes))}, accumulator={self.accumulator.name})"
 
 
-def weighted_histogram(*axes: Axis) -> Histogram:
-    return Histogram(*axes, accumulator=WeightedSum())
+def weighted_binned(*axes: Axis) -> Binned:
+    return Binned(*axes, accumulator=WeightedSum())
 
 
-def profile(*axes: Axis) -> Histogram:
-    return Histogram(*axes, accumulator=Mean())
+def profile(*axes: Axis) -> Binned:
+    return Binned(*axes, accumulator=Mean())
 
 
-def weighted_profile(*axes: Axis) -> Histogram:
-    return Histogram(*axes, accumulator=WeightedMean())
+def weighted_profile(*axes: Axis) -> Binned:
+    return Binned(*axes, accumulator=WeightedMean())
 
 
-def fraction(*axes: Axis) -> Histogram:
-    return Histogram(*axes, accumulator=Fraction())
+def fraction(*axes: Axis) -> Binned:
+    return Binned(*axes, accumulator=Fraction())

@@ -12,7 +12,7 @@ from ..functions.transforms import Log, Pow, Sqrt
 from ..operators import reduce as R
 from ..operators.accumulator import BigCount, Collector, Count, Custom, Fraction, Mean, Sum, WeightedMean, WeightedSum, maximum, means
 from ..operators.axis import Adapted, UserAxis, boolean, category, circular, integer, regular, regular_step, variable
-from ..operators.histogram import Histogram
+from ..operators.binned import Binned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,86 +75,86 @@ def disc4():
 
 @query(dense(f"SELECT {PRICE} AS i0 FROM lineitem", -1, 21))
 def hist_regular(spark, d):
-    return Histogram(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice").table(dense=True)
+    return Binned(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice").table(dense=True)
 
 
 @query(dense(f"SELECT * FROM (SELECT {reg('l_discount', 5, '0.0::DOUBLE', '0.1::DOUBLE', False)} AS i0 FROM lineitem) WHERE i0 BETWEEN 0 AND 4", 0, 5))
 def hist_regular_noflow(spark, d):
-    return Histogram(regular(5, 0, 0.1, options=())).fill(table(spark, d, "lineitem"), "l_discount").table(dense=True)
+    return Binned(regular(5, 0, 0.1, options=())).fill(table(spark, d, "lineitem"), "l_discount").table(dense=True)
 
 
 @query(dense(f"SELECT * FROM (SELECT {PRICE} AS i0 FROM lineitem) WHERE i0 BETWEEN 0 AND 19", 0, 20))
 def hist_inner_pushdown(spark, d):
-    h = Histogram(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice", inner_only=True)
+    h = Binned(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice", inner_only=True)
     return h.table(dense=True).where(h.axes[0].inner(F.col("i0")))
 
 
 @query(dense(f"SELECT {reg('ln(o_totalprice)', 12, 'ln(1000.0::DOUBLE)', 'ln(500000.0::DOUBLE) - ln(1000.0::DOUBLE)')} AS i0 FROM orders", -1, 13))
 def hist_log(spark, d):
-    return Histogram(regular(12, 1000, 500000, transform=Log())).fill(table(spark, d, "orders"), "o_totalprice").table(dense=True)
+    return Binned(regular(12, 1000, 500000, transform=Log())).fill(table(spark, d, "orders"), "o_totalprice").table(dense=True)
 
 
 @query(dense(f"SELECT {reg('CASE WHEN c_acctbal < 0 THEN 1e300 ELSE sqrt(c_acctbal) END', 10, '0.0::DOUBLE', '100.0::DOUBLE')} AS i0 FROM customer", -1, 11))
 def hist_sqrt(spark, d):
-    return Histogram(regular(10, 0, 10000, transform=Sqrt())).fill(table(spark, d, "customer"), "c_acctbal").table(dense=True)
+    return Binned(regular(10, 0, 10000, transform=Sqrt())).fill(table(spark, d, "customer"), "c_acctbal").table(dense=True)
 
 
 @query(dense(f"SELECT {reg('CASE WHEN c_acctbal < 0 THEN 1e300 ELSE pow(c_acctbal, 0.5) END', 10, '0.0::DOUBLE', '100.0::DOUBLE')} AS i0 FROM customer", -1, 11))
 def hist_pow(spark, d):
-    return Histogram(regular(10, 0, 10000, transform=Pow(power=0.5))).fill(table(spark, d, "customer"), "c_acctbal").table(dense=True)
+    return Binned(regular(10, 0, 10000, transform=Pow(power=0.5))).fill(table(spark, d, "customer"), "c_acctbal").table(dense=True)
 
 
 @query(dense(f"SELECT {reg('l_extendedprice', 7, '50000.0::DOUBLE', '(900.0 - 50000.0)::DOUBLE')} AS i0 FROM lineitem", -1, 8))
 def hist_inverted(spark, d):
-    return Histogram(regular(7, 50000, 900)).fill(table(spark, d, "lineitem"), "l_extendedprice").table(dense=True)
+    return Binned(regular(7, 50000, 900)).fill(table(spark, d, "lineitem"), "l_extendedprice").table(dense=True)
 
 
 @query(dense(f"SELECT {reg('l_quantity', 7, '1.0::DOUBLE', '49.0::DOUBLE')} AS i0 FROM lineitem", -1, 8))
 def hist_step(spark, d):
-    return Histogram(regular_step(7, 1, 51)).fill(table(spark, d, "lineitem"), "l_quantity").table(dense=True)
+    return Binned(regular_step(7, 1, 51)).fill(table(spark, d, "lineitem"), "l_quantity").table(dense=True)
 
 
 @query(dense("SELECT CAST(floor((t - floor(t)) * 24) AS INTEGER) AS i0 FROM (SELECT (epoch_us(ts) / 1000000) / 86400.0::DOUBLE AS t FROM events)", 0, 25))
 def hist_circular_hour(spark, d):
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    return Histogram(circular(24, 0, 86400)).fill(table(spark, d, "events"), seconds).table(dense=True)
+    return Binned(circular(24, 0, 86400)).fill(table(spark, d, "events"), seconds).table(dense=True)
 
 
 @query(dense("""SELECT CAST(CASE WHEN o_totalprice < 5000 THEN -1 WHEN o_totalprice < 20000 THEN 0 WHEN o_totalprice < 100000 THEN 1
 WHEN o_totalprice < 150000 THEN 2 WHEN o_totalprice < 400000 THEN 3 ELSE 4 END AS INTEGER) AS i0 FROM orders""", -1, 5))
 def hist_variable(spark, d):
-    return Histogram(variable([5000, 20000, 100000, 150000, 400000])).fill(table(spark, d, "orders"), "o_totalprice").table(dense=True)
+    return Binned(variable([5000, 20000, 100000, 150000, 400000])).fill(table(spark, d, "orders"), "o_totalprice").table(dense=True)
 
 
 @query(dense("SELECT CAST(CASE WHEN x < 2 THEN 0 ELSE 1 END AS INTEGER) AS i0 FROM (SELECT l_linenumber - floor((l_linenumber - 0) / 5.0) * 5 AS x FROM lineitem)", 0, 3))
 def hist_variable_circular(spark, d):
-    return Histogram(variable([0, 2, 5], options={"overflow", "circular"})).fill(table(spark, d, "lineitem"), "l_linenumber").table(dense=True)
+    return Binned(variable([0, 2, 5], options={"overflow", "circular"})).fill(table(spark, d, "lineitem"), "l_linenumber").table(dense=True)
 
 
 @query(dense("SELECT CAST(CASE WHEN p_size < 5 THEN -1 WHEN p_size >= 45 THEN 40 ELSE p_size - 5 END AS INTEGER) AS i0 FROM part", -1, 41))
 def hist_integer(spark, d):
-    return Histogram(integer(5, 45)).fill(table(spark, d, "part"), "p_size").table(dense=True)
+    return Binned(integer(5, 45)).fill(table(spark, d, "part"), "p_size").table(dense=True)
 
 
 @query(dense("SELECT CAST(CASE WHEN x < 0 THEN -1 WHEN x < 30 THEN floor(x) ELSE 30 END AS INTEGER) AS i0 FROM (SELECT l_quantity * 1.1::DOUBLE - 10 AS x FROM lineitem)", -1, 31))
 def hist_integer_floating(spark, d):
-    return Histogram(integer(10, 40, floating=True)).fill(table(spark, d, "lineitem"), F.col("l_quantity") * 1.1).table(dense=True)
+    return Binned(integer(10, 40, floating=True)).fill(table(spark, d, "lineitem"), F.col("l_quantity") * 1.1).table(dense=True)
 
 
 @query(dense("SELECT CAST((l_linenumber - 1) % 3 AS INTEGER) AS i0 FROM lineitem", 0, 3))
 def hist_integer_circular(spark, d):
-    return Histogram(integer(1, 4, options={"circular"})).fill(table(spark, d, "lineitem"), "l_linenumber").table(dense=True)
+    return Binned(integer(1, 4, options={"circular"})).fill(table(spark, d, "lineitem"), "l_linenumber").table(dense=True)
 
 
 @query(dense("SELECT CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '5-LOW' THEN 1 ELSE 2 END AS INTEGER) AS i0 FROM orders", 0, 3))
 def hist_category(spark, d):
-    return Histogram(category(["1-URGENT", "5-LOW"])).fill(table(spark, d, "orders"), "o_orderpriority").table(dense=True)
+    return Binned(category(["1-URGENT", "5-LOW"])).fill(table(spark, d, "orders"), "o_orderpriority").table(dense=True)
 
 
 @query("""WITH first AS (SELECT event_type, min(event_id) AS f, count(*) AS v FROM events GROUP BY event_type)
 SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS i0, event_type AS bin0, CAST(v AS BIGINT) AS value FROM first""")
 def hist_category_grow(spark, d):
-    h = Histogram(category([], options={"growth"})).fill(table(spark, d, "events"), "event_type", order_by="event_id")
+    h = Binned(category([], options={"growth"})).fill(table(spark, d, "events"), "event_type", order_by="event_id")
     return h.indexed().select("i0", "bin0", "value")
 
 
@@ -163,37 +163,37 @@ cells AS (SELECT k, count(*) AS v FROM keys GROUP BY k)
 SELECT CAST(g.k - lo AS INTEGER) AS i0, g.k * 25.0::DOUBLE AS lower0, CAST(coalesce(v, 0) AS BIGINT) AS value
 FROM (SELECT lo, unnest(generate_series(lo, hi)) AS k FROM ends) g LEFT JOIN cells ON cells.k = g.k""")
 def hist_regular_grow(spark, d):
-    h = Histogram(regular(2, 0, 50, options={"growth"})).fill(table(spark, d, "events"), "value")
+    h = Binned(regular(2, 0, 50, options={"growth"})).fill(table(spark, d, "events"), "value")
     return h.indexed().select("i0", "lower0", "value")
 
 
 @query("""WITH ends AS (SELECT least(3, min(p_size)) AS lo FROM part)
 SELECT CAST(p_size - lo AS INTEGER) AS i0, CAST(count(*) AS BIGINT) AS value FROM part, ends GROUP BY p_size, lo""")
 def hist_integer_grow(spark, d):
-    return Histogram(integer(3, 5, options={"growth"})).fill(table(spark, d, "part"), "p_size").table()
+    return Binned(integer(3, 5, options={"growth"})).fill(table(spark, d, "part"), "p_size").table()
 
 
 @query()
 def hist_variable_grow(spark, d):
-    h = Histogram(variable([0, 1, 5], options={"growth"})).fill(table(spark, d, "events"), "value", order_by="event_id")
+    h = Binned(variable([0, 1, 5], options={"growth"})).fill(table(spark, d, "events"), "value", order_by="event_id")
     return h.indexed().select("i0", "lower0", "upper0", "value")
 
 
 @query(dense("SELECT CAST(l_tax > 0.04 AS INTEGER) AS i0 FROM lineitem", 0, 2))
 def hist_boolean(spark, d):
-    return Histogram(boolean()).fill(table(spark, d, "lineitem"), F.col("l_tax") > 0.04).table(dense=True)
+    return Binned(boolean()).fill(table(spark, d, "lineitem"), F.col("l_tax") > 0.04).table(dense=True)
 
 
 @query(dense("SELECT CAST(CASE WHEN r < 25 THEN 0 ELSE 1 END AS INTEGER) AS i0 FROM (SELECT sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber) AS r FROM lineitem)", 0, 2))
 def hist_multiarg(spark, d):
     circle = UserAxis(bins=2, arity=2, mapping=lambda x, y: F.when(F.sqrt(x * x + y * y) < 25, 0).otherwise(1))
-    return Histogram(circle).fill(table(spark, d, "lineitem"), "l_quantity", "l_linenumber").table(dense=True)
+    return Binned(circle).fill(table(spark, d, "lineitem"), "l_quantity", "l_linenumber").table(dense=True)
 
 
 @query(dense("SELECT CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS INTEGER) AS i0 FROM orders", -1, 6))
 def hist_parsed_axis(spark, d):
     axis = Adapted(base=integer(1, 6), convert=lambda c: F.substring(c, 1, 1).cast("int"))
-    return Histogram(axis).fill(table(spark, d, "orders"), "o_orderpriority").table(dense=True)
+    return Binned(axis).fill(table(spark, d, "orders"), "o_orderpriority").table(dense=True)
 
 
 def cells_sql(*axes: str, agg: str = "CAST(count(*) AS BIGINT) AS value", source: str = "lineitem") -> str:
@@ -203,11 +203,11 @@ def cells_sql(*axes: str, agg: str = "CAST(count(*) AS BIGINT) AS value", source
 
 @query(cells_sql(PRICE8, QTY5))
 def hist_2d(spark, d):
-    return Histogram(price8(), qty5()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity").table()
+    return Binned(price8(), qty5()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity").table()
 
 
 def hist3(spark, d):
-    return Histogram(price8(), qty5(), disc4()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "l_discount")
+    return Binned(price8(), qty5(), disc4()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "l_discount")
 
 
 @query(cells_sql(PRICE8, QTY5, DISC4))
@@ -223,12 +223,12 @@ FLAG = "CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 E
 @query(cells_sql(PRICE8, QTY5, DISC4, TAX2, LINE, FLAG))
 def hist_6d(spark, d):
     axes = [price8(), qty5(), disc4(), regular(2, 0, 0.08), integer(1, 8), category("ANR")]
-    return Histogram(*axes).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag").table()
+    return Binned(*axes).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag").table()
 
 
 @query(cells_sql(QTY5, "CAST(1 AS INTEGER)"))
 def hist_constant(spark, d):
-    return Histogram(qty5(), integer(0, 3)).fill(table(spark, d, "lineitem"), "l_quantity", 1).table()
+    return Binned(qty5(), integer(0, 3)).fill(table(spark, d, "lineitem"), "l_quantity", 1).table()
 
 
 # --- accumulators
@@ -238,17 +238,17 @@ W = "l_quantity"
 
 @query(cells_sql(PRICE8, agg=f"sum({W}) AS value"))
 def hist_count_weighted(spark, d):
-    return Histogram(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice", weight=W).table()
+    return Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice", weight=W).table()
 
 
 @query(cells_sql(PRICE8, agg=f"sum({W}) AS value, sum({W} * {W}) AS variance"))
 def hist_weighted(spark, d):
-    return Histogram(price8(), accumulator=WeightedSum()).fill(table(spark, d, "lineitem"), "l_extendedprice", weight=W).table()
+    return Binned(price8(), accumulator=WeightedSum()).fill(table(spark, d, "lineitem"), "l_extendedprice", weight=W).table()
 
 
 @query(cells_sql(PRICE8, agg="CAST(count(*) AS VARCHAR) AS value"))
 def hist_bigcount(spark, d):
-    return Histogram(price8(), accumulator=BigCount()).fill(table(spark, d, "lineitem"), "l_extendedprice").table().withColumn("value", F.col("value").cast("string"))
+    return Binned(price8(), accumulator=BigCount()).fill(table(spark, d, "lineitem"), "l_extendedprice").table().withColumn("value", F.col("value").cast("string"))
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -256,7 +256,7 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def profile_of(spark, d):
-    return Histogram(price8(), accumulator=Mean()).fill(table(spark, d, "lineitem"), "l_extendedprice", sample=W)
+    return Binned(price8(), accumulator=Mean()).fill(table(spark, d, "lineitem"), "l_extendedprice", sample=W)
 
 
 @query(cells_sql(PRICE8, agg=f"CAST(count(*) AS DOUBLE) AS count, round(avg({W}), 6) AS value, round(var_samp({W}), 6) AS variance"))
@@ -267,18 +267,18 @@ def profile(spark, d):
 @query(cells_sql(PRICE8, agg="""sum(l_linenumber::DOUBLE) AS count, round(sum(l_linenumber * l_quantity) / sum(l_linenumber), 6) AS value,
 round((sum(l_linenumber * l_quantity * l_quantity) - sum(l_linenumber * l_quantity) * sum(l_linenumber * l_quantity) / sum(l_linenumber)) / (sum(l_linenumber) - 1), 6) AS variance"""))
 def profile_frequency(spark, d):
-    return rounded(Histogram(price8(), accumulator=Mean()).fill(table(spark, d, "lineitem"), "l_extendedprice", sample=W, weight="l_linenumber").table(), value=6, variance=6)
+    return rounded(Binned(price8(), accumulator=Mean()).fill(table(spark, d, "lineitem"), "l_extendedprice", sample=W, weight="l_linenumber").table(), value=6, variance=6)
 
 
 @query(cells_sql(PRICE8, agg="""sum(l_linenumber::DOUBLE) AS sum_of_weights, sum(l_linenumber::DOUBLE * l_linenumber) AS sum_of_weights_squared,
 round(sum(l_linenumber::DOUBLE) * sum(l_linenumber) / sum(l_linenumber::DOUBLE * l_linenumber), 6) AS count, round(sum(l_linenumber * l_quantity) / sum(l_linenumber), 6) AS value,
 round((sum(l_linenumber * l_quantity * l_quantity) - sum(l_linenumber * l_quantity) * sum(l_linenumber * l_quantity) / sum(l_linenumber)) / (sum(l_linenumber::DOUBLE) - sum(l_linenumber::DOUBLE * l_linenumber) / sum(l_linenumber)), 6) AS variance"""))
 def profile_weighted(spark, d):
-    return rounded(Histogram(price8(), accumulator=WeightedMean()).fill(table(spark, d, "lineitem"), "l_extendedprice", sample=W, weight="l_linenumber").table(), value=6, variance=6, count=6)
+    return rounded(Binned(price8(), accumulator=WeightedMean()).fill(table(spark, d, "lineitem"), "l_extendedprice", sample=W, weight="l_linenumber").table(), value=6, variance=6, count=6)
 
 
 def fraction_of(spark, d):
-    return Histogram(qty5(), accumulator=Fraction()).fill(table(spark, d, "lineitem"), "l_quantity", sample=F.col("l_returnflag") == "R")
+    return Binned(qty5(), accumulator=Fraction()).fill(table(spark, d, "lineitem"), "l_quantity", sample=F.col("l_returnflag") == "R")
 
 
 COUNTS = f"SELECT {QTY5} AS i0, CAST(sum((l_returnflag = 'R')::INT) AS BIGINT) AS s, CAST(sum((l_returnflag <> 'R')::INT) AS BIGINT) AS f FROM lineitem GROUP BY 1"
@@ -315,36 +315,45 @@ def fraction_jeffreys(spark, d):
 array_to_string(list(CAST(quality AS INTEGER) ORDER BY doc_id), ',') AS items, CAST(count(*) AS BIGINT) AS count FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
 def collector_sorted(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    h = Histogram(category(["de", "en", "es", "fr"]), accumulator=Collector()).fill(rows, "lang", sample="quality", order_by="doc_id")
+    h = Binned(category(["de", "en", "es", "fr"]), accumulator=Collector()).fill(rows, "lang", sample="quality", order_by="doc_id")
     return h.table().withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("int").cast("string")), ","))
 
 
 @query(cells_sql(QTY5, agg="round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS value"))
 def sum_exact(spark, d):
-    h = Histogram(qty5(), accumulator=Sum()).fill(table(spark, d, "lineitem"), "l_quantity", weight="l_extendedprice")
+    h = Binned(qty5(), accumulator=Sum()).fill(table(spark, d, "lineitem"), "l_quantity", weight="l_extendedprice")
     return rounded(h.table().select("i0", "value"), value=2)
 
 
+@query("""SELECT CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS INTEGER) AS i0,
+array_to_string(list(CAST(doc_id AS INTEGER) ORDER BY doc_id), ',') AS items, CAST(count(*) AS BIGINT) AS count FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
+def collector_merged(spark, d):
+    """Lists of several cells put together keep their order."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("turn", F.col("doc_id") % 7)
+    h = Binned(category(["de", "en", "es", "fr"]), integer(0, 7), accumulator=Collector()).fill(rows, "lang", "turn", sample="doc_id", order_by="doc_id").project(0)
+    return h.table().withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("int").cast("string")), ","))
+
+
 @query(cells_sql(QTY5, agg="greatest(max(l_extendedprice), 0) AS value"))
 def hist_max(spark, d):
-    return Histogram(qty5(), accumulator=maximum()).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_extendedprice").table()
+    return Binned(qty5(), accumulator=maximum()).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_extendedprice").table()
 
 
 @query(cells_sql(QTY5, agg="sum(l_linenumber::DOUBLE) AS weight, round(sum(l_linenumber * l_discount) / sum(l_linenumber), 9) AS mean0, round(sum(l_linenumber * l_tax) / sum(l_linenumber), 9) AS mean1"))
 def hist_multi_mean(spark, d):
-    h = Histogram(qty5(), accumulator=means(2)).fill(table(spark, d, "lineitem"), "l_quantity", sample=["l_discount", "l_tax"], weight="l_linenumber")
+    h = Binned(qty5(), accumulator=means(2)).fill(table(spark, d, "lineitem"), "l_quantity", sample=["l_discount", "l_tax"], weight="l_linenumber")
     return rounded(h.table(), mean0=9, mean1=9)
 
 
 @query(cells_sql(QTY5, agg="count(DISTINCT l_suppkey) AS distinct_suppliers"))
 def hist_custom_aggregate(spark, d):
     acc = Custom([("distinct_suppliers", "bigint")], lambda w, s: [F.countDistinct(s[0])])
-    return Histogram(qty5(), accumulator=acc).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_suppkey").table()
+    return Binned(qty5(), accumulator=acc).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_suppkey").table()
 
 
 @query(cells_sql(QTY5, f"{FLAG}", agg="CAST(count(*) AS BIGINT) AS value"))
 def hist_nested(spark, d):
-    return Histogram(qty5(), category("ANR")).fill(table(spark, d, "lineitem"), "l_quantity", "l_returnflag").table()
+    return Binned(qty5(), category("ANR")).fill(table(spark, d, "lineitem"), "l_quantity", "l_returnflag").table()
 
 
 # --- after the fill
@@ -362,12 +371,12 @@ def project_swap(spark, d):
 
 @query(f"SELECT i1 AS i0, CAST(sum(n) AS DOUBLE) AS count, round(sum(s) / sum(n), 6) AS value, round((sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1), 6) AS variance FROM ({cells_sql(PRICE8, DISC4, agg=f'count(*) AS n, sum({W}) AS s, sum({W} * {W}) AS q')}) GROUP BY i1")
 def project_profile(spark, d):
-    h = Histogram(price8(), disc4(), accumulator=Mean()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", sample=W)
+    h = Binned(price8(), disc4(), accumulator=Mean()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", sample=W)
     return rounded(h.project(1).table(), value=6, variance=6)
 
 
 def hist2(spark, d):
-    return Histogram(price8(), qty5()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return Binned(price8(), qty5()).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
 
 
 CELLS2 = cells_sql(PRICE8, QTY5)
@@ -409,12 +418,12 @@ def reduce_shrink_rebin(spark, d):
 
 @query(f"SELECT CAST(CASE WHEN i0 = 1 THEN 0 ELSE 1 END AS INTEGER) AS i0, CAST(sum(value) AS BIGINT) AS value FROM ({cells_sql(FLAG)}) GROUP BY 1")
 def reduce_cat(spark, d):
-    return Histogram(category("ANR")).fill(table(spark, d, "lineitem"), "l_returnflag").reduce(R.slice_(1, 2)).table()
+    return Binned(category("ANR")).fill(table(spark, d, "lineitem"), "l_returnflag").reduce(R.slice_(1, 2)).table()
 
 
 def halves(spark, d, acc=None):
     rows = table(spark, d, "lineitem")
-    fill = lambda s: Histogram(price8(), accumulator=acc or Count()).fill(rows.where(F.col("l_linestatus") == s), "l_extendedprice", weight=W if acc else None)
+    fill = lambda s: Binned(price8(), accumulator=acc or Count()).fill(rows.where(F.col("l_linestatus") == s), "l_extendedprice", weight=W if acc else None)
     return fill("O"), fill("F")
 
 
@@ -465,7 +474,7 @@ def op_add_promoted(spark, d):
 SELECT CAST(row_number() OVER (ORDER BY a NULLS LAST, b) - 1 AS INTEGER) AS i0, event_type AS bin0, CAST(v AS BIGINT) AS value FROM o""")
 def op_merge_category(spark, d):
     rows = table(spark, d, "events")
-    a, b = (Histogram(category([], options={"growth"})).fill(rows.where(F.col("event_id") % 2 == h), "event_type", order_by="event_id") for h in (0, 1))
+    a, b = (Binned(category([], options={"growth"})).fill(rows.where(F.col("event_id") % 2 == h), "event_type", order_by="event_id") for h in (0, 1))
     return (a + b).indexed().select("i0", "bin0", "value")
 
 
@@ -487,12 +496,12 @@ def is_empty(spark, d):
 
 @query(f"WITH c AS ({dense(f'SELECT {PRICE8} AS i0 FROM lineitem', -1, 9)}) SELECT i0, round(value / 13000.0::DOUBLE, 9) AS density FROM c WHERE i0 BETWEEN 0 AND 7")
 def density(spark, d):
-    return rounded(Histogram(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice").density().select("i0", "density"), density=9)
+    return rounded(Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice").density().select("i0", "density"), density=9)
 
 
 @query(f"WITH c AS ({dense(f'SELECT {PRICE8} AS i0 FROM lineitem', -1, 9)}) SELECT i0, value, CAST(sum(value) OVER (ORDER BY i0) AS BIGINT) AS cumulative FROM c WHERE i0 BETWEEN 0 AND 7")
 def cdf(spark, d):
-    return Histogram(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice").cumulative()
+    return Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice").cumulative()
 
 
 @query(f"SELECT i0, i1, value FROM ({CELLS2}) WHERE i0 BETWEEN 0 AND 7 AND i1 BETWEEN 0 AND 4 ORDER BY value DESC, i1, i0 LIMIT 1")
@@ -509,7 +518,7 @@ def cosine(spark, d):
 @query(f"""WITH c AS ({cells_sql(FLAG, "CAST(CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS INTEGER)")})
 SELECT i0, i1, CAST(sum(value) AS BIGINT) AS value FROM c GROUP BY GROUPING SETS ((i0, i1), (i0), (i1), ())""")
 def grouping_sets(spark, d):
-    h = Histogram(category("ANR"), category("OF")).fill(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+    h = Binned(category("ANR"), category("OF")).fill(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
     return h.grouping_sets([[0, 1], [0], [1], []])
 
 
@@ -520,47 +529,87 @@ def indexed_range(spark, d):
 
 @query(f"WITH c AS ({dense(f'SELECT {PRICE} AS i0 FROM lineitem', -1, 21)}) SELECT i0, value, round(900.0::DOUBLE + i0 * 2455.0, 6) AS lower0 FROM c WHERE i0 BETWEEN 0 AND 19")
 def indexed_bins(spark, d):
-    return rounded(Histogram(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice").indexed().select("i0", "value", "lower0"), lower0=6)
+    return rounded(Binned(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice").indexed().select("i0", "value", "lower0"), lower0=6)
 
 
 @query("SELECT CAST(0 AS INTEGER) AS i0, CAST(count(*) AS BIGINT) AS value FROM lineitem")
 def uncounted_flow(spark, d):
-    return Histogram(regular(1, 0, 1e9)).fill(table(spark, d, "lineitem"), "l_extendedprice").table()
+    return Binned(regular(1, 0, 1e9)).fill(table(spark, d, "lineitem"), "l_extendedprice").table()
 
 
 @query(cells_sql(f"CAST(label AS INTEGER)", reg("v", 10, "(-1.0)::DOUBLE", "2.0::DOUBLE"), source="(SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings)"))
 def hist_exploded(spark, d):
     rows = table(spark, d, "embeddings").select("label", F.explode("embedding").alias("v"))
-    return Histogram(integer(0, 10), regular(10, -1, 1)).fill(rows, "label", "v").table()
+    return Binned(integer(0, 10), regular(10, -1, 1)).fill(rows, "label", "v").table()
 
 
-@query(f"SELECT 'price: ' || CAST(count(*) AS VARCHAR) AS line FROM lineitem")
-def text_output(spark, d):
+_BARS = """WITH cells AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS i, count(*) AS c FROM lineitem GROUP BY i),
+every AS (SELECT g.i, ['A', 'N', 'other'][g.i + 1] AS label, coalesce(c, 0) AS c FROM (SELECT unnest([0, 1, 2]) AS i) g LEFT JOIN cells USING (i)),
+wide AS (SELECT max(len(CAST(c AS VARCHAR))) AS w, max(c) AS hi FROM every)
+"""
+
+
+@query(_BARS + """SELECT CAST(i AS INTEGER) AS n, rpad(label, 5, ' ') || ' ' || lpad(CAST(c AS VARCHAR), CAST(w AS INTEGER), ' ') || ' |' || repeat('=', CAST(round_even(c / (hi / CAST(greatest(8, 78 - 5 - w - 4) AS DOUBLE)), 0) AS BIGINT)) AS line FROM every, wide""")
+def text_bars(spark, d):
     from ..sources.text import bars
 
-    h = Histogram(price_axis()).fill(table(spark, d, "lineitem"), "l_extendedprice").cached()
-    assert len(bars(h).splitlines()) == 23
-    return spark.createDataFrame([(f"{h.axes[0].metadata}: {h.sum()['value']}",)], "line string")
+    h = Binned(category("AN")).fill(table(spark, d, "lineitem"), "l_returnflag")
+    return spark.createDataFrame(list(enumerate(bars(h, ascii_only=True).splitlines()[1:])), "n int, line string")
+
+
+@query(_BARS + """SELECT CAST(i AS INTEGER) AS n, '  (' || lpad(CAST(i AS VARCHAR), 2, ' ') || '): ' || CAST(c AS VARCHAR) AS line FROM every""")
+def text_output(spark, d):
+    from ..sources.text import table as listed
+
+    h = Binned(category("AN")).fill(table(spark, d, "lineitem"), "l_returnflag")
+    return spark.createDataFrame(list(enumerate(listed(h).splitlines()[2:-1])), "n int, line string")
+
+
+@query("SELECT CAST(count(*) AS DOUBLE) AS value FROM nation WHERE n_nationkey < 24 AND n_nationkey % 3 = 0")
+def sum_real_cells(spark, d):
+    """Cells of 1, 1e100 and -1e100: what is left of them survives the sum."""
+    weight = F.element_at(F.array(F.lit(1.0), F.lit(1e100), F.lit(-1e100)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    h = Binned(integer(0, 25)).fill(table(spark, d, "nation").where("n_nationkey < 24"), "n_nationkey", weight=weight)
+    return spark.createDataFrame([(h.sum()["value"],)], "value double")
+
+
+@query(cells_sql(QTY5, agg="round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS value"))
+def sum_compensated(spark, d):
+    """Every price comes with 1e100 and -1e100."""
+    rows = table(spark, d, "lineitem").select("l_quantity", F.explode(F.array(F.lit(1e100), F.col("l_extendedprice").cast("double"), F.lit(-1e100))).alias("x"))
+    return rounded(Binned(qty5(), accumulator=Sum()).fill(rows, "l_quantity", weight="x").table().select("i0", "value"), value=2)
 
 
 @query(cells_sql("CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER)", source="events"))
 def stream_fill(spark, d):
-    """A running histogram over a stream of the events, read when all have arrived."""
+    """A running binned table over a stream of the events, read when all have arrived."""
     from ..streaming.fill import fill_stream
 
-    rows = table(spark, d, "events")
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.startswith("viewfs") else None
-    axis = category(["click", "view"])
-    if stream is None:
-        return Histogram(axis).fill(rows, "event_type").table()
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     name = f"cells_{abs(hash(d))}"
-    run = fill_stream(stream, [axis], ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run = fill_stream(stream, [category(["click", "view"])], ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
 
 
+@query("""SELECT CAST(day * 86400 AS BIGINT) AS start, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER) AS i0, CAST(count(*) AS BIGINT) AS value
+FROM (SELECT event_type, floor(epoch(ts) / 86400) - back AS day FROM events, (SELECT unnest([0, 1]) AS back)) GROUP BY 1, 2""")
+def stream_sliding(spark, d):
+    """Counts of two days, every day, over a stream of the events."""
+    from ..streaming.fill import fill_windows
+
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{abs(hash(d))}"
+    windows = fill_windows(stream, "ts", "2 days", "1 hour", [category(["click", "view"])], ["event_type"], slide="1 day")
+    run = windows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.unix_timestamp("window_start").alias("start"), "i0", "value")
+
+
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     """Mean quantity by price and discount."""
     rows = table(spark, folder, "lineitem")
-    h = Histogram(regular(20, 900, 50000, "price"), regular(5, 0, 0.1, "discount"), accumulator=Mean()).fill(rows, "l_extendedprice", "l_discount", sample="l_quantity")
+    h = Binned(regular(20, 900, 50000, "price"), regular(5, 0, 0.1, "discount"), accumulator=Mean()).fill(rows, "l_extendedprice", "l_discount", sample="l_quantity")
     return h.table()

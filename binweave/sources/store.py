@@ -1,4 +1,4 @@
-"""Storing and loading a histogram: cells as Parquet, axes and accumulator as one JSON row beside them."""
+"""Storing and loading a binned table: cells as Parquet, axes and accumulator as one JSON row beside them."""
 
 from __future__ import annotations
 
@@ -8,26 +8,26 @@ from pyspark.sql import SparkSession
 
 from ..operators.accumulator import BY_NAME, Count
 from ..operators.axis import axis_from_json
-from ..operators.histogram import Histogram
+from ..operators.binned import Binned
 
 
-def describe(h: Histogram) -> str:
+def describe(h: Binned) -> str:
     if h.accumulator.name not in BY_NAME:
         raise TypeError(f"{h.accumulator.name} can't be stored")
     return json.dumps({"axes": [a.to_json() for a in h.axes], "accumulator": h.accumulator.name, "real": getattr(h.accumulator, "real", False)})
 
 
-def histogram_from(description: str, cells) -> Histogram:
+def binned_from(description: str, cells) -> Binned:
     d = json.loads(description)
     acc = Count(real=d["real"]) if d["accumulator"] == "count" else BY_NAME[d["accumulator"]]()
-    return Histogram(*map(axis_from_json, d["axes"]), accumulator=acc, cells=cells)
+    return Binned(*map(axis_from_json, d["axes"]), accumulator=acc, cells=cells)
 
 
-def save(h: Histogram, path: str) -> None:
+def save(h: Binned, path: str) -> None:
     """Written by Spark, so any store that Spark reaches will do."""
     h.cells.write.mode("overwrite").parquet(f"{path}/cells")
     h.cells.sparkSession.createDataFrame([(describe(h),)], "description string").coalesce(1).write.mode("overwrite").text(f"{path}/axes")
 
 
-def load(spark: SparkSession, path: str) -> Histogram:
-    return histogram_from(spark.read.text(f"{path}/axes").first()[0], spark.read.parquet(f"{path}/cells"))
+def load(spark: SparkSession, path: str) -> Binned:
+    return binned_from(spark.read.text(f"{path}/axes").first()[0], spark.read.parquet(f"{path}/cells"))

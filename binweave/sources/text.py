@@ -1,8 +1,8 @@
-"""A histogram as text: cells as a list, or bars for one axis.  Collects the cells, so it is for small ones."""
+"""A binned table as text: cells as a list, or bars for one axis.  Collects the cells, so it is for small ones."""
 
 from __future__ import annotations
 
-from ..operators.histogram import Histogram
+from ..operators.binned import Binned
 
 
 def _show(row: dict) -> str:
@@ -11,16 +11,16 @@ def _show(row: dict) -> str:
     return "(" + ", ".join(f"{k}={v:g}" if isinstance(v, (int, float)) else f"{k}={v}" for k, v in row.items()) + ")"
 
 
-def table(h: Histogram) -> str:
+def table(h: Binned) -> str:
     """Axes, then one entry per cell, the first axis fastest."""
     rows = h.ordered(h.table(dense=True)).collect()
-    lines = ["histogram("] + [f"  {a!r}," for a in h.axes]
+    lines = ["binned("] + [f"  {a!r}," for a in h.axes]
     lines += ["  (" + " ".join(f"{r[k]:2d}" for k in h.keys) + "): " + _show({k: v for k, v in r.asDict().items() if k not in h.keys}) for r in rows]
     return "\n".join([*lines, ")"])
 
 
-def bars(h: Histogram, width: int = 78, ascii_only: bool = False) -> str:
-    """One line per bin of a histogram of one axis: range, value, bar."""
+def bars(h: Binned, width: int = 78, ascii_only: bool = False) -> str:
+    """One line per bin of a binned table of one axis: range, value, bar."""
     if h.rank != 1:
         raise ValueError("bars need exactly one axis")
     a = h.axes[0]

@@ -1,4 +1,4 @@
-"""Running histograms of a stream: the plan of a batch fill under Structured Streaming."""
+"""Running binned tables of a stream: the plan of a batch fill under Structured Streaming."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.accumulator import Accumulator, Count, Sum
 from ..operators.axis import Axis
-from ..operators.histogram import Histogram
+from ..operators.binned import Binned
 from ..plans.fill import axis_columns, binned, fill_cells, keys
 
 
@@ -32,7 +32,7 @@ def fill_windows(df: DataFrame, time: str, size: str, lateness: str, axes: list[
 
 
 def fill_keys(df: DataFrame, axis: Axis, column, most: int = 1_000_000) -> DataFrame:
-    """Counts of a growing regular or integer axis under its unbounded bin numbers; rebase() turns a snapshot into a histogram.
+    """Counts of a growing regular or integer axis under its unbounded bin numbers; rebase() turns a snapshot into a binned table.
 
     `most` bins at most on either side of the start: values beyond share the last key, so the state stays bounded.
     """
@@ -42,10 +42,10 @@ def fill_keys(df: DataFrame, axis: Axis, column, most: int = 1_000_000) -> DataF
     return df.select(key.cast("long").alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("value"))
 
 
-def rebase(snapshot: DataFrame, axis: Axis) -> Histogram:
-    """A histogram from a table that fill_keys() has written."""
+def rebase(snapshot: DataFrame, axis: Axis) -> Binned:
+    """A binned table from a table that fill_keys() has written."""
     if axis.kind == "regular":
         column: Column = F.lit(axis.start) + (F.col("key") + 0.5) / axis.cells * F.lit(axis.stop_ - axis.start)
     else:
         column = F.col("key") + axis.start
-    return Histogram(axis).fill(snapshot, column, weight="value")
+    return Binned(axis).fill(snapshot, column, weight="value")

@@ -9,7 +9,7 @@ from binweave.functions import intervals
 from binweave.operators import reduce as R
 from binweave.operators.accumulator import BigCount, Collector, Count, Fraction, Mean, Sum, WeightedMean, WeightedSum, maximum, means
 from binweave.operators.axis import UserAxis, boolean, category, integer, regular, variable
-from binweave.operators.histogram import Histogram, fraction, profile, weighted_histogram, weighted_profile
+from binweave.operators.binned import Binned, fraction, profile, weighted_binned, weighted_profile
 from binweave.sources.store import load, save
 from binweave.sources.text import bars, table
 
@@ -24,15 +24,15 @@ def frame(spark, rows, schema):
 
 
 def cells_of(spark, axes, cells, acc=None):
-    """A histogram with given counts."""
+    """A binned table with given counts."""
     rows = [(*(k if isinstance(k, tuple) else (k,)), v) for k, v in cells.items()]
     names = ", ".join(f"i{k} int" for k in range(len(axes)))
-    return Histogram(*axes, accumulator=acc, cells=spark.createDataFrame(rows, f"{names}, value long"))
+    return Binned(*axes, accumulator=acc, cells=spark.createDataFrame(rows, f"{names}, value long"))
 
 
 def test_one_axis(spark):
     x = [-0.5, 1.1, 0.3, 1.7, -1.5, -1.0, 2.0, 20.0, 0.1]
-    h = Histogram(regular(6, -1, 2, "x")).fill(frame(spark, [[v] for v in x], "x double"), "x")
+    h = Binned(regular(6, -1, 2, "x")).fill(frame(spark, [[v] for v in x], "x double"), "x")
     assert values(h) == {-1: 1, 0: 1, 1: 1, 2: 2, 3: 0, 4: 1, 5: 1, 6: 2}
     assert h.sum()["value"] == 9 and h.sum("inner")["value"] == 6 and not h.empty() and h.reset().empty()
     assert h.at(2) == {"value": 2} and h[3] == {"value": 0} and h.size == 8
@@ -52,9 +52,9 @@ def test_one_axis(spark):
 
 def test_rows_without_a_cell_are_left_out(spark):
     rows = frame(spark, [(0.5, 0.5), (2.0, 0.5), (0.5, 5.0), (None, 0.1), (float("nan"), 0.1)], "x double, y double")
-    h = Histogram(regular(2, 0, 1, options={"underflow"}), regular(2, 0, 1)).fill(rows, "x", "y")
+    h = Binned(regular(2, 0, 1, options={"underflow"}), regular(2, 0, 1)).fill(rows, "x", "y")
     assert h.sum()["value"] == 2 and values(h, dense=False) == {(1, 1): 1, (1, 2): 1}
-    pushed = Histogram(regular(2, 0, 1)).fill(rows, "x", inner_only=True)
+    pushed = Binned(regular(2, 0, 1)).fill(rows, "x", inner_only=True)
     assert values(pushed, dense=False) == {1: 2}
     with pytest.raises(ValueError):
         h.fill(rows, "x")
@@ -62,28 +62,28 @@ def test_rows_without_a_cell_are_left_out(spark):
 
 def test_category_and_two_axes(spark):
     rows = frame(spark, [("red", 0.1, 0.2), ("blue", 0.7, 0.3), ("red", 0.3, 0.7), ("red", 0.7, 0.7)], "c string, x double, y double")
-    h = Histogram(category(["red", "blue"]), regular(3, 0, 1), regular(3, 0, 1)).fill(rows, "c", "x", "y")
+    h = Binned(category(["red", "blue"]), regular(3, 0, 1), regular(3, 0, 1)).fill(rows, "c", "x", "y")
     assert [r["value"] for r in h.indexed().collect()] == [int(i in (0, 5, 12, 16)) for i in range(18)]
 
 
 def test_two_columns_for_one_axis(spark):
     circle = UserAxis(bins=2, arity=2, mapping=lambda x, y: F.when(x * x + y * y <= 1, 1).otherwise(0))
     rows = frame(spark, [(0, 0), (0, -1), (0, 1), (-1, 0), (1, 0), (1, 1), (-1, -1)], "x int, y int")
-    assert values(Histogram(circle).fill(rows, "x", "y")) == {0: 2, 1: 5}
+    assert values(Binned(circle).fill(rows, "x", "y")) == {0: 2, 1: 5}
 
 
 def test_weights(spark):
     rows = frame(spark, [(0.0, 1.0), (0.1, 2.0), (0.4, 3.0), (0.5, 4.0), (0.2, 5.0), (0.6, 6.0), (0.9, None)], "x double, w double")
-    h = weighted_histogram(regular(3, 0, 1)).fill(rows, "x", weight="w")
+    h = weighted_binned(regular(3, 0, 1)).fill(rows, "x", weight="w")
     assert values(h, dense=False) == {0: 8, 1: 13} and values(h, "variance", False) == {0: 30, 1: 61}
     double, sum_ = h * 2, h + h
     assert values(double, "variance", False) == {0: 120, 1: 244} and values(sum_, "variance", False) == {0: 60, 1: 122}
-    counted = Histogram(regular(3, 0, 1)).fill(rows, "x", weight="w")
+    counted = Binned(regular(3, 0, 1)).fill(rows, "x", weight="w")
     assert values(counted, dense=False) == {0: 8, 1: 13}
-    assert values(Histogram(regular(3, 0, 1), accumulator=BigCount()).fill(rows, "x"), dense=False) == {0: 3, 1: 3, 2: 1}
+    assert values(Binned(regular(3, 0, 1), accumulator=BigCount()).fill(rows, "x"), dense=False) == {0: 3, 1: 3, 2: 1}
     ratio = (h / h).table().where("i0 = 0").first()
     assert ratio["value"] == 1 and ratio["variance"] == pytest.approx(2 * 30 / 64)
-    promoted = h + Histogram(regular(3, 0, 1)).fill(rows, "x")
+    promoted = h + Binned(regular(3, 0, 1)).fill(rows, "x")
     assert values(promoted, "variance", False)[0] == 33
 
 
@@ -116,14 +116,14 @@ def test_other_accumulators(spark):
     assert values(f, "successes") == {-1: 0, 0: 1, 1: 1, 2: 0, 3: 0} and values(f, "failures")[0] == 1 and math.isnan(values(f)[2])
     with pytest.raises(TypeError):
         f.fill(rows, "i", sample="b", weight="i")
-    c = Histogram(integer(0, 3), accumulator=Collector()).fill(frame(spark, [(0, 1.1, 2), (0, 2.2, 1), (1, 10.1, 3)], "i int, x double, t int"), "i", sample="x", order_by="t")
+    c = Binned(integer(0, 3), accumulator=Collector()).fill(frame(spark, [(0, 1.1, 2), (0, 2.2, 1), (1, 10.1, 3)], "i int, x double, t int"), "i", sample="x", order_by="t")
     assert values(c, "items") == {-1: [], 0: [2.2, 1.1], 1: [10.1], 2: [], 3: []}
-    s = Histogram(integer(0, 1), accumulator=Sum()).fill(frame(spark, [(0, v) for v in (1.0, 1e100, 1.0, -1e100)], "i int, x double"), "i", weight="x")
+    s = Binned(integer(0, 1), accumulator=Sum()).fill(frame(spark, [(0, v) for v in (1.0, 1e100, 1.0, -1e100)], "i int, x double"), "i", weight="x")
     assert s.at(0)["value"] == 2 and (s + s).at(0)["value"] == 4 and s.sum()["value"] == 2
     rows = frame(spark, [(0, 1.0, 2.0, 1.0), (0, 3.0, 4.0, 1.0), (1, 5.0, 6.0, 2.0), (1, 7.0, 8.0, 3.0)], "i int, a double, b double, w double")
-    m = Histogram(integer(0, 2), accumulator=means(2)).fill(rows, "i", sample=["a", "b"], weight="w")
+    m = Binned(integer(0, 2), accumulator=means(2)).fill(rows, "i", sample=["a", "b"], weight="w")
     assert (m.at(0)["mean0"], m.at(0)["mean1"]) == (2, 3) and (m.at(1)["mean0"], m.at(1)["mean1"]) == (6.2, 7.2)
-    assert values(Histogram(integer(0, 2), accumulator=maximum()).fill(rows, "i", sample="a"), dense=False) == {0: 3, 1: 7}
+    assert values(Binned(integer(0, 2), accumulator=maximum()).fill(rows, "i", sample="a"), dense=False) == {0: 3, 1: 7}
 
 
 A, B = regular(4, 1, 5), regular(3, -1, 2)
@@ -168,14 +168,14 @@ def test_reduce_limits(spark):
     for bad in ([R.rebin(2, 2)], [R.rebin(0, 2), R.rebin(0, 3)], [R.shrink(0, 1, 2), R.slice_(0, 0, 1)], [R.rebin(2), R.rebin(0, 2)], [R.rebin(2), R.rebin(2), R.rebin(2)], [R.shrink(0, 2, 2)], [R.rebin(0, 5)]):
         with pytest.raises(ValueError):
             h.reduce(bad)
-    for bad in (lambda: R.slice_(1, 1), lambda: R.rebin(0), lambda: cat.reduce(R.rebin(2)), lambda: Histogram(boolean()).reduce(R.slice_(0, 1))):
+    for bad in (lambda: R.slice_(1, 1), lambda: R.rebin(0), lambda: cat.reduce(R.rebin(2)), lambda: Binned(boolean()).reduce(R.slice_(0, 1))):
         with pytest.raises(ValueError):
             bad()
 
 
 def test_project(spark):
     rows = frame(spark, [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (1, 2)], "x int, y int")
-    h = Histogram(integer(0, 2), integer(0, 3)).fill(rows, "x", "y")
+    h = Binned(integer(0, 2), integer(0, 3)).fill(rows, "x", "y")
     assert nonzero(h.project(0)) == {0: 2, 1: 4} and nonzero(h.project(1)) == {0: 2, 1: 2, 2: 2} and h.project(1, 0).axes == [h.axes[1], h.axes[0]]
     assert h.project(0, 1) == h and h.project(1, 0).project(1, 0) == h
     for bad in ((), (2,), (0, 0)):
@@ -197,20 +197,20 @@ def test_operators(spark):
     with pytest.raises(ValueError):
         a - cells_of(spark, [integer(0, 4)], {})
     with pytest.raises(TypeError):
-        weighted_histogram(integer(0, 3)) * weighted_histogram(integer(0, 3))
+        weighted_binned(integer(0, 3)) * weighted_binned(integer(0, 3))
 
 
 def test_merging_axes(spark):
     grow = {"growth"}
-    a = Histogram(category([], options=grow)).fill(frame(spark, [(2, 0), (1, 1)], "x int, t int"), "x", order_by="t")
-    b = Histogram(category([], options=grow)).fill(frame(spark, [(2, 0), (3, 1), (4, 2)], "x int, t int"), "x", order_by="t")
+    a = Binned(category([], options=grow)).fill(frame(spark, [(2, 0), (1, 1)], "x int, t int"), "x", order_by="t")
+    b = Binned(category([], options=grow)).fill(frame(spark, [(2, 0), (3, 1), (4, 2)], "x int, t int"), "x", order_by="t")
     assert (a + b).axes[0].values == (2, 1, 3, 4) and values(a + b) == {0: 2, 1: 1, 2: 1, 3: 1}
     a = cells_of(spark, [category([1, 2], options=grow), integer(4, 5, options=grow)], {(0, 0): 1, (1, 0): 1})
     b = cells_of(spark, [category([2, 3], options=grow), integer(5, 6, options=grow)], {(0, 0): 1, (1, 0): 1})
     assert values(a + b) == {(0, 0): 1, (1, 0): 1, (2, 0): 0, (0, 1): 0, (1, 1): 1, (2, 1): 1}
-    h = Histogram(integer(0, 2, options=grow)).fill(frame(spark, [[0], [1]], "x int"), "x").fill(frame(spark, [[-2], [0], [3]], "x int"), "x")
+    h = Binned(integer(0, 2, options=grow)).fill(frame(spark, [[0], [1]], "x int"), "x").fill(frame(spark, [[-2], [0], [3]], "x int"), "x")
     assert (h.axes[0].start, h.axes[0].stop_) == (-2, 4) and values(h) == {0: 1, 1: 0, 2: 2, 3: 1, 4: 0, 5: 1}
-    r = Histogram(regular(2, 0, 1, options=grow)).fill(frame(spark, [[0.1], [0.9]], "x double"), "x").fill(frame(spark, [[-0.3], [1.9]], "x double"), "x")
+    r = Binned(regular(2, 0, 1, options=grow)).fill(frame(spark, [[0.1], [0.9]], "x double"), "x").fill(frame(spark, [[-0.3], [1.9]], "x double"), "x")
     assert values(r) == {0: 1, 1: 1, 2: 1, 3: 0, 4: 1}
 
 
@@ -232,23 +232,28 @@ def test_intervals(spark):
             bad()
 
 
+def test_real_cells_cancel(spark):
+    cells = spark.createDataFrame([(0, 1.0), (1, 1e100), (2, 1.0), (3, -1e100)], "i0 int, value double").repartition(3)
+    assert Binned(integer(0, 4), accumulator=Count(real=True), cells=cells).sum()["value"] == 2.0
+
+
 def test_store_and_text(spark, tmp_path):
     rows = frame(spark, [(0.1, 1.0), (0.5, 2.0), (3.0, 1.0)], "x double, w double")
-    for h in (Histogram(regular(2, 0, 1, "x")).fill(rows, "x"), weighted_histogram(variable([0, 0.5, math.inf])).fill(rows, "x", weight="w")):
+    for h in (Binned(regular(2, 0, 1, "x")).fill(rows, "x"), weighted_binned(variable([0, 0.5, math.inf])).fill(rows, "x", weight="w")):
         path = str(tmp_path / h.accumulator.name)
         save(h, path)
         assert load(spark, path) == h
     assert len(bars(h).splitlines()) == 5 and "=" in bars(h, ascii_only=True) and table(h).count("\n") == 6
     with pytest.raises(ValueError):
-        Histogram(*[boolean()] * 33)
+        Binned(*[boolean()] * 33)
     with pytest.raises(OverflowError):
-        Histogram(*[integer(0, 100)] * 5).dense()
+        Binned(*[integer(0, 100)] * 5).dense()
 
 
 def test_partitions_do_not_matter(spark):
     rows = spark.range(4000).select((F.randn(1) * 2).cast("int").alias("x"), (F.randn(2) * 2).cast("int").alias("y"), (F.lit(0.5) + F.abs(F.randn(3))).alias("w")).cache()
     for acc, more in ((Count(), {}), (Fraction(), {"sample": F.col("x") > 0}), (Collector(), {"sample": "w"})):
-        one, many = (Histogram(integer(-3, 4), integer(-2, 2, options=()), accumulator=acc).fill(df, "x", "y", **more) for df in (rows.coalesce(1), rows.repartition(9)))
+        one, many = (Binned(integer(-3, 4), integer(-2, 2, options=()), accumulator=acc).fill(df, "x", "y", **more) for df in (rows.coalesce(1), rows.repartition(9)))
         assert one == many
-    a, b = (values(Histogram(integer(-3, 4), accumulator=WeightedSum()).fill(df, "x", weight="w")) for df in (rows.coalesce(1), rows.repartition(9)))
+    a, b = (values(Binned(integer(-3, 4), accumulator=WeightedSum()).fill(df, "x", weight="w")) for df in (rows.coalesce(1), rows.repartition(9)))
     assert a == pytest.approx(b)

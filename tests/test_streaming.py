@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from binweave.operators.accumulator import Mean
 from binweave.operators.axis import category, integer, regular
-from binweave.operators.histogram import Histogram
+from binweave.operators.binned import Binned
 from binweave.streaming.fill import fill_keys, fill_stream, fill_windows, rebase
 
 import pytest
@@ -27,11 +27,11 @@ def events(spark):
 def test_cells(spark, events):
     rows, stream = events
     axes = [category(["click", "view"]), regular(4, 0, 400)]
-    h = Histogram(*axes).fill(rows, "event_type", "value")
+    h = Binned(*axes).fill(rows, "event_type", "value")
     assert sorted(map(tuple, run(spark, fill_stream(stream, axes, ["event_type", "value"]), "complete", "counts").collect())) == sorted(map(tuple, h.cells.collect()))
-    m = Histogram(axes[0], accumulator=Mean()).fill(rows, "event_type", sample="value")
+    m = Binned(axes[0], accumulator=Mean()).fill(rows, "event_type", sample="value")
     got = run(spark, fill_stream(stream, axes[:1], ["event_type"], Mean(), sample="value"), "update", "means")
-    assert Histogram(axes[0], accumulator=Mean(), cells=got).at(0)["value"] == pytest.approx(m.at(0)["value"])
+    assert Binned(axes[0], accumulator=Mean(), cells=got).at(0)["value"] == pytest.approx(m.at(0)["value"])
     with pytest.raises(ValueError):
         fill_stream(stream, [integer(0, 1, options={"growth"})], ["value"])
 
@@ -44,4 +44,4 @@ def test_windows_and_keys(spark, events):
     assert sorted(map(tuple, got.select("window_start", "i0", "value").collect())) == sorted(map(tuple, want.collect()))
     axis = regular(2, 0, 50, options={"growth"})
     grown = rebase(run(spark, fill_keys(stream, axis, "value"), "complete", "keys"), axis)
-    assert grown == Histogram(axis).fill(rows, "value") * 1.0
+    assert grown == Binned(axis).fill(rows, "value") * 1.0
