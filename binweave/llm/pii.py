@@ -1,8 +1,8 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions for what the patterns miss.
 
 The network is trained in numpy on the driver, from a bounded set of generated labelled spans (`examples`, `seed`), and
-sent along.  Every kind of span has digits or an @, so a text is cut to the regions within `REACH` characters of one;
-elsewhere nothing could be found.  Regions are read in overlapping windows; a character's tag scores come from the
+sent along.  Every kind of span that it is taught has digits, an @ or an @ in words (SIGN), so a text is cut to the regions within
+`REACH` characters of one, up to the end of the word there.  Regions are read in overlapping windows; a character's tag scores come from the
 windows that see it, weighted by its distance to their edges, and one Viterbi path per region reconciles them.  A path's spans
 count if they are plausible (digits, check sum) and don't touch a pattern's span.
 """
@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the network
 
 SYMBOLS = 98  # printable ASCII, line ends, other letters, others
-EMBED, HIDDEN, WINDOW, STRIDE, REACH = 10, 16, 96, 64, 24
+EMBED, HIDDEN, WINDOW, STRIDE, REACH, WORD_END = 10, 16, 96, 64, 24, 64
 TAGS = 1 + 2 * len(KINDS)
 
 
@@ -232,13 +232,22 @@ def train(examples: int = 1500, epochs: int = 10, seed: int = 3) -> dict:
     return p
 
 
+#: What every kind of span has one of: an @, a digit, or an @ in words (fixed forms).
+SIGN = re.compile(r"@|[0-9]+|\[at\]|\(at\)")
+_BEFORE, _AFTER = re.compile(r"\S{0,%d}\Z" % WORD_END), re.compile(r"\S{0,%d}" % WORD_END)
+
+
 def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH of an @ or a longer number's digits."""
+    """Stretches within REACH of a sign, and on to the end of the word there (of WORD_END characters at most)."""
     out: list[tuple[int, int]] = []
-    for m in re.finditer(r"@|[0-9]+", text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for m in SIGN.finditer(text):
+        if out and m.end() + REACH <= out[-1][1]:
+            continue
+        a = max(0, m.start() - REACH)
+        a = a - len(_BEFORE.search(text[max(0, a - WORD_END) : a]).group())
+        b = _AFTER.match(text, min(len(text), m.end() + REACH)).end()
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
@@ -359,7 +368,7 @@ def _find(held):
 def find_personal_data(docs: DataFrame, examples: int = 1500, epochs: int = 10, seed: int = 3, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, then spans (kind, start, end, base): code points, end exclusive, by kind as in KINDS, then start.
 
-    Edges: null texts count as empty and have no spans; a column of the input named spans is replaced; repeated rows are searched alike.
+    Edges: null texts count as empty and have no spans; a very long text is read whole, some windows at a time; a column of the input named spans is replaced; repeated rows are searched alike.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != "spans"]
@@ -375,7 +384,7 @@ def joined(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The text with every character of a span replaced by *; spans of other kinds may overlap."""
+    """The text with every character of a span replaced by *; spans of other kinds may overlap; a null text stays null."""
     def cover(text: Column, s: Column) -> Column:
         return F.concat(F.substring(text, F.lit(1), s["start"].cast("int")), F.repeat(F.lit("*"), (s["end"] - s["start"]).cast("int")), F.substring(text, (s["end"] + 1).cast("int"), F.length(text)))
 

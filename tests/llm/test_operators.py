@@ -226,10 +226,115 @@ def test_leaks(spark):
 
 
 def plain_spans(text):
-    """The patterns as written, by one regular expression each."""
+    """The patterns, read character by character (addresses by one regular expression)."""
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    digit = lambda k: k < len(text) and text[k] in "0123456789"
+
+    def ip(i):
+        for part in range(4):
+            if part and text[i : i + 1] != ".":
+                return None
+            i += part > 0
+            if not digit(i):
+                return None
+            while digit(i):
+                i += 1
+        return i
+
+    def card(i):
+        n = i
+        while digit(n) or n > i and text[n : n + 1] in (" ", "-") and digit(n + 1):
+            n += 1 if digit(n) else 2
+        return n if n - i > 1 else None
+
+    def phone(i):
+        if text[i : i + 1] != "+" or not digit(i + 1):
+            return None
+        n = i + 2
+        while n < len(text) and text[n] in " ().-0123456789":
+            n += 1
+        ends = [k for k in range(i + 3, n) if digit(k)]
+        return ends[-1] + 1 if ends else None
+
+    def good(kind, s):
+        d = [int(c) for c in s if c in "0123456789"]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in s.split("."))
+        doubled = [sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d[::-1])]
+        return 16 <= len(d) <= 19 and sum(doubled) % 10 == 0 if kind == "card" else 8 <= len(d) <= 15
+
     out = [("email", m.start(), m.end()) for m in email.finditer(text)]
-    return out + [s for s in pii.base_spans(text) if s[0] != "email"]
+    for kind, read in (("ip", ip), ("card", card), ("phone", phone)):
+        i = 0
+        while i < len(text):
+            end = read(i)
+            if end and good(kind, text[i:end]):
+                out.append((kind, i, end))
+            i = end or i + 1
+    return out
+
+
+def test_numbers_against_reading_by_character():
+    r = random.Random(14)
+    found = Counter()
+    for _ in range(6000):
+        text = "".join(r.choice(["1", "4", "0", "25", "255", "256", ".", ".", " ", "-", "+", "(", ")", "4111 1111 1111 1111", "10.0.0.7", "a"]) for _ in range(r.randint(0, 25)))
+        assert pii.base_spans(text) == plain_spans(text), text
+        found.update(k for k, _, _ in pii.base_spans(text))
+    assert min(found[k] for k in ("ip", "card", "phone")) > 100
+
+
+def test_network_reads_addresses_without_digits():
+    text = "we wrote to anna [at] firma.net about it and nothing else happened that day in the whole town"
+    assert any(a <= text.index("[at]") < b for a, b in pii._regions(text))
+    assert any(k == "email" and a <= text.index("[at]") < b for k, a, b in pii.model_spans(pii.train(), [text])[0])
+    long = "x" * 40 + "@" + "y" * 40
+    assert pii._regions(f"word {long} word")[0][0] <= 5 and pii._regions(f"word {long} word")[0][1] >= 5 + len(long)
+    assert pii._regions("no sign here") == []
+
+
+def test_leaks_against_scoring_every_item(spark):
+    """All items at or above the threshold are retrieved: items of common words, templates, one text a third of the benchmark."""
+    r = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(r.randint(4, 20))) for _ in range(40)]
+    items += ["what is the name of the place where " + r.choice(vocabulary) + " lives"] * 1 + [f"what is the name of the place where {w} lives" for w in vocabulary[:15]]
+    items += ["one text that many items have in common for sure"] * 28 + ["", "w1"]
+    docs = []
+    for i in range(60):
+        t = [r.choice(vocabulary) for _ in range(r.randint(0, 300))]
+        for _ in range(r.randint(0, 3)):
+            own = r.choice(items).split()
+            own = own[: max(1, int(len(own) * r.choice([1, 1, 0.7])))]
+            at = r.randint(0, len(t))
+            t[at:at] = own
+        docs.append((i, " ".join(t)))
+    words = [t.split() for t in items]
+    n, df, mean = len(items), Counter(w for t in words for w in set(t)), sum(map(len, words)) / len(items)
+
+    def weights(t):
+        own = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / max(1.0, mean))) for w, c in Counter(t).items()}
+        return {w: x / sum(own.values()) for w, x in own.items()}
+
+    grams = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    share = lambda part, whole: sum(x in whole for x in part) / len(part) if part else 1.0
+    per_item, size = [weights(t) for t in words], max(128, 2 * max(map(len, words)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {x["doc_id"]: {h["item_id"] for h in x["hits"]} for x in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    total = 0
+    for d, text in docs:
+        t, want, close = text.split(), set(), set()
+        for at in range(0, max(1, len(t) - size // 2), size // 2):
+            part = t[at : at + size]
+            for i, (own, w) in enumerate(zip(words, per_item)):
+                score = sum(x for k, x in w.items() if k in set(part))
+                cut = max(1, len(own) - max(1, len(own) // 4))
+                k = min(5, len(own))
+                if own and score >= 0.5 - 1e-9 and share(grams(own, k), grams(part, k)) >= 0.5 and share(set(own[:cut]), set(part)) >= 0.6 and share(set(own[cut:]), set(part)) >= 0.5:
+                    (close if score < 0.5 + 1e-9 else want).add(i)
+        assert want <= got[d] <= want | close, d
+        total += len(want)
+    assert total > 300
 
 
 def test_patterns():
