@@ -2,9 +2,9 @@
 
 A shard is what a task reads up to SHARD_BYTES; its index is one row of packed arrays (documents, terms, postings, and for
 every block of BLOCK documents of a postings list the largest frequency and the shortest document, which bound the score
-whatever the corpus statistics are).  Document frequencies and the mean length are summed over all shards.  In a shard a
-query looks at the blocks of documents by falling sum of its terms' block bounds and stops where that sum can't enter the top k
-any more; documents of a block are scored exactly.  A task keeps k per query over all its shards; the rest is merged by rank.
+whatever the corpus statistics are).  Document frequencies and the mean length are summed over all shards.  A task keeps the k
+best per query over all its shards, so each shard starts with the bar the others have set (see `shard_top`); documents
+are scored exactly, and the tasks' lists are merged by rank.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import durable, small_batches
-from ._text import U, pack, slices, spread, unpack, utf8, word_hashes
+from ._text import U, pack, slices, unpack, utf8, word_hashes
 
 K1, B = 1.2, 0.75
 SHARD_BYTES, BLOCK = 8 << 20, 64
@@ -79,26 +79,43 @@ def _frequencies(held):
     return run
 
 
-def shard_top(arrays: list, terms: np.ndarray, idf: np.ndarray, mean: float, k: int) -> list[tuple[float, int]]:
-    """The k best (score, -id) of a shard for a query of distinct terms."""
+def shard_top(arrays: list, terms: np.ndarray, idf: np.ndarray, mean: float, k: int, best: list[tuple[float, int]]) -> None:
+    """Put a shard's documents for a query of distinct terms into `best`, a heap of the k best (score, -id) so far.
+
+    Block-max WAND over blocks of documents: terms are ordered by the most they can add, and before the pivot are those that
+    together can't reach the k-th score, so blocks without a term from the pivot on are never looked at.  The others are bounded by
+    their terms' block maxima and scored from the highest bound on, until that is below the k-th score, which rises meanwhile.
+    """
     ids, length, known, first, doc, tf, block_first, block, most, least = arrays
     if not len(known) or not len(terms):
-        return []
+        return
     at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
     has = known[at] == terms
     at, idf = at[has], idf[has]
     if not len(at):
-        return []
-    n = block_first[at + 1] - block_first[at]
-    rows = spread(block_first[at], n)
-    bound = np.repeat(idf, n) * most[rows] * (K1 + 1) / (most[rows] + K1 * (1 - B + B * least[rows] / mean))
-    total = np.bincount(block[rows], bound)
-    best: list[tuple[float, int]] = []
+        return
+    blocks = [block[block_first[a] : block_first[a + 1]].astype(np.int64) for a in at]
+    bounds = []
+    for a, w in zip(at, idf):
+        m, n = most[block_first[a] : block_first[a + 1]], least[block_first[a] : block_first[a + 1]]
+        bounds.append(w * m * (K1 + 1) / (m + K1 * (1 - B + B * n / mean)))
+    reach = lambda bound: (bound * (1 + 1e-9) >= best[0][0]) if len(best) == k else (bound > 0)
+    top = np.array([x.max() for x in bounds])
+    order = np.argsort(top, kind="stable")
+    pivot = np.flatnonzero(reach(np.cumsum(top[order])))
+    if not len(pivot):
+        return
+    from_pivot, before = order[pivot[0] :], order[: pivot[0]]
+    seen, slot = np.unique(np.concatenate([blocks[t] for t in from_pivot]), return_inverse=True)
+    total = np.bincount(slot, np.concatenate([bounds[t] for t in from_pivot]))
+    for t in before:
+        x = np.minimum(np.searchsorted(blocks[t], seen), len(blocks[t]) - 1)
+        total += np.where(blocks[t][x] == seen, bounds[t][x], 0.0)
     lists = [(doc[first[a] : first[a + 1]], tf[first[a] : first[a + 1]], w) for a, w in zip(at, idf)]
-    for b in np.argsort(-total, kind="stable"):
-        if total[b] <= 0 or len(best) == k and total[b] * (1 + 1e-9) < best[0][0]:
+    for i in np.argsort(-total, kind="stable"):
+        if not reach(total[i]):
             break
-        lo, hi = b * BLOCK, (b + 1) * BLOCK
+        lo, hi = seen[i] * BLOCK, (seen[i] + 1) * BLOCK
         scores, found = np.zeros(BLOCK), np.zeros(BLOCK, bool)
         for d, f, w in lists:
             x, y = np.searchsorted(d, lo), np.searchsorted(d, hi)
@@ -106,13 +123,12 @@ def shard_top(arrays: list, terms: np.ndarray, idf: np.ndarray, mean: float, k:
                 own, freq = d[x:y].astype(np.int64), f[x:y]
                 scores[own - lo] += w * freq * (K1 + 1) / (freq + K1 * (1 - B + B * length[own] / mean))
                 found[own - lo] = True
-        for i in np.flatnonzero(found):
-            entry = (float(scores[i]), -int(ids[lo + i]))
+        for j in np.flatnonzero(found):
+            entry = (float(scores[j]), -int(ids[lo + j]))
             if len(best) < k:
                 heapq.heappush(best, entry)
             elif entry > best[0]:
                 heapq.heapreplace(best, entry)
-    return best
 
 
 def _top(held, k: int):
@@ -123,7 +139,7 @@ def _top(held, k: int):
             for block in batch.column("shard").to_pylist():
                 arrays = unpack(block)
                 for q, terms, idf in queries:
-                    best[q] = heapq.nlargest(k, best[q] + shard_top(arrays, terms, idf, mean, k))
+                    shard_top(arrays, terms, idf, mean, k, best[q])
         rows = [(q, -i, s) for q, found in best.items() for s, i in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 
@@ -137,7 +153,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 2
     Queries are sent `query_block` at a time over the stored index.
 
     Edges: null and empty texts count as documents of length 0; rows with null ids are left out on both sides; queries without a known word have no
-    rows; repeated document rows are ranked each; of repeated query ids one text (the smallest) is used; empty tables give no rows.
+    rows; a very long text is one document; repeated document rows are ranked each; of repeated query ids one text (the smallest) is used; empty tables give no rows.
     """
     spark = docs.sparkSession
     shards = durable(index(docs, id_col, text_col))
