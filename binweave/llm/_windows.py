@@ -8,8 +8,12 @@ have equal anchors at equal places, and one anchor answers for a run of neighbou
    contexts only those of the smallest id go on; the others are repeats already.  So a context that is in a third
    of all documents reaches its bucket once per task.
 2. `resolve`: one bucket per range of k-gram hashes.  Of equal contexts all but the smallest id's are
-   repeats; k-grams with one context are unique; k-grams with several contexts are `open`.
-3. `contexts`: the open anchors meet their text again and give their context as rows.
+   repeats; k-grams with one context are unique; k-grams with several contexts are `open`, those with more than
+   `hot` contexts are hot too.
+3. `contexts`: the open anchors meet their text again and give their context as rows, known by their k-gram.  A hot
+   k-gram is split: each window is a row of its own, known by all its symbols.  Of the rows of one window in a group of
+   documents only those of the smallest id go on; the others are repeats already.  So at most `hot` rows of a k-gram, or
+   those of one id per group of a window, meet in a task.
 4. The caller compares the open contexts of a k-gram (suffix order for bytes, factors for words).
 5. `gather`: a document's spans are merged and applied to its text.
 
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +41,12 @@ LAST = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Windows:
-    """length: symbols in a window; k: symbols in an anchor's k-gram; by_word: else by byte."""
+    """length: symbols in a window; k: symbols in an anchor's k-gram; by_word: else by byte; hot: contexts of a k-gram from which its windows are dealt one by one."""
 
     length: int
     k: int
     by_word: bool
+    hot: int = 50_000
 
     @property
     def left(self) -> int:
@@ -247,18 +253,18 @@ def _resolve(spec: Windows, buckets: int):
         least = mine[np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))]
         repeat = mine > least
         run_of = np.cumsum(new_gram) - 1
-        several = np.bincount(run_of, new)[run_of] > 1
+        contexts = np.bincount(run_of, new)[run_of]
+        several, hot = contexts > 1, contexts > spec.hot
         is_open = ~repeat & several
         group = _group(key, crc, buckets)
         out = [(0, g - buckets, b) for g, b in _span_blocks(key, crc, group, doc[repeat], start[repeat].astype(np.int64), count[repeat].astype(np.int64) + spec.length - 1, buckets)]
-        doc, start, off, count, gram = (x[is_open] for x in (doc, start, off, count, gram))
+        doc, start, off, count, hot = (x[is_open] for x in (doc, start, off, count, hot))
         by = np.argsort(group[doc], kind="stable")
-        doc, start, off, count, gram = (x[by] for x in (doc, start, off, count, gram))
+        doc, start, off, count, hot = (x[by] for x in (doc, start, off, count, hot))
         cut = np.flatnonzero(np.diff(group[doc], append=-1)) + 1
         for a, b in zip(np.append(0, cut[:-1]), cut) if len(doc) else ():
             used, d = np.unique(doc[a:b], return_inverse=True)
-            high = np.full(b - a, slot, np.uint32)  # the k-gram's identity: its bucket and the low half of its hash
-            out.append((1, int(group[doc[a]]), pack(key[used], crc[used], d.astype(np.uint32), start[a:b], off[a:b], count[a:b], gram[a:b], high)))
+            out.append((1, int(group[doc[a]]), pack(key[used], crc[used], d.astype(np.uint32), start[a:b], off[a:b], count[a:b], hot[a:b].astype(np.uint8))))
         kinds, groups, packed = zip(*out) if out else ((), (), ())
         return pa.table([pa.array(kinds, pa.int32()), pa.array(groups, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
@@ -266,12 +272,14 @@ def _resolve(spec: Windows, buckets: int):
 
 
 def _contexts(spec: Windows):
-    """Rows (gram, slot, key, crc, start, off, count, text) of the open anchors; text: the context's symbols, `before` of them left of the anchor."""
+    """Rows of the open anchors.  lead: symbols that rows must share to be compared; context: the symbols seen, `before` of them left of the anchor, empty if the windows are known to be repeats."""
     schema = pa.schema([("lead", pa.binary()), ("context", pa.binary()), ("before", pa.int32()), ("key", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("off", pa.int32()), ("count", pa.int32())])
 
     def run(_, docs, found):
         cols: list[list] = [[] for _ in schema.names]
         held: dict = {}
+        split: list[tuple] = []
+        least: dict[bytes, int] = {}
         for block in found.column("block").to_pylist():
             key, crc, doc, *rest = unpack(block)
             order = np.argsort(doc, kind="stable")
@@ -282,7 +290,7 @@ def _contexts(spec: Windows):
         for k, _, text in _documents(docs):
             if (parts := held.pop(k, None)) is None:  # a row like one before needs no second look
                 continue
-            start, off, count, _, _ = (np.concatenate(x) for x in zip(*parts))
+            start, off, count, hot = (np.concatenate(x) for x in zip(*parts))
             sym = np.frombuffer(text, np.uint8)
             if spec.by_word:
                 sym, _, _, _ = word_hashes(sym, np.array([0, len(sym)]))
@@ -290,11 +298,23 @@ def _contexts(spec: Windows):
             lo, hi = np.maximum(place - spec.left, 0), np.minimum(place + spec.length, len(sym))
             wide = sym.dtype.itemsize
             raw = sym.tobytes()
-            for i in range(len(place)):
+            cool = np.flatnonzero(hot == 0)
+            for i in cool:
                 cols[0].append(raw[place[i] * wide : (place[i] + spec.k) * wide])
                 cols[1].append(raw[lo[i] * wide : hi[i] * wide])
             for c, v in zip(cols[2:], (place - lo, np.full(len(lo), k[0]), np.full(len(lo), k[1]), start, off, count)):
-                c.append(np.asarray(v))
+                c.append(np.asarray(v)[cool])
+            for i in np.flatnonzero(hot):
+                for at in range(start[i], start[i] + count[i]):
+                    window = raw[at * wide : (at + spec.length) * wide]
+                    split.append((window, k[0], k[1], at, int(place[i]) - at))
+                    least[window] = min(k[0], least.get(window, k[0]))
+        for window, key, crc, at, before in split:
+            first = key == least[window]
+            cols[0].append(window if first else b"%d" % key)
+            cols[1].append(window if first else b"")
+            for c, v in zip(cols[2:], (before, key, crc, at, before, 1)):
+                c.append(np.array([v]))
         arrays = [pa.array(c, f.type) if i < 2 else pa.array(np.concatenate(c) if c else [], f.type) for i, (c, f) in enumerate(zip(cols, schema))]
         return pa.table(arrays, schema=schema)
 
@@ -316,6 +336,40 @@ def context_arrays(spec: Windows, table: pa.Table) -> tuple[np.ndarray, ...]:
     return matrix, real
 
 
+def compared(spec: Windows, groups: int, compare: Callable, step: int = 50_000):
+    """A function for mapInArrow: rows of _contexts, dealt by their lead, to blocks of spans.
+
+    `compare` gets rows in the order of their leads, all of a lead at once, and returns row, first window in it and number of windows of the repeats.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("grp", pa.int32()), ("block", pa.binary())])
+
+    def spans(part, row, first, windows):
+        key, crc, start = (part.column(c).to_numpy() for c in ("key", "crc", "start"))
+        return span_rows(spec, key[row], crc[row], start[row] + first, windows + spec.length - 1, groups).cast(schema).to_batches()
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        known = pc.equal(pc.binary_length(table.column("context")), 0)
+        part = table.filter(known)
+        yield from spans(part, np.arange(len(part)), 0, part.column("count").to_numpy())
+        table = table.filter(pc.invert(known)).sort_by("lead")
+        if not len(table):
+            return
+        lead = table.column("lead").combine_chunks()
+        edges = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(lead[1:], lead[:-1]).to_numpy(zero_copy_only=False)), [len(lead)]])
+        a = 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + step, "right")) - 1)
+            part = table.slice(edges[a], edges[b] - edges[a])
+            yield from spans(part, *compare(part))
+            a = b
+
+    return run
+
+
 def span_rows(spec: Windows, key, crc, start, size, groups: int) -> pa.Table:
     """Spans as blocks for gather()."""
     ids, doc = np.unique(np.stack([key, crc.astype(np.int64)]), axis=1, return_inverse=True)

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import _BYTE, mix64, powers, utf8
-from ._windows import Windows, context_arrays, remove_repeats, span_rows
+from ._text import _BYTE, mix64, powers
+from ._windows import Windows, compared, context_arrays, remove_repeats
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -77,32 +77,16 @@ def shared_windows(spec: Windows, matrix: np.ndarray, real: np.ndarray, key: np.
     return rows[later], offs[later]
 
 
-def _compare_bucket(spec: Windows, groups: int, step: int = 50_000):
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        table = table.sort_by("lead")
-        leads = table.column("lead").combine_chunks()
-        data, offsets = utf8(leads)
-        lead = data.reshape(len(leads), -1)
-        new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]).any(1)))
-        new = np.append(new, len(leads))
-        a = 0
-        while a < len(new) - 1:  # whole runs of equal leading bytes, some at a time
-            b = max(a + 1, int(np.searchsorted(new, new[a] + step, "right")) - 1)
-            part = table.slice(new[a], new[b] - new[a])
-            key, crc, start, off, count = (part.column(c).to_numpy() for c in ("key", "crc", "start", "off", "count"))
-            rows, at = shared_windows(spec, *context_arrays(spec, part), key, off, count)
-            out = span_rows(spec, key[rows], crc[rows], start[rows] + at, np.full(len(rows), spec.length), groups)
-            yield from out.cast(pa.schema([("kind", pa.int32()), ("grp", pa.int32()), ("block", pa.binary())])).to_batches()
-            a = b
-
-    return run
-
-
-def drop_repeated_bytes(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _compare_bucket(spec: Windows, groups: int):
+    def compare(part: pa.Table):
+        key, off, count = (part.column(c).to_numpy() for c in ("key", "off", "count"))
+        rows, at = shared_windows(spec, *context_arrays(spec, part), key, off, count)
+        return rows, at, np.ones(len(rows), np.int64)
+
+    return compared(spec, groups, compare)
+
+
+def drop_repeated_bytes(docs: DataFrame, length: int = 50, k: int = 20, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each text without the bytes covered by a string of `length` bytes that also starts in a document with a smaller id.
 
     spans are the maximal removed runs [start, end) of UTF-8 bytes, kept is the rest (binary: a cut can fall inside a character).
@@ -110,7 +94,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 50, k: int = 20, id_col:
     Edges: null text counts as empty; texts shorter than `length` stay whole; rows with equal ids don't count as smaller
     than one another, and a null id counts as larger than any other; repeats inside one document stay; every input row gives one row.
     """
-    spec = Windows(length, k, by_word=False)
+    spec = Windows(length, k, False, hot)
 
     def compare(contexts: DataFrame, groups: int) -> DataFrame:
         dealt = contexts.repartitionByRange(groups, F.col("lead"))

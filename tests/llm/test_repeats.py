@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from binweave.llm.rlz_dedup import drop_repeated_words
+from binweave.llm._windows import Windows
+from binweave.llm.rlz_dedup import drop_repeated_words, parse
 from binweave.llm.suffix_dedup import drop_repeated_bytes, multikey_quicksort
 
 LAST = 1 << 63
@@ -51,19 +52,49 @@ def check(result, rows, expected, size):
 
 
 def test_bytes(spark):
-    for seed in (1, 2):
+    for seed, hot in ((1, 50_000), (2, 50_000), (1, 1), (2, 3)):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).repartition(3)
         want = [(bytes(k), len((t or "").encode()), gone, runs) for (_, t), (k, gone, runs) in zip(rows, brute(rows, 50, lambda t: t.encode()))]
-        check(drop_repeated_bytes(docs).collect(), rows, want, "n_bytes")
+        check(drop_repeated_bytes(docs, hot=hot).collect(), rows, want, "n_bytes")
 
 
 def test_words(spark):
-    for seed in (3, 4):
+    for seed, hot in ((3, 50_000), (4, 50_000), (3, 1), (4, 3)):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grp", F.lit(1)).repartition(3)
         want = [(b" ".join(k), len((t or "").encode().split()), gone, runs) for (_, t), (k, gone, runs) in zip(rows, brute(rows, 13, lambda t: t.encode().split()))]
-        check(drop_repeated_words(docs).collect(), rows, want, "n_words")
+        check(drop_repeated_words(docs, hot=hot).collect(), rows, want, "n_words")
+
+
+def phrases(words):
+    """One phrase in every document, its neighbourhood different each time but for every fourth."""
+    r = random.Random(5)
+    other = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    phrase = other(words)
+    return [(i, f"{'some words that come again and again' if i % 4 == 0 else other(7)} {phrase} {other(9)}") for i in range(600)]
+
+
+def test_a_phrase_with_many_neighbourhoods(spark):
+    """Split or not, a hot phrase gives what brute force gives."""
+    for words, drop, length, split, size in ((9, drop_repeated_words, 13, lambda t: t.encode().split(), "n_words"), (16, drop_repeated_words, 13, lambda t: t.encode().split(), "n_words"), (6, drop_repeated_bytes, 50, lambda t: t.encode(), "n_bytes")):
+        rows = phrases(words)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        join = b" ".join if size == "n_words" else bytes
+        want = [(join(k), len(split(t)), gone, runs) for (_, t), (k, gone, runs) in zip(rows, brute(rows, length, split))]
+        for hot in (100, 50_000):
+            check(drop(docs, hot=hot).collect(), rows, want, size)
+
+
+def test_parse():
+    """Factors are as long as their source goes on, and a change inside a stretch starts a new one."""
+    import numpy as np
+
+    spec = Windows(4, 2, True)
+    texts = np.arange(30, 36)[None, :].repeat(3, 0).astype(np.uint64)
+    texts[2, 5] = 99
+    row, first, windows = parse(spec, texts, np.ones((3, 6), bool), np.array([1, 2, 3]), np.array([2, 2, 2]), np.array([3, 3, 3]))
+    assert sorted(zip(row.tolist(), first.tolist(), windows.tolist())) == [(1, 0, 3), (2, 0, 2)]
 
 
 def test_empty(spark):
