@@ -292,12 +292,12 @@ def regular(n, start, stop, metadata="", options=None, transform=None) -> Regula
     return Regular(n=n, start=start, stop_=stop, metadata=metadata, options=options, transform=transform or Transform())
 
 
-def regular_step(width: float, start: float, stop: float, metadata="", options=None) -> Regular:
-    """As many bins of the given width as fit between start and stop."""
+def regular_step(width: float, start: float, stop: float, metadata="", options=None, transform=None) -> Regular:
+    """As many bins of the given width as fit between start and stop; a transform changes the bins between, not their number or the end."""
     if width <= 0:
         raise ValueError("the step must be positive")
     n = int(abs(stop - start) / width)
-    return regular(n, start, start + n * (width if stop > start else -width), metadata, options)
+    return regular(n, start, start + n * (width if stop > start else -width), metadata, options, transform)
 
 
 def circular(n, start=0.0, stop=2 * math.pi, metadata="") -> Regular:
@@ -342,7 +342,12 @@ class Variable(Axis):
             mid = (lo + hi) // 2
             return F.when(x < self.edges[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-        out = tree(0, n + 1) if n <= 64 else F.when(x.isNull(), n).otherwise(F.size(F.filter(F.array(*map(F.lit, self.edges)), lambda e: e <= x)) - 1)
+        def search() -> Column:  # number of edges <= x, by halving steps
+            edges = F.array(*map(F.lit, self.edges))
+            steps = F.array(*(F.lit(1 << k) for k in reversed(range((n + 1).bit_length()))))
+            return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n + 1) & (F.element_at(edges, F.least(at + step, F.lit(n + 1))) <= x), at + step).otherwise(at))
+
+        out = tree(0, n + 1) if n <= 64 else F.when(x.isNull(), n).otherwise(search() - 1)
         if not self.overflow and not self.circular:
             out = F.when(x == self.edges[-1], n - 1).otherwise(out)
         return out.cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals
-from ..functions.transforms import Log, Pow, Sqrt
+from ..functions.transforms import Log, Pow, Sqrt, UserTransform
 from ..operators import reduce as R
 from ..operators.accumulator import BigCount, Collector, Count, Custom, Fraction, Mean, Sum, WeightedMean, WeightedSum, maximum, means
 from ..operators.axis import Adapted, UserAxis, boolean, category, circular, integer, regular, regular_step, variable
@@ -173,7 +173,19 @@ def hist_integer_grow(spark, d):
     return Binned(integer(3, 5, options={"growth"})).fill(table(spark, d, "part"), "p_size").table()
 
 
-@query()
+_GROWN = """WITH RECURSIVE seen AS (SELECT event_id, value AS x, max(value) OVER before AS top, min(value) OVER before AS low FROM events
+WINDOW before AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+news AS (SELECT x, row_number() OVER (ORDER BY event_id) AS n FROM seen WHERE top IS NULL OR x > top OR x < low),
+walk AS (SELECT 0 AS n, [0.0::DOUBLE, 1.0::DOUBLE, 5.0::DOUBLE] AS e UNION ALL
+SELECT walk.n + 1, CASE WHEN x >= e[-1] THEN list_append(e, greatest(nextafter(x, 'Infinity'::DOUBLE), e[-1] + 0.5::DOUBLE * (e[-1] - e[-2])))
+WHEN x < e[1] THEN list_prepend(least(x, e[1] - 0.5::DOUBLE * (e[2] - e[1])), e) ELSE e END FROM walk JOIN news ON news.n = walk.n + 1),
+last AS (SELECT e FROM walk ORDER BY n DESC LIMIT 1),
+cells AS (SELECT len(list_filter(e, lambda y: y <= value)) - 1 AS i, count(*) AS v FROM events, last GROUP BY 1)
+SELECT CAST(g.i AS INTEGER) AS i0, e[g.i + 1] AS lower0, e[g.i + 2] AS upper0, CAST(coalesce(v, 0) AS BIGINT) AS value
+FROM (SELECT e, unnest(generate_series(0, len(e) - 2)) AS i FROM last) g LEFT JOIN cells ON cells.i = g.i"""
+
+
+@query(_GROWN)
 def hist_variable_grow(spark, d):
     h = Binned(variable([0, 1, 5], options={"growth"})).fill(table(spark, d, "events"), "value", order_by="event_id")
     return h.indexed().select("i0", "lower0", "upper0", "value")
@@ -290,10 +302,10 @@ def fraction_wilson(spark, d):
     return rounded(fraction_of(spark, d).table(), value=9, variance=9, lower=9, upper=9)
 
 
-def intervals_of(spark, d, method, z):
+def intervals_of(spark, d, method, z, digits=9):
     cells = fraction_of(spark, d).cells
     low, high = method(F.col("successes"), F.col("failures"), z)
-    return cells.select("i0", F.round(low, 9).alias("lower"), F.round(high, 9).alias("upper"))
+    return cells.select("i0", F.round(low, digits).alias("lower"), F.round(high, digits).alias("upper"))
 
 
 @query(f"WITH c AS ({COUNTS}) SELECT i0, round(s / n - b, 9) AS lower, round(s / n + b, 9) AS upper FROM (SELECT i0, s, (s + f)::DOUBLE AS n, 2.0::DOUBLE / (s + f) * sqrt(s * f / (s + f)::DOUBLE) AS b FROM c)")
@@ -301,14 +313,26 @@ def fraction_wald(spark, d):
     return intervals_of(spark, d, intervals.wald, 2.0)
 
 
-@query()
+def _beta_quantiles(low: tuple[str, str], high: tuple[str, str]) -> str:
+    """Interval of one deviation between quantiles of beta distributions: the series of the distribution function, halved 45 times."""
+    term = "exp(lgamma(a + b + j) - lgamma(a + b) + lgamma(a + 1) - lgamma(a + 1 + j) + j * ln((lo + hi) / 2))"
+    front = "exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln((lo + hi) / 2) + b * ln(1 - (lo + hi) / 2)) / a"
+    below = f"{front} * list_sum(list_transform(range(0, CAST(a + b AS BIGINT) + 200), lambda j: {term})) < p"
+    return f"""WITH RECURSIVE c AS ({COUNTS}), t AS (SELECT 0.5::DOUBLE * (1 - 0.682689492137085897::DOUBLE) AS tail),
+asked AS (SELECT i0, 'lower' AS side, tail AS p, ({low[0]})::DOUBLE AS a, ({low[1]})::DOUBLE AS b FROM c, t UNION ALL SELECT i0, 'upper', 1 - tail, ({high[0]})::DOUBLE, ({high[1]})::DOUBLE FROM c, t),
+found AS (SELECT *, 0 AS n, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM asked UNION ALL
+SELECT i0, side, p, a, b, n + 1, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, {below} AS below FROM found WHERE n < 45))
+SELECT i0, round(max((lo + hi) / 2) FILTER (side = 'lower'), 7) AS lower, round(max((lo + hi) / 2) FILTER (side = 'upper'), 7) AS upper FROM found WHERE n = 45 GROUP BY i0"""
+
+
+@query(_beta_quantiles(("s", "f + 1"), ("s + 1", "f")))
 def fraction_clopper(spark, d):
-    return intervals_of(spark, d, intervals.clopper_pearson, 1.0)
+    return intervals_of(spark, d, intervals.clopper_pearson, 1.0, digits=7)
 
 
-@query()
+@query(_beta_quantiles(("s + 0.5", "f + 0.5"), ("s + 0.5", "f + 0.5")))
 def fraction_jeffreys(spark, d):
-    return intervals_of(spark, d, intervals.jeffreys, 1.0)
+    return intervals_of(spark, d, intervals.jeffreys, 1.0, digits=7)
 
 
 @query("""SELECT CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS INTEGER) AS i0,
@@ -608,6 +632,203 @@ def stream_sliding(spark, d):
     return spark.table(name).select(F.unix_timestamp("window_start").alias("start"), "i0", "value")
 
 
+# --- inspection, storage, equality
+
+
+@query(dense(f"SELECT {reg('l_quantity * l_quantity', 5, '0.0::DOUBLE', '2500.0::DOUBLE')} AS i0 FROM lineitem", -1, 6))
+def hist_own_transform(spark, d):
+    square = UserTransform(on_column=lambda x: x * x, to=lambda x: x * x, back=lambda y: y**0.5)
+    return Binned(regular(5, 0, 50, transform=square)).fill(table(spark, d, "lineitem"), "l_quantity").table(dense=True)
+
+
+@query(dense(f"SELECT {reg('sqrt(l_quantity)', 7, '1.0::DOUBLE', 'sqrt(50.0::DOUBLE) - 1.0')} AS i0 FROM lineitem", -1, 8))
+def hist_step_transform(spark, d):
+    return Binned(regular_step(7, 1, 51, transform=Sqrt())).fill(table(spark, d, "lineitem"), "l_quantity").table(dense=True)
+
+
+@query(dense("SELECT CAST(CASE WHEN o_totalprice < 0 THEN -1 WHEN o_totalprice >= 300000 THEN 300 ELSE floor(o_totalprice / 1000.0) END AS INTEGER) AS i0 FROM orders", -1, 301))
+def hist_many_edges(spark, d):
+    return Binned(variable([1000.0 * k for k in range(301)])).fill(table(spark, d, "orders"), "o_totalprice").table(dense=True)
+
+
+@query(cells_sql(PRICE8, "CAST(CASE WHEN sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber) < 25 THEN 0 ELSE 1 END AS INTEGER)"))
+def hist_tuple(spark, d):
+    """An axis of one column beside one of two, whose values come as a tuple."""
+    circle = UserAxis(bins=2, arity=2, mapping=lambda x, y: F.when(F.sqrt(x * x + y * y) < 25, 0).otherwise(1))
+    return Binned(price8(), circle).fill(table(spark, d, "lineitem"), "l_extendedprice", ("l_quantity", "l_linenumber")).table()
+
+
+@query("SELECT CAST(i AS INTEGER) AS i0, round(10.0::DOUBLE ** i, 6) AS lower0, round(10.0::DOUBLE ** (i + 1), 6) AS upper0, round(9 * 10.0::DOUBLE ** i, 6) AS width0 FROM (SELECT unnest([0, 1, 2, 3]) AS i)")
+def bins_log(spark, d):
+    bins = [(i, b.lower, b.upper, b.width) for i, b in enumerate(regular(4, 1, 10000, transform=Log()))]
+    return rounded(spark.createDataFrame(bins, "i0 int, lower0 double, upper0 double, width0 double"), lower0=6, upper0=6, width0=6)
+
+
+@query("SELECT CAST(i AS INTEGER) AS i0, [0, 1, 4, 9][i + 2]::DOUBLE AS upper0, CASE WHEN i >= 0 THEN [0, 1, 4, 9][i + 1]::DOUBLE ELSE '-Infinity'::DOUBLE END AS lower0 FROM (SELECT unnest([-1, 0, 1, 2]) AS i)")
+def bins_variable(spark, d):
+    return Binned(variable([0, 1, 4, 9])).edges(0).where("i0 < 3").select("i0", "lower0", "upper0")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i0, i * 90.0::DOUBLE AS value FROM (SELECT unnest(generate_series(-4, 8)) AS i)")
+def values_circular(spark, d):
+    """A circular axis goes on beyond its ends."""
+    axis = circular(4, 0, 360)
+    return spark.createDataFrame([(i, float(axis.value(i))) for i in range(-4, 9)], "i0 int, value double")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i0, CASE WHEN i < 5 THEN CAST(i + 3 AS VARCHAR) END AS bin0 FROM (SELECT unnest(generate_series(0, 4)) AS i)")
+def bins_integer(spark, d):
+    return Binned(integer(3, 8)).edges(0).where("i0 between 0 and 4")
+
+
+@query(f"""SELECT 'inner' AS cell, coalesce(sum(value) FILTER (i0 = 2 AND i1 = 1), 0)::BIGINT AS value FROM ({CELLS2}) UNION ALL
+SELECT 'corner', coalesce(sum(value) FILTER (i0 = 0 AND i1 = 0), 0)::BIGINT FROM ({CELLS2}) UNION ALL SELECT 'flow', coalesce(sum(value) FILTER (i0 = -1 AND i1 = -1), 0)::BIGINT FROM ({CELLS2})""")
+def at_cells(spark, d):
+    h = hist2(spark, d).cached()
+    return spark.createDataFrame([("inner", h.at(2, 1)["value"]), ("corner", h[0, 0]["value"]), ("flow", h.at(-1, -1)["value"])], "cell string, value bigint")
+
+
+@query(f"SELECT bool_or(value > 1000) AS many, bool_or(value < 0) AS negative FROM ({CELLS2}) WHERE i0 BETWEEN 0 AND 7 AND i1 BETWEEN 0 AND 4")
+def any_cells(spark, d):
+    h = hist2(spark, d).cached()
+    return spark.createDataFrame([(h.any_of(F.col("value") > 1000), h.any_of(F.col("value") < 0))], "many boolean, negative boolean")
+
+
+@query("SELECT TRUE AS sum_is_whole, FALSE AS half_is_whole, FALSE AS other_axis, TRUE AS axes_agree, TRUE AS accumulators_agree")
+def equality(spark, d):
+    a, b = halves(spark, d)
+    whole = Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice")
+    row = (a + b == whole, a == whole, Binned(regular(8, 0, 1)) == whole.reset(), price8() == whole.axis(0), Mean() == Mean())
+    return spark.createDataFrame([row], "sum_is_whole boolean, half_is_whole boolean, other_axis boolean, axes_agree boolean, accumulators_agree boolean")
+
+
+@query(f"SELECT i0, CASE WHEN i0 BETWEEN 0 AND 7 THEN value END AS value FROM ({dense(f'SELECT {PRICE8} AS i0 FROM lineitem', -1, 9)}) WHERE i0 BETWEEN 0 AND 7")
+def described(spark, d):
+    """Axes and accumulator through their stored form."""
+    from ..sources.store import binned_from, describe
+
+    h = Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice")
+    return binned_from(describe(h), h.cells).indexed().select("i0", "value")
+
+
+@query(cells_sql(PRICE8, agg=f"CAST(count(*) AS DOUBLE) AS count, round(avg({W}), 6) AS value, round(var_samp({W}), 6) AS variance"))
+def stored_profile(spark, d):
+    """Written below the shared folder and read back; only a local session may have none."""
+    import tempfile
+    import uuid
+
+    from ..sources.store import load, save
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/stored_{uuid.uuid4().hex}"
+    save(profile_of(spark, d), path)
+    return rounded(load(spark, path).table(), value=6, variance=6)
+
+
+_WEIGHTS = ", ".join(f"sum(CASE WHEN l_linestatus = '{s}' THEN {v} ELSE 0 END)::DOUBLE AS {n}" for s, v, n in (("O", W, "a"), ("F", W, "b"), ("O", f"{W} * {W}", "va"), ("F", f"{W} * {W}", "vb")))
+
+
+@query(f"SELECT i0, round(a / b, 9) AS value, round((va / (a * a) + vb / (b * b)) * (a / b) * (a / b), 9) AS variance FROM (SELECT {PRICE8} AS i0, {_WEIGHTS} FROM lineitem GROUP BY 1) WHERE i0 BETWEEN 0 AND 7 AND b > 0")
+def op_div_weighted(spark, d):
+    a, b = halves(spark, d, WeightedSum())
+    return rounded((a / b).table().where("i0 between 0 and 7 and value < double('Infinity')"), value=9, variance=9)
+
+
+@query(f"SELECT i0, count, value, variance FROM (SELECT i0, count(*)::DOUBLE AS count, round(avg({W}), 6) AS value, round(var_samp({W}), 6) AS variance FROM (SELECT *, {PRICE8} AS i0 FROM lineitem) GROUP BY i0) WHERE i0 <> 3 UNION ALL SELECT 3, 10.0::DOUBLE, 2.5::DOUBLE, 4.0::DOUBLE")
+def cell_from_moments(spark, d):
+    return rounded(profile_of(spark, d).with_cell(3, **Mean.from_moments(10, 2.5, 4.0)).table(), value=6, variance=6)
+
+
+@query(f"SELECT {QTY5} AS i0, CAST(count(*) AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+def reset_and_filled(spark, d):
+    rows = table(spark, d, "lineitem")
+    h = Binned(qty5()).fill(rows, "l_quantity")
+    return h.reset().fill(rows.where("l_returnflag = 'R'"), "l_quantity").table()
+
+
+@query("SELECT CAST(3 AS INTEGER) AS rank, CAST(10 * 7 * 6 AS BIGINT) AS size, CAST(8 AS INTEGER) AS bins, CAST(10 AS INTEGER) AS extent, TRUE AS continuous, TRUE AS inclusive")
+def shape(spark, d):
+    h = Binned(price8(), qty5(), disc4())
+    a = h.axis(0)
+    return spark.createDataFrame([(h.rank, h.size, a.size, a.extent, a.continuous, a.inclusive)], "rank int, size bigint, bins int, extent int, continuous boolean, inclusive boolean")
+
+
+@query(f"SELECT i0, value * 2 + 1 AS value FROM ({dense(f'SELECT {PRICE8} AS i0 FROM lineitem', -1, 9)})")
+def mapped_cells(spark, d):
+    return Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice").map_cells(value=F.col("value") * 2 + 1).table()
+
+
+@query("SELECT TRUE AS too_few, TRUE AS too_many, TRUE AS too_long, TRUE AS no_sample")
+def rejected_fills(spark, d):
+    """What doesn't fit the axes or the accumulator is refused before any row is read."""
+    rows = table(spark, d, "lineitem")
+
+    def refused(f) -> bool:
+        try:
+            f()
+        except (ValueError, TypeError):
+            return True
+        return False
+
+    h, m = Binned(price8(), qty5()), Binned(price8(), accumulator=Mean())
+    tries = [lambda: h.fill(rows, "l_extendedprice"), lambda: h.fill(rows, "l_extendedprice", "l_quantity", "l_tax"), lambda: h.fill(rows, ("l_extendedprice", "l_tax"), "l_quantity"), lambda: m.fill(rows, "l_extendedprice")]
+    return spark.createDataFrame([tuple(map(refused, tries))], "too_few boolean, too_many boolean, too_long boolean, no_sample boolean")
+
+
+# --- more streams
+
+
+def streamed(spark, d, name: str, fill: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the events has given when all have arrived."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"{name}_{abs(hash(d))}"
+    fill(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+CLICKS = "CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER)"
+
+
+@query(f"SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, {CLICKS} AS i0, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, d):
+    from ..streaming.fill import fill_windows
+
+    out = streamed(spark, d, "tumbling", lambda s: fill_windows(s, "ts", "1 day", "1 hour", [category(["click", "view"])], ["event_type"]))
+    return out.select(F.unix_timestamp("window_start").alias("start"), "i0", "value")
+
+
+@query(f"""WITH x AS (SELECT {CLICKS} AS i0, epoch_us(ts) AS t FROM events), y AS (SELECT *, CASE WHEN t - lag(t) OVER w < 600000000 THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY i0 ORDER BY t)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY i0 ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM y)
+SELECT min(t) AS start, max(t) + 600000000 AS stop, i0, CAST(count(*) AS BIGINT) AS value FROM z GROUP BY i0, s""")
+def stream_sessions(spark, d):
+    from ..streaming.fill import fill_sessions
+
+    out = streamed(spark, d, "sessions", lambda s: fill_sessions(s, "ts", "10 minutes", "1 hour", [category(["click", "view"])], ["event_type"]))
+    return out.select(F.unix_micros("session_start").alias("start"), F.unix_micros("session_end").alias("stop"), "i0", "value")
+
+
+@query("SELECT CAST(floor((value - 0.0) / 50.0::DOUBLE * 2) AS BIGINT) AS key, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY 1")
+def stream_keys(spark, d):
+    """A growing axis: counts under its unbounded bin numbers."""
+    from ..streaming.fill import fill_keys
+
+    return streamed(spark, d, "keys", lambda s: fill_keys(s, regular(2, 0, 50, options={"growth"}), "value"))
+
+
+@query(cells_sql(CLICKS, agg="CAST(count(*) AS DOUBLE) AS count, round(avg(value), 6) AS value, round(var_samp(value), 6) AS variance", source="events"))
+def stream_profile(spark, d):
+    """Means of a running stream."""
+    from ..streaming.fill import fill_stream
+
+    axes = [category(["click", "view"])]
+    cells = streamed(spark, d, "profile", lambda s: fill_stream(s, axes, ["event_type"], Mean(), sample="value"))
+    return rounded(Binned(*axes, accumulator=Mean(), cells=cells).table(), value=6, variance=6)
+
+
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     """Mean quantity by price and discount."""
     rows = table(spark, folder, "lineitem")

@@ -31,6 +31,13 @@ def fill_windows(df: DataFrame, time: str, size: str, lateness: str, axes: list[
     return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys(axes), "value")
 
 
+def fill_sessions(df: DataFrame, time: str, gap: str, lateness: str, axes: list[Axis], columns: list) -> DataFrame:
+    """Counts per cell and session: rows of a cell that follow one another within `gap`.  For output mode "complete" or "append"."""
+    rows = binned(df.withWatermark(time, lateness), axes, columns, _t=F.col(time))
+    counts = rows.groupBy(F.session_window("_t", gap).alias("session"), *keys(axes)).agg(F.count(F.lit(1)).alias("value"))
+    return counts.select(F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), *keys(axes), "value")
+
+
 def fill_keys(df: DataFrame, axis: Axis, column, most: int = 1_000_000) -> DataFrame:
     """Counts of a growing regular or integer axis under its unbounded bin numbers; rebase() turns a snapshot into a binned table.
 

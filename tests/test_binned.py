@@ -12,6 +12,7 @@ from binweave.operators.axis import UserAxis, boolean, category, integer, regula
 from binweave.operators.binned import Binned, fraction, profile, weighted_binned, weighted_profile
 from binweave.sources.store import load, save
 from binweave.sources.text import bars, table
+from tests.compare import database, difference
 
 
 def values(h, name="value", dense=True):
@@ -257,3 +258,19 @@ def test_partitions_do_not_matter(spark):
         assert one == many
     a, b = (values(Binned(integer(-3, 4), accumulator=WeightedSum()).fill(df, "x", weight="w")) for df in (rows.coalesce(1), rows.repartition(9)))
     assert a == pytest.approx(b)
+
+
+def test_registered_queries_agree_with_sql(spark):
+    """Storage, reading, equality and growing edges on the smallest tables."""
+    from binweave.plans.queries import QUERIES, SQL
+
+    folder = "/root/testdata/sf0.001"
+    con = database(folder)
+    for name in ("hist_variable_grow", "fraction_clopper", "fraction_jeffreys", "hist_own_transform", "hist_step_transform", "hist_many_edges", "hist_tuple", "bins_log", "bins_variable", "values_circular", "bins_integer", "at_cells", "equality", "described", "stored_profile", "op_div_weighted", "cell_from_moments", "reset_and_filled", "mapped_cells", "rejected_fills"):
+        assert difference(spark, con, folder, QUERIES[name], SQL[name]) is None, name
+
+
+def test_many_edges_with_nan_null_and_ends(spark):
+    axis = variable([float(k) for k in range(101)])
+    rows = spark.createDataFrame([(float("nan"),), (None,), (-1.0,), (0.0,), (99.5,), (100.0,), (float("inf"),)], "x double")
+    assert [r["i"] for r in rows.select(axis.index(F.col("x")).alias("i")).collect()] == [100, 100, -1, 0, 99, 100, 100]

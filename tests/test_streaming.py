@@ -9,6 +9,8 @@ from binweave.streaming.fill import fill_keys, fill_stream, fill_windows, rebase
 
 import pytest
 
+from tests.compare import database, difference
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -45,3 +47,23 @@ def test_windows_and_keys(spark, events):
     axis = regular(2, 0, 50, options={"growth"})
     grown = rebase(run(spark, fill_keys(stream, axis, "value"), "complete", "keys"), axis)
     assert grown == Binned(axis).fill(rows, "value") * 1.0
+
+
+def test_registered_streams_agree_with_sql(spark):
+    from binweave.plans.queries import QUERIES, SQL
+
+    con = database(FOLDER)
+    for name in ("stream_fill", "stream_sliding", "stream_tumbling", "stream_sessions", "stream_keys", "stream_profile"):
+        assert difference(spark, con, FOLDER, QUERIES[name], SQL[name]) is None, name
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Append mode: a window is given once the watermark has passed it, and rows that come later don't change it."""
+    for k, times in enumerate((["2024-01-01 00:10", "2024-01-01 00:20"], ["2024-01-01 05:00"], ["2024-01-01 00:30", "2024-01-01 05:10"], ["2024-01-01 12:00"])):
+        rows = spark.createDataFrame([(t, 1) for t in times], "ts string, x int").withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = fill_windows(stream, "ts", "1 hour", "30 minutes", [integer(0, 3)], ["x"]).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.hour("window_start"), "i0", "value").collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 2), (5, 1, 2)]
