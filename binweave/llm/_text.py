@@ -213,3 +213,25 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray):
         return np.zeros(0, U), at
     starts, ends = trimmed(data, starts, ends)
     return range_hash(prefix(_BYTE[data]), starts, ends), at
+
+
+SOLID_WORD = ~_SPACE
+#: Bytes of search terms: letters, digits and all of other characters than ASCII.
+SOLID_TERM = np.zeros(256, bool)
+SOLID_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def coded(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Maximal runs of `solid` bytes as numbers: codes, their offsets in every text, and the runs by code.  Equal codes are equal bytes, not equal hashes."""
+    mask = solid[data]
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = mask
+    inside[1:] &= inside[:-1]
+    inside[offsets] = False  # a run ends with its text
+    starts = np.flatnonzero(mask & ~inside[:-1])
+    total = np.concatenate([[0], np.cumsum(mask)])
+    edges = np.append(total[starts], total[-1]).astype(np.int64)
+    values = data[mask]
+    values = np.ascontiguousarray(_LOWER[values] if lower else values)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(values)]).dictionary_encode()
+    return runs.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets), runs.dictionary
