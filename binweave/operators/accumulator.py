@@ -1,19 +1,19 @@
 """Accumulators: what a cell gathers.  Each is a set of mergeable state columns built from Spark aggregates.
 
 `fill` gives aggregates over rows, `merge` aggregates over states of the same names, `read` result columns
-computed from a state, `scale` the state times a number.
+computed from a state, `scale` the state times a number; `merged` is the whole merge where aggregates over states aren't enough.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from functools import reduce as fold
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import limbs
+
 
 def _null() -> Column:
     return F.lit(None).cast("double")
@@ -39,6 +39,14 @@ class Accumulator:
     def merge(self) -> list[Column]:
         return [F.sum(c).cast(t).alias(c) for c, t in self.state]
 
+    def merged(self, cells: DataFrame, keys: list[str]) -> DataFrame:
+        """One state per key from states of the same key."""
+        return cells.groupBy(*keys).agg(*self.merge())
+
+    def given(self, state: dict) -> dict[str, Column]:
+        """State columns of one cell from the caller's values."""
+        return {c: F.lit(str(v) if t == limbs.WIDE else v).cast(t) for c, t in self.state for v in [state.get(c, 0)]}
+
     def read(self) -> dict[str, Column]:
         return {c: F.col(c) for c, _ in self.state}
 
@@ -66,13 +74,24 @@ class Accumulator:
         return hash(self.name)
 
 
+#: A fill counts fewer rows than this; bounds of sums and products follow from it.
+ROWS = 1 << 48
+#: What cells of unknown origin may add up to: as many as can be laid out, of any bigint.
+UNKNOWN = 1 << 90
+
+
 class Count(Accumulator):
-    """Number of rows, or the sum of weights once one was given or the cells were scaled (`real`)."""
+    """Number of rows, or the sum of weights once one was given or the cells were scaled (`real`).
+
+    `most` bounds the sum of all cells; operations hand it on and change to a wider kind of count (up to 38 digits, then limbs) where
+    bigint might not hold their results, so counts never overflow.
+    """
 
     name = "count"
+    capacity = (1 << 63) - 1
 
-    def __init__(self, real: bool = False):
-        self.real = real
+    def __init__(self, real: bool = False, most: int | None = None):
+        self.real, self.most = real, most
         self.state = [("value", "double" if real else "bigint")]
 
     def fill(self, weight, samples, shift, order):
@@ -92,10 +111,15 @@ class BigCount(Accumulator):
     """Exact count of up to 38 digits."""
 
     name = "bigcount"
-    state = [("value", "decimal(38,0)")]
+    state = [("value", limbs.WIDE)]
+    capacity = 10**38 - 1
+    real = False
+
+    def __init__(self, most: int | None = None):
+        self.most = most
 
     def fill(self, weight, samples, shift, order):
-        return [(F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("decimal(38,0)").alias("value")]
+        return [(F.count(F.lit(1)) if weight is None else F.sum(weight)).cast(limbs.WIDE).alias("value")]
 
     def scale(self, k):
         return {"value": F.col("value").cast("double") * F.lit(float(k))}
@@ -105,74 +129,117 @@ class BigCount(Accumulator):
         return Count(real=True)
 
 
+class LargeCount(Accumulator):
+    """Exact count of any size, in limbs of 18 digits; read as a double and as its digits."""
+
+    name = "largecount"
+    state = [("limbs", "array<bigint>")]
+    capacity = None
+    real = False
+
+    def __init__(self, most: int | None = None):
+        self.most = UNKNOWN if most is None else most
+
+    @property
+    def n(self) -> int:
+        return limbs.limbs_needed(self.most)
+
+    def fill(self, weight, samples, shift, order):
+        return [limbs.whole_limbs(F.count(F.lit(1)) if weight is None else F.sum(weight), self.n).alias("limbs")]
+
+    def merge(self):
+        return [limbs.summed("limbs", self.n, limbs.TEN18).alias("limbs")]
+
+    def read(self):
+        digits = limbs.whole_text(F.col("limbs"))
+        return {"value": digits.cast("double"), "digits": digits}
+
+    def given(self, state):
+        return {"limbs": limbs.constant_limbs(int(state.get("value", 0)), self.n)}
+
+    def zero(self):
+        return {"limbs": limbs.constant_limbs(0, self.n)}
+
+    def scale(self, k):
+        return {"value": limbs.whole_double(F.col("limbs")) * F.lit(float(k))}
+
+    @property
+    def scaled(self):
+        return Count(real=True)
+
+
+WHOLE = (Count, BigCount, LargeCount)
+
+
+def is_whole(acc: Accumulator) -> bool:
+    return isinstance(acc, WHOLE) and not acc.real
+
+
+def bound(acc: Accumulator) -> int:
+    """Of the sum of the cells' absolute values."""
+    return acc.most if acc.most is not None else UNKNOWN if isinstance(acc, Count) else BigCount.capacity << 27
+
+
+def whole_for(most: int, *kinds: Accumulator) -> Accumulator:
+    """The narrowest count for sums up to `most` that is as wide as the given ones."""
+    first = max(WHOLE.index(type(k)) for k in kinds)
+    kind = next(k for k in WHOLE[first:] if k.capacity is None or k.capacity >= most)
+    return kind(most=most)
+
+
 class Sum(Accumulator):
-    """Compensated sum (Neumaier): small terms survive large ones that cancel.  Adds the weights, or 1 per row.
+    """Sum of the weights (or 1 per row), exact until it is read: small terms survive large ones that cancel, in any order of rows and cells.
 
-    Each task sums its rows of a cell exactly (to a large and a small part); the parts, one per task and cell, are
-    then added with compensation.
+    The state is the sum as a whole multiple of the smallest double; what isn't finite is added up beside it.
     """
 
     name = "sum"
-    state = [("large", "double"), ("small", "double")]
-
-    def partial(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows (keys, x) to states, one per task and cell."""
-        kinds = dict(rows.dtypes)
-
-        def run(batches: Iterable[pa.RecordBatch]):
-            held: dict[tuple, tuple[float, float]] = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, cells = batch.column("x").to_numpy(zero_copy_only=False), [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-                order = np.lexsort(cells) if keys else np.arange(len(x))
-                x, cells = x[order], [c[order] for c in cells]
-                edge = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cells], axis=0))) if keys else np.zeros(1, np.int64)
-                for i, j in zip(edge, np.append(edge[1:], len(x))):
-                    key = tuple(int(c[i]) for c in cells)
-                    held[key] = two_sum([*held.get(key, ()), *x[i:j].tolist()])
-            cols = [*zip(*held)] if held and keys else [[] for _ in keys]
-            names = [*keys, "large", "small"]
-            arrays = [pa.array(c, pa.int32()) for c in cols] + [pa.array([v[i] for v in held.values()], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-        schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (", " if keys else "") + "large double, small double"
-        return rows.mapInArrow(run, schema)
+    state = [("limbs", "array<bigint>"), ("odd", "double")]
+
+    def windows(self, rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
+        """Rows (keys, x) as rows of windowed() columns."""
+        k, *parts = limbs.windowed(F.col("x"))
+        finite = F.abs(F.col("x")) < float("inf")
+        return rows.select(*keys, x.alias("x")).select(*keys, k.alias("k"), *(p.alias(f"p{i}") for i, p in enumerate(parts)), F.when(~finite, F.col("x")).alias("odd"))
+
+    def filled(self, rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
+        """Cells.  In a batch, rows are first added up by cell and range of exponents, four whole numbers each."""
+        own = self.windows(rows, keys, x)
+        if not rows.isStreaming:
+            own = own.groupBy(*keys, "k").agg(*(F.sum(c).alias(c) for c in ("p0", "p1", "p2", "p3", "odd")))
+        return own.groupBy(*keys).agg(limbs.window_sums("k", ["p0", "p1", "p2", "p3"]).alias("limbs"), F.sum("odd").alias("odd"))
 
     def fill(self, weight, samples, shift, order):
         raise TypeError("sum is filled in two steps")
 
     def merge(self):
-        def step(s, v):
-            large = s["l"] + v["large"]
-            bigger = F.abs(s["l"]) >= F.abs(v["large"])
-            lost = F.when(F.abs(large) == float("inf"), F.lit(0.0)).when(bigger, (s["l"] - large) + v["large"]).otherwise((v["large"] - large) + s["l"])
-            return F.struct(large.alias("l"), (s["s"] + lost + v["small"]).alias("s"))
+        return [limbs.summed("limbs", limbs.REAL_LIMBS, limbs.BITS24).alias("limbs"), F.sum("odd").alias("odd")]
 
-        folded = F.aggregate(F.collect_list(F.struct("large", "small")), F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("s")), step)
-        return [folded["l"].alias("large"), folded["s"].alias("small")]
+    def zero(self):
+        return {"limbs": F.array_repeat(F.lit(0).cast("bigint"), limbs.REAL_LIMBS), "odd": _null()}
 
     def read(self):
-        return {"value": F.col("large") + F.col("small"), "large": F.col("large"), "small": F.col("small")}
+        """The sum rounded once (large), and what rounding lost (small)."""
+        large = limbs.real_double(F.col("limbs"))
+        lost = limbs.let(large, lambda v: F.when(F.abs(v) < float("inf"), limbs.real_double(limbs.real_sum(F.col("limbs"), limbs.real_limbs(-v)))).otherwise(0.0))
+        value = F.coalesce(F.col("odd"), large)
+        return {"value": value, "large": value, "small": F.when(F.col("odd").isNull(), lost).otherwise(0.0)}
 
     def scale(self, k):
-        return {c: F.col(c) * F.lit(float(k)) for c in ("large", "small")}
+        own = {n: c * F.lit(float(k)) for n, c in self.read().items()}
+        return {"limbs": limbs.real_sum(limbs.real_limbs(own["large"]), limbs.real_limbs(own["small"])), "odd": F.when(~(F.abs(own["large"]) < float("inf")), own["large"])}
 
+    def given(self, state):
+        x = F.lit(float(state.get("value", 0)))
+        return {"limbs": limbs.real_limbs(x), "odd": F.when(~(F.abs(x) < float("inf")), x)}
 
-def exact_sum(cells: DataFrame, column: str) -> Column:
-    """A literal: the sum of a double column with compensation; a task sends one state to the driver."""
-    acc = Sum()
-    row = acc.partial(cells.select(F.col(column).alias("x")), []).agg(*acc.merge()).first()
-    return F.lit(float((row["large"] or 0.0) + (row["small"] or 0.0)))
 
-
-def two_sum(terms: list[float]) -> tuple[float, float]:
-    """The exact sum rounded, and what rounding lost."""
-    try:
-        large = math.fsum(terms)
-        return large, math.fsum([*terms, -large]) if math.isfinite(large) else 0.0
-    except (OverflowError, ValueError):
-        return sum(terms), 0.0
+def exact_sums(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the sums of double columns, each rounded once."""
+    parts = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("x")) for i, c in enumerate(columns)))
+    rows = cells.select(F.inline(parts))
+    sums = Sum().filled(rows, ["c"], F.col("x")).select("c", Sum().read()["value"].alias("v"))
+    return sums.agg(*(F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(0.0)).alias(c) for i, c in enumerate(columns)))
 
 
 class WeightedSum(Accumulator):
@@ -189,18 +256,25 @@ class WeightedSum(Accumulator):
         return {"value": F.col("value") * F.lit(float(k)), "variance": F.col("variance") * F.lit(float(k) * float(k))}
 
 
-def _merged_moments(weight: str, *more: str) -> list[Column]:
-    """Pairwise merge of (weight, mean, deltas) states."""
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+class _Moments(Accumulator):
+    """Merges (weight, mean, deltas) states around the mean of each key, which comes from a first round; a task holds one state per key in both."""
+
+    weight = ""
 
-    def step(a, b):
-        n = a["n"] + b[weight]
-        mean = _over(a["n"] * a["m"] + b[weight] * b["mean"], n, F.lit(0.0))
-        s = a["s"] + b["deltas"] + a["n"] * (mean - a["m"]) * (mean - a["m"]) + b[weight] * (mean - b["mean"]) * (mean - b["mean"])
-        return F.struct(n.alias("n"), mean.alias("m"), s.alias("s"))
+    def merge(self):
+        raise TypeError("means are merged in two rounds")
 
-    out = F.aggregate(F.collect_list(F.struct(weight, "mean", "deltas")), zero, step)
-    return [out["n"].alias(weight), *(F.sum(c).alias(c) for c in more), out["m"].alias("mean"), out["s"].alias("deltas")]
+    def merged(self, cells, keys):
+        w, more = F.col(self.weight), [c for c, _ in self.state if c not in (self.weight, "mean", "deltas")]
+        centre = cells.groupBy(*keys).agg(_over(F.sum(w * F.col("mean")), F.sum(w), F.lit(0.0)).alias("_centre")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_centre")
+        near = fold(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) if keys else F.lit(True)
+        off = F.col("mean") - F.col("_centre")
+        sums = cells.join(centre, near).groupBy(*keys).agg(
+            F.sum(w).alias(self.weight), *(F.sum(c).alias(c) for c in more), F.max("_centre").alias("_c"), F.sum(w * off).alias("_first"), F.sum(F.col("deltas") + w * off * off).alias("_second")
+        )
+        rest = _over(F.col("_first"), w, F.lit(0.0))  # what rounding left
+        out = {"mean": F.col("_c") + rest, "deltas": F.col("_second") - rest * F.col("_first")}
+        return sums.select(*keys, *(out.get(c, F.col(c)).alias(c) for c, _ in self.state))
 
 
 def _shifted(w: Column, x: Column, shift: float) -> tuple[Column, Column]:
@@ -210,7 +284,7 @@ def _shifted(w: Column, x: Column, shift: float) -> tuple[Column, Column]:
     return F.lit(shift) + ratio, second - ratio * first
 
 
-class Mean(Accumulator):
+class Mean(_Moments):
     """Count, mean and variance of a sample; weights count repetitions."""
 
     name = "mean"
@@ -226,8 +300,7 @@ class Mean(Accumulator):
         mean, deltas = _shifted(weight.cast("double"), x, shift)
         return [F.sum(weight).cast("double").alias("count"), mean.alias("mean"), deltas.alias("deltas")]
 
-    def merge(self):
-        return _merged_moments("count")
+    weight = "count"
 
     def read(self):
         n = F.col("count")
@@ -241,7 +314,7 @@ class Mean(Accumulator):
         return {"count": count, "mean": mean, "deltas": variance * (count - 1)}
 
 
-class WeightedMean(Accumulator):
+class WeightedMean(_Moments):
     """Mean and variance of a sample under reliability weights."""
 
     name = "weighted_mean"
@@ -255,8 +328,7 @@ class WeightedMean(Accumulator):
         mean, deltas = _shifted(w, x, shift)
         return [F.sum(w).alias("sum_of_weights"), F.sum(w * w).alias("sum_of_weights_squared"), mean.alias("mean"), deltas.alias("deltas")]
 
-    def merge(self):
-        return _merged_moments("sum_of_weights", "sum_of_weights_squared")
+    weight = "sum_of_weights"
 
     def read(self):
         w, w2 = F.col("sum_of_weights"), F.col("sum_of_weights_squared")
@@ -353,4 +425,4 @@ def means(n: int) -> Custom:
     return Custom(state, fill, lambda: [F.sum(c) for c, _ in state], read, samples=n, weighted=True, name="means")
 
 
-BY_NAME = {a.name: a for a in (Count, BigCount, Sum, WeightedSum, Mean, WeightedMean, Fraction, Collector)}
+BY_NAME = {a.name: a for a in (Count, BigCount, LargeCount, Sum, WeightedSum, Mean, WeightedMean, Fraction, Collector)}

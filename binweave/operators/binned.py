@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import limbs
 from ..plans.fill import as_column, axis_columns, fill_cells, keys
-from .accumulator import Accumulator, BigCount, Count, Fraction, Mean, WeightedMean, WeightedSum, exact_sum
+from .accumulator import ROWS, Accumulator, BigCount, Count, Fraction, LargeCount, Mean, WeightedMean, WeightedSum, bound, exact_sums, is_whole, whole_for
 from .axis import Axis, Category, Integer, Regular
 from .reduce import Command, normalised, plan
 
@@ -95,6 +96,8 @@ class Binned:
         acc = self.accumulator
         if isinstance(acc, Count) and weight is not None:
             acc = Count(real=True)
+        elif is_whole(acc) and weight is None:
+            acc = whole_for(ROWS, acc)
         new = self._with(axes, fill_cells(df, axes, acc, list(columns), weight, sample, order, shift, inner_only), acc)
         return new if self._cells is None else self._moved_to(axes)._merged_with(new)
 
@@ -106,9 +109,14 @@ class Binned:
 
     def _regroup(self, axes: list[Axis], index: list[Column]) -> Binned:
         """Cells under new bin numbers (NULL: dropped), states of one number merged."""
-        names = keys(axes)
-        rows = self.cells.select(*(i.alias(n) for i, n in zip(index, names)), *(c for c, _ in self.accumulator.state)).na.drop(subset=names)
-        return self._with(axes, rows.groupBy(*names).agg(*self.accumulator.merge()))
+        names, own = keys(axes), self._roomy()
+        rows = own.cells.select(*(i.alias(n) for i, n in zip(index, names)), *(c for c, _ in own.accumulator.state)).na.drop(subset=names)
+        return self._with(axes, own.accumulator.merged(rows, names), own.accumulator)
+
+    def _roomy(self) -> Binned:
+        """The same cells in a count that holds their sum, whatever they are."""
+        acc = self.accumulator
+        return self._promoted(whole_for(bound(acc), acc)) if is_whole(acc) else self
 
     # --- reading
 
@@ -159,14 +167,20 @@ class Binned:
 
     def with_cell(self, *index: int, **state) -> Binned:
         """The same with one cell's state replaced."""
-        where = self._checked(index)
-        row = self.cells.sparkSession.range(1).select(*(F.lit(i).cast("int").alias(k) for k, i in zip(self.keys, index)), *(F.lit(state.get(c, 0)).cast(t).alias(c) for c, t in self.accumulator.state))
-        return self._with(self.axes, self.cells.where(~where).unionByName(row))
+        where, acc = self._checked(index), self.accumulator
+        if is_whole(acc):  # a count takes any whole number
+            value = abs(int(state.get("value", 0)))
+            acc = whole_for(value, acc).__class__(most=(0 if self._cells is None else bound(acc)) + value)
+        given = acc.given(state)
+        row = self.cells.sparkSession.range(1).select(*(F.lit(i).cast("int").alias(k) for k, i in zip(self.keys, index)), *(given[c].alias(c) for c, _ in acc.state))
+        return self._with(self.axes, self._promoted(acc).cells.where(~where).unionByName(row), acc)
 
     def map_cells(self, **state: Column) -> Binned:
         """All cells, untouched ones too, with states computed from their old ones."""
-        cells = self.dense()
-        return self._with(self.axes, cells.select(*self.keys, *(state.get(c, F.col(c)).cast(t).alias(c) for c, t in self.accumulator.state)))
+        cells, acc = self.dense(), self.accumulator
+        if is_whole(acc):
+            acc = type(acc)(most=acc.most if isinstance(acc, LargeCount) else None)  # new values, of the same width
+        return self._with(self.axes, cells.select(*self.keys, *(state.get(c, F.col(c)).cast(t).alias(c) for c, t in acc.state)), acc)
 
     def edges(self, k: int) -> DataFrame:
         """Bins of axis k, flow bins included: (i, lower, upper, center, width) or (i, bin)."""
@@ -220,16 +234,20 @@ class Binned:
 
     def sum(self, coverage: str = "all") -> dict:
         """Results of all cells merged."""
-        out = self.sum_state(coverage).select(*(c.alias(n) for n, c in self.accumulator.read().items())).first()
+        own = self._roomy()
+        out = own.sum_state(coverage).select(*(c.alias(n) for n, c in own.accumulator.read().items())).first()
         return out.asDict(recursive=True)
 
     def sum_state(self, coverage: str = "all") -> DataFrame:
-        cells = self.cells.where(self._inner()) if coverage == "inner" else self.cells
-        zero = self.accumulator.zero()
-        doubles = [c for c, t in self.accumulator.state if t == "double"]
-        if isinstance(self.accumulator, (Count, WeightedSum)) and doubles:  # real cells may cancel
-            return cells.sparkSession.range(1).select(*(exact_sum(cells, c).alias(c) for c in doubles))
-        return cells.agg(*self.accumulator.merge()).select(*(F.coalesce(F.col(c), zero[c]).alias(c) for c, _ in self.accumulator.state))
+        own = self._roomy()
+        cells = own.cells.where(self._inner()) if coverage == "inner" else own.cells
+        acc, zero = own.accumulator, own.accumulator.zero()
+        doubles = [c for c, t in acc.state if t == "double"]
+        if isinstance(acc, (Count, WeightedSum)) and doubles:  # real cells may cancel
+            return exact_sums(cells, doubles)
+        one = cells.sparkSession.range(1).select(F.lit(0).alias("_one"))
+        sums = acc.merged(cells.withColumn("_all", F.lit(0)), ["_all"])
+        return one.join(sums, F.col("_one") == F.col("_all"), "left").select(*(F.coalesce(F.col(c), zero[c]).alias(c) for c, _ in acc.state))
 
     def empty(self, coverage: str = "all") -> bool:
         cells, zero = (self.cells.where(self._inner()) if coverage == "inner" else self.cells), self.accumulator.zero()
@@ -249,34 +267,41 @@ class Binned:
         return self._regroup([p.axis for p in plans], [p.index for p in plans])
 
     def grouping_sets(self, sets: list[list[int]]) -> DataFrame:
-        """One reading of the cells for several projections; bin numbers of axes left out are NULL."""
-        cells = self.cells
-        merge = self.accumulator.merge()
-        parts = [cells.groupBy(*(f"i{k}" for k in s)).agg(*merge).select(*((F.col(n) if k in s else F.lit(None).cast("int")).alias(n) for k, n in enumerate(self.keys)), *(c for c, _ in self.accumulator.state)) for s in sets]
-        return fold(DataFrame.unionByName, parts)
+        """One reading of the cells for several projections, each row under every set; bin numbers of axes left out are NULL."""
+        own = self._roomy()
+        names, acc = ["_set", *self.keys], own.accumulator
+        under = F.array(*(F.struct(F.lit(n).alias("_set"), *((F.col(k) if i in s else F.lit(None).cast("int")).alias(k) for i, k in enumerate(self.keys))) for n, s in enumerate(sets)))
+        rows = own.cells.select(F.inline(under), *(c for c, _ in acc.state))
+        return acc.merged(rows, names).select(*self.keys, *(c for c, _ in acc.state))
 
     # --- operators
 
     def _promoted(self, acc: Accumulator) -> Binned:
-        """The same cells in a wider accumulator: whole < big < real < weighted."""
-        if acc == self.accumulator:
-            return self
-        value = F.col("value")
-        to = {"bigcount": {"value": value.cast("decimal(38,0)")}, "count": {"value": value.cast("double")}, "weighted_sum": {"value": value.cast("double"), "variance": value.cast("double")}}
-        if not isinstance(self.accumulator, (Count, BigCount)) or acc.name not in to:
-            raise ValueError(f"{self.accumulator.name} and {acc.name} can't be combined")
-        return self._with(self.axes, self.cells.select(*self.keys, *(c.alias(n) for n, c in to[acc.name].items())), acc)
+        """The same cells in a wider accumulator: whole (of any width) < real < weighted."""
+        own = self.accumulator
+        if acc.state == own.state and (not isinstance(own, LargeCount) or acc.n == own.n):
+            return self._with(self.axes, self._cells, acc)
+        if not isinstance(own, (Count, BigCount, LargeCount)) or not isinstance(acc, (Count, BigCount, LargeCount, WeightedSum)) or own.name == "count" and own.real and is_whole(acc):
+            raise ValueError(f"{own.name} and {acc.name} can't be combined")
+        if isinstance(own, LargeCount):
+            real, wide = limbs.whole_double(F.col("limbs")), lambda: limbs.extended(F.col("limbs"), acc.n)
+        else:
+            real, wide = F.col("value").cast("double"), lambda: limbs.whole_limbs(F.col("value"), acc.n)
+        to = {"limbs": wide} if isinstance(acc, LargeCount) else {"value": lambda: real if dict(acc.state)["value"] == "double" else F.col("value").cast(dict(acc.state)["value"]), "variance": lambda: real}
+        return self._with(self.axes, self.cells.select(*self.keys, *(to[c]().alias(c) for c, _ in acc.state)), acc)
 
     @staticmethod
-    def _common(a: Accumulator, b: Accumulator) -> Accumulator:
-        rank = lambda x: (0 if not x.real else 2) if isinstance(x, Count) else 1 if isinstance(x, BigCount) else 3
+    def _common(a: Accumulator, b: Accumulator, most: int | None = None) -> Accumulator:
+        """For results of both; of counts, those up to `most`."""
+        if is_whole(a) and is_whole(b):
+            return whole_for(bound(a) + bound(b) if most is None else most, a, b)
+        rank = lambda x: 0 if is_whole(x) else 1 if isinstance(x, Count) else 2
         return a if rank(a) >= rank(b) else b
 
     def _merged_with(self, other: Binned) -> Binned:
         acc = self._common(self.accumulator, other.accumulator)
         a, b = self._promoted(acc), other._promoted(acc)
-        cells = a.cells.unionByName(b.cells).groupBy(*self.keys).agg(*acc.merge())
-        return self._with(a.axes, cells, acc)
+        return self._with(a.axes, acc.merged(a.cells.unionByName(b.cells), self.keys), acc)
 
     def __add__(self, other: Binned) -> Binned:
         """Cell by cell; growing integer and category axes may differ and are merged."""
@@ -285,10 +310,10 @@ class Binned:
         axes = [a.merged(b) for a, b in zip(self.axes, other.axes)]
         return self._moved_to(axes)._merged_with(other._moved_to(axes))
 
-    def _aligned(self, other: Binned, allowed: tuple) -> tuple[DataFrame, Accumulator]:
+    def _aligned(self, other: Binned, allowed: tuple, most: int | None = None) -> tuple[DataFrame, Accumulator]:
         if self.axes != other.axes:
             raise ValueError("axes differ")
-        acc = self._common(self.accumulator, other.accumulator)
+        acc = self._common(self.accumulator, other.accumulator, most)
         if not isinstance(acc, allowed):
             raise TypeError(f"{acc.name} has no such operator")
         a, b = self._promoted(acc), other._promoted(acc)
@@ -299,15 +324,23 @@ class Binned:
         return both.select(*self.keys, *(F.coalesce(F.col(f"{p}_{c}"), zero[c]).alias(f"{p}_{c}") for p in "ab" for c, _ in acc.state)), acc
 
     def __sub__(self, other: Binned) -> Binned:
-        both, acc = self._aligned(other, (Count, BigCount))
-        return self._with(self.axes, both.select(*self.keys, (F.col("a_value") - F.col("b_value")).cast(acc.state[0][1]).alias("value")), acc)
+        both, acc = self._aligned(other, (Count, BigCount, LargeCount))
+        if isinstance(acc, LargeCount):
+            value = limbs.carried(F.zip_with("a_limbs", "b_limbs", lambda x, y: x.cast(limbs.WIDE) - y.cast(limbs.WIDE)), limbs.TEN18)
+        else:
+            value = F.col("a_value") - F.col("b_value")
+        (name, kind), *_ = acc.state
+        return self._with(self.axes, both.select(*self.keys, value.cast(kind).alias(name)), acc)
 
     def __mul__(self, other) -> Binned:
         if not isinstance(other, Binned):
             cells = self.cells.select(*self.keys, *(c.alias(n) for n, c in self.accumulator.scale(other).items()))
             return self._with(self.axes, cells, self.accumulator.scaled)
-        both, acc = self._aligned(other, (Count, BigCount))
-        return self._with(self.axes, both.select(*self.keys, (F.col("a_value") * F.col("b_value")).cast(acc.state[0][1]).alias("value")), acc)
+        whole = is_whole(self.accumulator) and is_whole(other.accumulator)
+        both, acc = self._aligned(other, (Count, BigCount, LargeCount), bound(self.accumulator) * bound(other.accumulator) if whole else None)
+        value = limbs.whole_product(F.col("a_limbs"), F.col("b_limbs"), acc.n) if isinstance(acc, LargeCount) else F.col("a_value") * F.col("b_value")
+        (name, kind), *_ = acc.state
+        return self._with(self.axes, both.select(*self.keys, value.cast(kind).alias(name)), acc)
 
     __rmul__ = __mul__
 
@@ -315,8 +348,8 @@ class Binned:
         """By a number, or cell by cell in doubles (0/0 is NaN, so all cells are laid out; the variance of weighted sums is propagated)."""
         if not isinstance(other, Binned):
             return self * (1.0 / other)
-        _, acc = self._aligned(other, (Count, BigCount, WeightedSum))
-        both, _ = self._with(self.axes, self.dense())._aligned(other, (Count, BigCount, WeightedSum))
+        a, b = (h._promoted(Count(real=True)) if is_whole(h.accumulator) else h for h in (self, other))
+        both, acc = a._with(self.axes, a.dense())._aligned(b, (Count, WeightedSum))
         a, b = F.col("a_value").cast("double"), F.col("b_value").cast("double")
         signed = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
         ratio = F.when(b != 0, a / F.when(b != 0, b)).otherwise(signed)
@@ -327,7 +360,12 @@ class Binned:
         return self._with(self.axes, both.select(*self.keys, ratio.alias("value"), variance.alias("variance")), acc)
 
     def __eq__(self, other) -> bool:
-        if not isinstance(other, Binned) or self.axes != other.axes or self.accumulator.name != other.accumulator.name:
+        if not isinstance(other, Binned) or self.axes != other.axes:
+            return False
+        if is_whole(self.accumulator) and is_whole(other.accumulator):
+            acc = self._common(self.accumulator, other.accumulator)
+            self, other = self._promoted(acc), other._promoted(acc)
+        elif self.accumulator.name != other.accumulator.name:
             return False
         names, zero = [c for c, _ in self.accumulator.state], self.accumulator.zero()
         a = self.cells.select(*self.keys, *(F.col(c).alias(f"a_{c}") for c in names))

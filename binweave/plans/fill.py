@@ -61,8 +61,7 @@ def fill_cells(df: DataFrame, axes: list[Axis], acc: Accumulator, columns: list,
     more = {"_w": None if weight is None else as_column(weight)} | {f"_s{i}": as_column(s) for i, s in enumerate(samples)} | {"_o": None if order_by is None else as_column(order_by)}
     rows, names = binned(df, axes, columns, inner_only, **more), keys(axes)
     if isinstance(acc, Sum):
-        x = F.lit(1.0) if weight is None else F.col("_w").cast("double")
-        return acc.partial(rows.select(*names, x.alias("x")), names).groupBy(*names).agg(*acc.merge())
+        return acc.filled(rows, names, F.lit(1.0) if weight is None else F.col("_w").cast("double"))
     if shift is None:
         shift = 0.0
         if acc.needs_shift and weight is not None or acc.name == "weighted_mean":

@@ -469,7 +469,7 @@ def op_sub(spark, d):
 @query(f"SELECT i0, a * b AS value FROM ({HALVES})")
 def op_mul(spark, d):
     a, b = halves(spark, d)
-    return (a * b).table()
+    return (a * b).table().withColumn("value", F.col("value").cast("bigint"))
 
 
 @query(f"SELECT CAST(g.i AS INTEGER) AS i0, round(CASE WHEN coalesce(b, 0) = 0 THEN CASE WHEN coalesce(a, 0) = 0 THEN 'NaN'::DOUBLE ELSE 'Infinity'::DOUBLE END ELSE a / b::DOUBLE END, 9) AS value FROM (SELECT unnest(generate_series(-1, 8)) AS i) g LEFT JOIN ({HALVES}) h ON h.i0 = g.i")

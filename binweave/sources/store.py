@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from ..operators.accumulator import BY_NAME, Count
+from ..operators.accumulator import BY_NAME, WHOLE, Count
 from ..operators.axis import axis_from_json
 from ..operators.binned import Binned
 
@@ -14,12 +14,13 @@ from ..operators.binned import Binned
 def describe(h: Binned) -> str:
     if h.accumulator.name not in BY_NAME:
         raise TypeError(f"{h.accumulator.name} can't be stored")
-    return json.dumps({"axes": [a.to_json() for a in h.axes], "accumulator": h.accumulator.name, "real": getattr(h.accumulator, "real", False)})
+    return json.dumps({"axes": [a.to_json() for a in h.axes], "accumulator": h.accumulator.name, "real": getattr(h.accumulator, "real", False), "most": getattr(h.accumulator, "most", None)})
 
 
 def binned_from(description: str, cells) -> Binned:
     d = json.loads(description)
-    acc = Count(real=d["real"]) if d["accumulator"] == "count" else BY_NAME[d["accumulator"]]()
+    kind = BY_NAME[d["accumulator"]]
+    acc = Count(d["real"], d.get("most")) if kind is Count else kind(most=d.get("most")) if kind in WHOLE else kind()
     return Binned(*map(axis_from_json, d["axes"]), accumulator=acc, cells=cells)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.accumulator import Accumulator, Count, Sum
+from ..operators.accumulator import Accumulator, Count
 from ..operators.axis import Axis
 from ..operators.binned import Binned
 from ..plans.fill import axis_columns, binned, fill_cells, keys
@@ -18,8 +18,6 @@ def fill_stream(df: DataFrame, axes: list[Axis], columns: list, accumulator: Acc
     """
     if any(a.growth for a in axes):
         raise ValueError("a stream needs axes that don't grow; bin to whole numbers with integer keys instead (fill_keys)")
-    if isinstance(accumulator, Sum):
-        raise ValueError("a stream can't be summed with compensation; use weighted_sum")
     return fill_cells(df, axes, accumulator or Count(real=weight is not None), columns, weight, sample, shift=shift)
 
 
