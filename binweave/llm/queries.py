@@ -76,13 +76,16 @@ def op8_rlz_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def planted_repeats() -> Column:
     """The text of a document; of every tenth (by the checksum of its id) the words from some place on repeat a stretch that begins there."""
-    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    h, n = F.crc32(F.col("doc_id").cast("string")), F.size(words)
+    found, h = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.crc32(F.col("doc_id").cast("string"))
     g = F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (F.when(h % 10 == 0, n).otherwise(0) > 0), F.array_join(repeated, " ")).otherwise(F.col("text"))
+
+    def repeated(words: Column) -> Column:  # the words are a variable here, so they are read once
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")).otherwise("")
+
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(found), repeated), F.lit(0))).otherwise(F.col("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
