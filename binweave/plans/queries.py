@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; only a local session may have none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/{name}_{uuid.uuid4().hex}"
+
+
 # --- SQL forms of the axes
 
 
@@ -604,32 +614,76 @@ def sum_compensated(spark, d):
     return rounded(Binned(qty5(), accumulator=Sum()).fill(rows, "l_quantity", weight="x").table().select("i0", "value"), value=2)
 
 
-@query(cells_sql("CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER)", source="events"))
+# --- streams of the events, read when all have arrived
+
+
+def events_stream(spark, d) -> DataFrame:
+    from ..streaming.running import stream_of
+
+    return stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def streamed(spark, d, name: str, fill: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming aggregation of the events has given."""
+    from ..streaming.running import RunningResult, finished
+
+    out = RunningResult(shared_folder(spark, name))
+    finished(out.start(fill(events_stream(spark, d))), expect_rows=not table(spark, d, "events").isEmpty())
+    return out.read(spark)
+
+
+def running(spark, d, name: str, h: Binned, *columns, **options) -> Binned:
+    """A binned table kept over a stream of the events."""
+    from ..streaming.running import RunningTable, finished
+
+    out = RunningTable(h, shared_folder(spark, name))
+    finished(out.start(events_stream(spark, d), *columns, **options), expect_rows=not table(spark, d, "events").isEmpty())
+    return out.read(spark)
+
+
+CLICKS = "CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER)"
+
+
+@query(cells_sql(CLICKS, source="events"))
 def stream_fill(spark, d):
-    """A running binned table over a stream of the events, read when all have arrived."""
+    """A running binned table."""
+    return running(spark, d, "cells", Binned(category(["click", "view"])), "event_type").table()
+
+
+@query(cells_sql(CLICKS, source="events"))
+def stream_cells(spark, d):
+    """The same cells as one streaming aggregation."""
+    from ..streaming.fill import fill_stream
+
+    return streamed(spark, d, "counts", lambda s: fill_stream(s, [category(["click", "view"])], ["event_type"]))
+
+
+@query("SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS i0, CAST(floor(value / 25.0::DOUBLE) - min(floor(value / 25.0::DOUBLE)) OVER () AS INTEGER) AS i1, CAST(1 AS BIGINT) AS one FROM events".join(("SELECT i0, i1, CAST(sum(one) AS BIGINT) AS value FROM (", ") GROUP BY i0, i1")))
+def stream_growing(spark, d):
+    """Axes that grow with the stream: categories in their own order, and bins of 25."""
+    grow = {"growth"}
+    return running(spark, d, "growing", Binned(category([], options=grow), regular(1, 0, 25, options=grow)), "event_type", "value").table()
+
+
+@query(cells_sql(CLICKS, agg="round(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE), 4) AS value", source="events"))
+def stream_sum(spark, d):
+    """Exact sums of a stream, in which every value also comes with 1e100 and -1e100."""
     from ..streaming.fill import fill_stream
 
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"cells_{abs(hash(d))}"
-    run = fill_stream(stream, [category(["click", "view"])], ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    axes = [category(["click", "view"])]
+    far = lambda s: s.select("event_type", F.explode(F.array(F.lit(1e100), "value", F.lit(-1e100))).alias("x"))
+    cells = streamed(spark, d, "sums", lambda s: fill_stream(far(s), axes, ["event_type"], Sum(), weight="x"))
+    return rounded(Binned(*axes, accumulator=Sum(), cells=cells).table().select("i0", "value"), value=4)
 
 
 @query("""SELECT CAST(day * 86400 AS BIGINT) AS start, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER) AS i0, CAST(count(*) AS BIGINT) AS value
 FROM (SELECT event_type, floor(epoch(ts) / 86400) - back AS day FROM events, (SELECT unnest([0, 1]) AS back)) GROUP BY 1, 2""")
 def stream_sliding(spark, d):
-    """Counts of two days, every day, over a stream of the events."""
+    """Counts of two days, every day."""
     from ..streaming.fill import fill_windows
 
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{abs(hash(d))}"
-    windows = fill_windows(stream, "ts", "2 days", "1 hour", [category(["click", "view"])], ["event_type"], slide="1 day")
-    run = windows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.unix_timestamp("window_start").alias("start"), "i0", "value")
+    out = streamed(spark, d, "windows", lambda s: fill_windows(s, "ts", "2 days", "1 hour", [category(["click", "view"])], ["event_type"], slide="1 day"))
+    return out.select(F.unix_timestamp("window_start").alias("start"), "i0", "value")
 
 
 # --- inspection, storage, equality
@@ -714,16 +768,9 @@ def described(spark, d):
 @query(cells_sql(PRICE8, agg=f"CAST(count(*) AS DOUBLE) AS count, round(avg({W}), 6) AS value, round(var_samp({W}), 6) AS variance"))
 def stored_profile(spark, d):
     """Written below the shared folder and read back; only a local session may have none."""
-    import tempfile
-    import uuid
-
     from ..sources.store import load, save
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = folder or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/stored_{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stored")
     save(profile_of(spark, d), path)
     return rounded(load(spark, path).table(), value=6, variance=6)
 
@@ -781,18 +828,6 @@ def rejected_fills(spark, d):
 # --- more streams
 
 
-def streamed(spark, d, name: str, fill: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream of the events has given when all have arrived."""
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"{name}_{abs(hash(d))}"
-    fill(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
-CLICKS = "CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INTEGER)"
-
-
 @query(f"SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, {CLICKS} AS i0, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
     from ..streaming.fill import fill_windows

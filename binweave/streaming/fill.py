@@ -37,13 +37,17 @@ def fill_sessions(df: DataFrame, time: str, gap: str, lateness: str, axes: list[
 
 
 def fill_keys(df: DataFrame, axis: Axis, column, most: int = 1_000_000) -> DataFrame:
-    """Counts of a growing regular or integer axis under its unbounded bin numbers; rebase() turns a snapshot into a binned table.
+    """Counts of a growing axis under keys that don't depend on how far it has grown: unbounded bin numbers, or the values of a category axis.
 
-    `most` bins at most on either side of the start: values beyond share the last key, so the state stays bounded.
+    rebase() turns a snapshot into a binned table.  A value further than `most` bins from the start stops the query, as an axis of so many bins
+    would; it is never counted elsewhere.  NULL and what isn't finite have no bin.
     """
     (c,) = axis_columns([axis], [column])[0]
+    if axis.kind == "category":
+        return df.select(c.alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("value"))
     z = axis._z(c) * axis.cells if axis.kind == "regular" else c.cast("double") - axis.start
-    key = F.when(F.abs(z) < float("inf"), F.least(F.greatest(F.floor(z), F.lit(-most)), F.lit(most)))
+    far = F.raise_error(F.concat(F.lit(f"more than {most} bins from the start: "), c.cast("string"))).cast("double")
+    key = F.when(F.abs(z) <= most, F.floor(z)).when(F.abs(z) < float("inf"), far)
     return df.select(key.cast("long").alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("value"))
 
 
@@ -52,5 +56,5 @@ def rebase(snapshot: DataFrame, axis: Axis) -> Binned:
     if axis.kind == "regular":
         column: Column = F.lit(axis.start) + (F.col("key") + 0.5) / axis.cells * F.lit(axis.stop_ - axis.start)
     else:
-        column = F.col("key") + axis.start
+        column = F.col("key") if axis.kind == "category" else F.col("key") + axis.start
     return Binned(axis).fill(snapshot, column, weight="value")
