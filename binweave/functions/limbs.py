@@ -6,7 +6,7 @@ doubles, which are whole multiples of 2**-1074.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +48,12 @@ def magnitude(limbs: Column, base: int) -> Column:
 
 def summed(limbs: str, n: int, base: int) -> Column:
     """Aggregate: the sum of a column of limbs."""
-    return carried(F.array(*(F.coalesce(F.sum(F.get(F.col(limbs), F.lit(k)).cast("decimal(19,0)")), F.lit(0)).cast(WIDE) for k in range(n))), base)
+    return carried(_sums(f"get({limbs}, {k})" for k in range(n)), base)
+
+
+def _sums(terms: Iterable[str]) -> Column:
+    """Aggregate: an array of sums (as text, since so many calls to build it would take seconds)."""
+    return F.expr("array(" + ", ".join(f"cast(coalesce(sum(cast({t} as decimal(19,0))), 0) as {WIDE})" for t in terms) + ")")
 
 
 # --- whole numbers, base 10**18
@@ -125,9 +130,8 @@ def windowed(x: Column) -> list[Column]:
 
 def window_sums(k: str, parts: list[str], n: int = REAL_LIMBS) -> Column:
     """Aggregate: limbs of the sum of rows of windowed() columns."""
-    at = F.col(k)
-    limb = lambda j: F.coalesce(F.sum(F.when(at == j, F.col(parts[0])).when(at == j - 1, F.col(parts[1])).when(at == j - 2, F.col(parts[2])).when(at == j - 3, F.col(parts[3])).cast("decimal(19,0)")), F.lit(0)).cast(WIDE)
-    return carried(F.array(*(limb(j) for j in range(n))), BITS24)
+    case = lambda j: f"case {k} " + " ".join(f"when {j - i} then {p}" for i, p in enumerate(parts)) + " end"
+    return carried(_sums(case(j) for j in range(n)), BITS24)
 
 
 def real_limbs(x: Column, n: int = REAL_LIMBS) -> Column:

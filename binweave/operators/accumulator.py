@@ -39,10 +39,18 @@ class Accumulator:
     def merge(self) -> list[Column]:
         return [F.sum(c).cast(t).alias(c) for c, t in self.state]
 
+    def filled(self, rows: DataFrame, keys: list[str], weight: Column | None, samples: list[Column]) -> DataFrame | None:
+        """Cells from rows (keys, ...), where aggregates over rows aren't enough; None if they are."""
+        return None
+
     def merged(self, cells: DataFrame, keys: list[str]) -> DataFrame:
         """One state per key from states of the same key."""
         return cells.groupBy(*keys).agg(*self.merge())
 
+    def parameters(self) -> dict:
+        """What it takes, beside its name, to make it again; plain values."""
+        return {}
+
     def given(self, state: dict) -> dict[str, Column]:
         """State columns of one cell from the caller's values."""
         return {c: F.lit(str(v) if t == limbs.WIDE else v).cast(t) for c, t in self.state for v in [state.get(c, 0)]}
@@ -106,6 +114,9 @@ class Count(Accumulator):
     def scaled(self):
         return Count(real=True)
 
+    def parameters(self):
+        return {"real": self.real, "most": self.most}
+
 
 class BigCount(Accumulator):
     """Exact count of up to 38 digits."""
@@ -118,6 +129,9 @@ class BigCount(Accumulator):
     def __init__(self, most: int | None = None):
         self.most = most
 
+    def parameters(self):
+        return {"most": self.most}
+
     def fill(self, weight, samples, shift, order):
         return [(F.count(F.lit(1)) if weight is None else F.sum(weight)).cast(limbs.WIDE).alias("value")]
 
@@ -140,6 +154,9 @@ class LargeCount(Accumulator):
     def __init__(self, most: int | None = None):
         self.most = UNKNOWN if most is None else most
 
+    def parameters(self):
+        return {"most": self.most}
+
     @property
     def n(self) -> int:
         return limbs.limbs_needed(self.most)
@@ -197,14 +214,14 @@ class Sum(Accumulator):
     state = [("limbs", "array<bigint>"), ("odd", "double")]
 
     def windows(self, rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
-        """Rows (keys, x) as rows of windowed() columns."""
+        """Rows as rows of windowed() columns."""
         k, *parts = limbs.windowed(F.col("x"))
         finite = F.abs(F.col("x")) < float("inf")
         return rows.select(*keys, x.alias("x")).select(*keys, k.alias("k"), *(p.alias(f"p{i}") for i, p in enumerate(parts)), F.when(~finite, F.col("x")).alias("odd"))
 
-    def filled(self, rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
-        """Cells.  In a batch, rows are first added up by cell and range of exponents, four whole numbers each."""
-        own = self.windows(rows, keys, x)
+    def filled(self, rows, keys, weight, samples):
+        """In a batch, rows are first added up by cell and range of exponents, four whole numbers each."""
+        own = self.windows(rows, keys, F.lit(1.0) if weight is None else weight.cast("double"))
         if not rows.isStreaming:
             own = own.groupBy(*keys, "k").agg(*(F.sum(c).alias(c) for c in ("p0", "p1", "p2", "p3", "odd")))
         return own.groupBy(*keys).agg(limbs.window_sums("k", ["p0", "p1", "p2", "p3"]).alias("limbs"), F.sum("odd").alias("odd"))
@@ -238,7 +255,7 @@ def exact_sums(cells: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the sums of double columns, each rounded once."""
     parts = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("x")) for i, c in enumerate(columns)))
     rows = cells.select(F.inline(parts))
-    sums = Sum().filled(rows, ["c"], F.col("x")).select("c", Sum().read()["value"].alias("v"))
+    sums = Sum().filled(rows, ["c"], F.col("x"), []).select("c", Sum().read()["value"].alias("v"))
     return sums.agg(*(F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(0.0)).alias(c) for i, c in enumerate(columns)))
 
 
@@ -425,4 +442,76 @@ def means(n: int) -> Custom:
     return Custom(state, fill, lambda: [F.sum(c) for c, _ in state], read, samples=n, weighted=True, name="means")
 
 
-BY_NAME = {a.name: a for a in (Count, BigCount, LargeCount, Sum, WeightedSum, Mean, WeightedMean, Fraction, Collector)}
+class Nested(Accumulator):
+    """A binned table in every cell: the first sample's bins in `axis`, each with an inner accumulator's state; a cell holds the bins it has met.
+
+    An inner integer axis that grows does so in each cell by itself: its bins are numbered from the axis' start without end.
+    """
+
+    name = "nested"
+    weighted = True
+
+    def __init__(self, axis, inner: Accumulator | None = None, most: int = 100_000):
+        if axis.growth and axis.kind != "integer":
+            raise ValueError("inside a cell, only integer axes grow")
+        self.axis, self.inner, self.most = axis, inner or Count(), most
+        self.samples = 1 + self.inner.samples
+        fields = ",".join(f"{c}:{t}" for c, t in self.inner.state)
+        self.state = [("bins", f"array<struct<bin:bigint,{fields}>>")]
+
+    def parameters(self):
+        return {"axis": self.axis.to_json(), "inner": [self.inner.name, self.inner.parameters()], "most": self.most}
+
+    def check(self, weight, samples):
+        super().check(weight, samples)
+        self.inner.check(weight, samples[1:])
+
+    def _gathered(self, cells: DataFrame, keys: list[str]) -> DataFrame:
+        names = [c for c, _ in self.inner.state]
+        out = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_bin").alias("bin"), *names))).alias("bins"))  # one per bin
+        return out.withColumn("bins", F.when(F.size("bins") > self.most, F.raise_error(F.lit(f"more than {self.most} bins in a cell")).cast(self.state[0][1])).otherwise(F.col("bins")))
+
+    def filled(self, rows, keys, weight, samples):
+        x, *more = samples
+        if self.axis.growth:
+            number = F.floor(x.cast("double")) if self.axis.floating else x.cast("long")
+            number, valid = number.cast("bigint") - self.axis.start, None
+        else:
+            number, valid = self.axis.index(x).cast("bigint"), self.axis.valid(F.col("_bin"))
+        own = rows.withColumn("_bin", number).where("_bin is not null")
+        own = own if valid is None else own.where(valid)
+        inner = self.inner.filled(own, [*keys, "_bin"], weight, more)
+        if inner is None:
+            inner = own.groupBy(*keys, "_bin").agg(*self.inner.fill(weight, more, 0.0, None))
+        return self._gathered(inner, keys)
+
+    def merge(self):
+        raise TypeError("nested tables are merged bin by bin")
+
+    def merged(self, cells, keys):
+        rows = cells.select(*keys, F.explode("bins").alias("_b")).select(*keys, F.col("_b.bin").alias("_bin"), *(F.col(f"_b.{c}").alias(c) for c, _ in self.inner.state))
+        return self._gathered(self.inner.merged(rows, [*keys, "_bin"]), keys)
+
+    def read(self):
+        return {"bins": F.col("bins"), "count": F.size("bins").cast("bigint")}
+
+    def zero(self):
+        return {"bins": F.array().cast(self.state[0][1])}
+
+
+def nested_from(axis: dict, inner: list, most: int) -> Nested:
+    from .axis import axis_from_json
+
+    return Nested(axis_from_json(axis), BY_NAME[inner[0]](**inner[1]), most)
+
+
+BY_NAME: dict[str, Callable[..., Accumulator]] = {a.name: a for a in (Count, BigCount, LargeCount, Sum, WeightedSum, Mean, WeightedMean, Fraction, Collector)} | {"nested": nested_from}
+
+
+def register(make: Callable[..., Accumulator]) -> Callable[..., Accumulator]:
+    """Let tables of the caller's own accumulator be stored: `make(**parameters)` gives it again, under its name."""
+    name = make().name
+    if BY_NAME.get(name, make) is not make:
+        raise ValueError(f"there is an accumulator named {name}")
+    BY_NAME[name] = make
+    return make

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.transforms import INF, Transform, transform_from_json
 
 UNDERFLOW, OVERFLOW, CIRCULAR, GROWTH = "underflow", "overflow", "circular", "growth"
+FEW = 200  # categories that an expression holds; a table of more is joined
 _BIG = float(1 << 53)  # doubles from here on are whole numbers
 
 
@@ -66,6 +68,10 @@ class Axis:
     def index(self, *columns: Column) -> Column:
         raise NotImplementedError
 
+    def lookup(self, *columns: Column) -> tuple[tuple, Column] | None:
+        """Values by number, and the column to find among them, where a join is better than index()."""
+        return None
+
     def value(self, i: float):
         raise IndexError("this axis has no values")
 
@@ -304,11 +310,36 @@ def circular(n, start=0.0, stop=2 * math.pi, metadata="") -> Regular:
     return regular(n, start, stop, metadata, {OVERFLOW, CIRCULAR})
 
 
+def _replayed(edges: list[float], most: int):
+    """Rows (o, x) in order to the edges they add, in order; ends early once there are more than `most` bins."""
+
+    def run(batches):
+        low, below_low, before_high, high, n = edges[0], edges[1], edges[-2], edges[-1], len(edges)
+        for batch in batches:
+            added: list[tuple[bool, float]] = []
+            for x in batch.column("x").to_pylist():
+                if x >= high:
+                    before_high, high = high, max(math.nextafter(x, INF), high + 0.5 * (high - before_high))
+                    added.append((False, high))
+                elif x < low:
+                    below_low, low = low, min(x, low - 0.5 * (below_low - low))
+                    added.append((True, low))
+                if len(added) and n + len(added) > most + 1:
+                    break
+            n += len(added)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in added], pa.bool_()), pa.array([e for _, e in added], pa.float64())], ["below", "edge"])
+            if n > most + 1:
+                return
+
+    return run
+
+
 @dataclass(frozen=True, kw_only=True, repr=False)
 class Variable(Axis):
     """Bins between given edges (infinite ones allowed)."""
 
     edges: tuple[float, ...]
+    most: int = 100_000  # bins, when growing
 
     kind = "variable"
 
@@ -376,27 +407,34 @@ class Variable(Axis):
         return None if self.circular or self.growth else (column >= self.edges[0]) & (column <= self.edges[-1])
 
     def grown(self, rows: DataFrame, column: Column, order: Column | None = None) -> Variable:
-        """Edges depend on the order of arrival; only values beyond all earlier ones matter.
+        """Edges depend on the order of arrival (`order`, ties by value); only values beyond all earlier ones matter.
 
-        Each range of the order finds its own running extremes; those few rows go to the driver and are replayed.
+        Rows are dealt out by ranges of the order, and each range keeps the values beyond those before it there and in earlier ranges.
+        Ranges that have any are replayed in turn, each in a task: edges go in, edges come out, and no rows go to the driver.
         """
         if not self.growth:
             return self
         if order is None:
             raise ValueError("a growing variable axis needs order_by")
         x = column.cast("double")
-        lo, hi = self.edges[0], self.edges[-1]
-        out = rows.select(order.alias("o"), x.alias("x")).where((F.abs(F.col("x")) < INF) & ((F.col("x") < lo) | (F.col("x") >= hi)))
-        out = out.repartitionByRange(F.col("o")).withColumn("p", F.spark_partition_id())
-        before = Window.partitionBy("p").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.select("o", "x", F.max("x").over(before).alias("top"), F.min("x").over(before).alias("low"))
-        news = out.where(F.col("top").isNull() | (F.col("x") > F.col("top")) | (F.col("x") < F.col("low"))).orderBy("o").collect()
+        out = rows.select(order.alias("o"), x.alias("x")).where((F.abs(F.col("x")) < INF) & ((F.col("x") < self.edges[0]) | (F.col("x") >= self.edges[-1])))
+        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = out.repartitionByRange(ranges, "o").withColumn("p", F.spark_partition_id()).persist()
+        inside = Window.partitionBy("p").orderBy("o", "x").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        ends = dealt.groupBy(F.col("p").alias("q")).agg(F.max("x").alias("top"), F.min("x").alias("low")).select("q", F.max("top").over(earlier).alias("top"), F.min("low").over(earlier).alias("low"))
+        run = dealt.select("p", "o", "x", F.max("x").over(inside).alias("run_top"), F.min("x").over(inside).alias("run_low")).join(F.broadcast(ends), F.col("p") == F.col("q"))
+        beyond = (F.col("x") > F.coalesce(F.greatest("run_top", "top"), F.lit(-INF))) | (F.col("x") < F.coalesce(F.least("run_low", "low"), F.lit(INF)))
+        news = run.where(beyond).select("p", "o", "x").persist()
         edges = list(self.edges)
-        for r in news:
-            if r["x"] >= edges[-1]:
-                edges.append(max(math.nextafter(r["x"], INF), edges[-1] + 0.5 * (edges[-1] - edges[-2])))
-            elif r["x"] < edges[0]:
-                edges.insert(0, min(r["x"], edges[0] - 0.5 * (edges[1] - edges[0])))
+        for p in sorted(r[0] for r in news.select("p").distinct().collect()):
+            one = news.where(F.col("p") == p).select("o", "x").coalesce(1).sortWithinPartitions("o", "x")
+            sides = one.mapInArrow(_replayed(edges, self.most), "below boolean, edge double").collect()
+            edges = [r["edge"] for r in reversed(sides) if r["below"]] + edges + [r["edge"] for r in sides if not r["below"]]
+            if len(edges) > self.most + 1:
+                raise OverflowError(f"more than {self.most} bins")
+        news.unpersist()
+        dealt.unpersist()
         return replace(self, edges=tuple(edges))
 
     def reduced(self, begin: int, end: int, merge: int) -> Variable:
@@ -549,6 +587,9 @@ class Category(Axis):
         table = F.create_map(*(F.lit(x) for i, v in enumerate(self.values) for x in (v, i)))
         return F.when(column.isNull(), n).otherwise(F.coalesce(table[column], F.lit(n)))
 
+    def lookup(self, column: Column) -> tuple[tuple, Column] | None:
+        return (self.values, column) if self.size > FEW else None
+
     def find(self, x) -> int:
         return self.values.index(x) if x in self.values else self.size
 
@@ -562,7 +603,11 @@ class Category(Axis):
         if not self.growth:
             return self
         seen = rows.select(column.alias("v"), (column if order is None else order).alias("o")).where("v is not null").groupBy("v").agg(F.min("o").alias("o"))
-        if self.values:
+        if self.size > FEW:
+            from ..plans.fill import dictionary
+
+            seen = seen.join(dictionary(rows.sparkSession, self.values, "_v", "_n"), F.col("v") == F.col("_v"), "left_anti")
+        elif self.values:
             seen = seen.where(~F.col("v").isin(list(self.values)))
         new = seen.orderBy("o", "v").limit(self.most + 1).collect()
         if len(new) > self.most:
@@ -579,7 +624,8 @@ class Category(Axis):
             return self
         if not (isinstance(other, Category) and self.growth and other.growth and replace(other, values=self.values) == self):
             raise ValueError("these axes have no common form")
-        return replace(self, values=(*self.values, *(v for v in other.values if v not in self.values)))
+        known = set(self.values)
+        return replace(self, values=(*self.values, *(v for v in other.values if v not in known)))
 
     def to_json(self) -> dict:
         return super().to_json() | {"values": list(self.values)}
@@ -678,6 +724,9 @@ class Adapted(Axis):
     def index(self, *columns: Column) -> Column:
         return self.base.index(self.convert(*columns))
 
+    def lookup(self, *columns: Column) -> tuple[tuple, Column] | None:
+        return self.base.lookup(self.convert(*columns))
+
     def value(self, i: float):
         return self.base.value(i)
 

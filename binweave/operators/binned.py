@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import limbs
-from ..plans.fill import as_column, axis_columns, fill_cells, keys
+from ..plans.fill import as_column, axis_columns, dictionary, fill_cells, keys
 from .accumulator import ROWS, Accumulator, BigCount, Count, Fraction, LargeCount, Mean, WeightedMean, WeightedSum, bound, exact_sums, is_whole, whole_for
-from .axis import Axis, Category, Integer, Regular
+from .axis import FEW, Axis, Category, Integer, Regular
 from .reduce import Command, normalised, plan
 
 MAX_RANK = 32
 MAX_DENSE = 50_000_000
+MAX_BINS = 1_000_000
 
 
 def _moved(old: Axis, new: Axis, i: Column) -> Column:
@@ -29,14 +30,22 @@ def _moved(old: Axis, new: Axis, i: Column) -> Column:
     if old == new:
         return i
     if isinstance(old, Category):
-        at = [new.values.index(v) for v in old.values]
-        inner = i if at == list(range(len(at))) else F.element_at(F.array(*map(F.lit, at or [0])), F.when((i >= 0) & (i < old.size), i + 1).otherwise(1))
+        at = _places(old, new)
+        inner = i if at is None else F.element_at(F.array(*map(F.lit, at)), F.when((i >= 0) & (i < old.size), i + 1).otherwise(1))
     else:
         shift = old.low - new.low if isinstance(old, Regular) else old.start - new.start if isinstance(old, Integer) else new.edges.index(old.edges[0])
         inner = i + shift
     return F.when(i < 0, i).when(i >= old.size, F.lit(new.size)).otherwise(inner).cast("int")
 
 
+def _places(old: Category, new: Category) -> list[int] | None:
+    """Of the old values among the new; None if they are the first ones."""
+    if new.values[: old.size] == old.values:
+        return None
+    number = {v: i for i, v in enumerate(new.values)}
+    return [number[v] for v in old.values]
+
+
 class Binned:
     def __init__(self, *axes: Axis, accumulator: Accumulator | None = None, cells: DataFrame | None = None):
         if not 1 <= len(axes) <= MAX_RANK:
@@ -104,8 +113,20 @@ class Binned:
     def _moved_to(self, axes: list[Axis]) -> Binned:
         if axes == self.axes:
             return self
-        moved = [_moved(a, b, F.col(k)).alias(k) for a, b, k in zip(self.axes, axes, self.keys)]
-        return self._with(axes, self.cells.select(*moved, *(c for c, _ in self.accumulator.state)))
+        return self._with(axes, self.renumbered(self.cells, axes))
+
+    def renumbered(self, df: DataFrame, axes: list[Axis]) -> DataFrame:
+        """Rows with bin numbers of this table's axes, with those of the axes they have become."""
+        kept = [c for c in df.columns if c not in self.keys]
+        numbers = []
+        for old, new, k in zip(self.axes, axes, self.keys):
+            at = _places(old, new) if isinstance(old, Category) and old.size > FEW and old != new else None
+            if at is None:
+                numbers.append(_moved(old, new, F.col(k)))
+            else:  # a table of places is joined
+                df = df.join(dictionary(df.sparkSession, at, f"_to_{k}", f"_at_{k}"), F.col(k) == F.col(f"_at_{k}"), "left")
+                numbers.append(F.coalesce(F.col(f"_to_{k}"), F.lit(new.size)).cast("int"))
+        return df.select(*(n.alias(k) for n, k in zip(numbers, self.keys)), *kept)
 
     def _regroup(self, axes: list[Axis], index: list[Column]) -> Binned:
         """Cells under new bin numbers (NULL: dropped), states of one number merged."""
@@ -125,19 +146,30 @@ class Binned:
         cells = self.dense() if dense else self.cells
         return cells.select(*self.keys, *(c.alias(n) for n, c in self.accumulator.read().items()))
 
-    def dense(self) -> DataFrame:
-        """All cells, in any order; touched ones have their state, others zero."""
-        if self.size > MAX_DENSE:
-            raise OverflowError(f"{self.size} cells are too many to lay out")
-        grid, step, columns = self.cells.sparkSession.range(self.size), 1, []
-        for k, a in zip(self.keys, self.axes):  # the first axis runs fastest
-            columns.append((F.floor(F.col("id") / step) % a.extent + a.first).cast("int").alias(k))
-            step *= a.extent
-        grid = grid.select(*columns)
+    def dense(self, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+        """All cells, in any order, or those of a rectangle [begin, end) per axis; touched ones have their state, others zero.
+
+        Only the rectangle is laid out, so a small one of any table can be read.
+        """
+        spans = [(a.first, a.stop) for a in self.axes] if ranges is None else [(max(b, a.first), min(e, a.stop)) for a, (b, e) in zip(self.axes, ranges, strict=True)]
+        sizes = [max(0, e - b) for b, e in spans]
+        if prod(sizes) > MAX_DENSE:
+            raise OverflowError(f"{prod(sizes)} cells are too many to lay out")
+        grid, step, columns = self.cells.sparkSession.range(prod(sizes)), 1, []
+        for k, (b, _), n in zip(self.keys, spans, sizes):  # the first axis runs fastest
+            columns.append((F.floor(F.col("id") / max(step, 1)) % max(n, 1) + b).cast("int").alias(k))
+            step *= n
+        cells = self.cells if ranges is None else self.cells.where(fold(Column.__and__, [(F.col(k) >= b) & (F.col(k) < e) for k, (b, e) in zip(self.keys, spans)]))
         zero = self.accumulator.zero()
-        joined = grid.join(self.cells, self.keys, "left")
+        joined = grid.select(*columns).join(cells, self.keys, "left")
         return joined.select(*self.keys, *(F.coalesce(F.col(c), zero[c]).alias(c) for c, _ in self.accumulator.state))
 
+    def annotated(self, notes: DataFrame, dense: bool = False) -> DataFrame:
+        """Results with the caller's columns about cells (a table with this one's bin numbers, one row per cell at most)."""
+        twice = notes.groupBy(*self.keys).count().where("count > 1").select(F.raise_error(F.lit("a cell has two notes")).cast("int").alias("_bad"), *self.keys)
+        once = notes.join(twice, self.keys, "left").where(F.col("_bad").isNull()).drop("_bad")
+        return self.table(dense).join(once, self.keys, "left")
+
     def ordered(self, df: DataFrame) -> DataFrame:
         """In the order of iteration: the first axis runs fastest."""
         return df.orderBy(*reversed(self.keys))
@@ -182,24 +214,25 @@ class Binned:
             acc = type(acc)(most=acc.most if isinstance(acc, LargeCount) else None)  # new values, of the same width
         return self._with(self.axes, cells.select(*self.keys, *(state.get(c, F.col(c)).cast(t).alias(c) for c, t in acc.state)), acc)
 
-    def edges(self, k: int) -> DataFrame:
-        """Bins of axis k, flow bins included: (i, lower, upper, center, width) or (i, bin)."""
+    def edges(self, k: int, begin: int | None = None, end: int | None = None) -> DataFrame:
+        """Bins of axis k, flow bins included: (i, lower, upper, center, width) or (i, bin); from `begin` to before `end` if given."""
         a, session = self.axes[k], self.cells.sparkSession
+        numbers = range(a.first if begin is None else max(begin, a.first), a.stop if end is None else min(end, a.stop))
+        if len(numbers) > MAX_BINS:
+            raise OverflowError(f"{len(numbers)} bins are too many to list")
         if a.continuous:
-            rows = [(i, float(b.lower), float(b.upper), float(b.center), float(b.width)) for i in range(a.first, a.stop) for b in [a.bin(i)]]
+            rows = [(i, float(b.lower), float(b.upper), float(b.center), float(b.width)) for i in numbers for b in [a.bin(i)]]
             return session.createDataFrame(rows, f"i{k} int, lower{k} double, upper{k} double, center{k} double, width{k} double")
-        rows = [(i, str(a.value(i)) if 0 <= i < a.size else None) for i in range(a.first, a.stop)]
+        rows = [(i, str(a.value(i)) if 0 <= i < a.size else None) for i in numbers]
         return session.createDataFrame(rows, f"i{k} int, bin{k} string")
 
     def indexed(self, coverage: str = "inner", ranges: list[tuple[int, int]] | None = None) -> DataFrame:
         """Cells in order with their bins; inner ones, all, or those in a rectangle [begin, end) per axis."""
-        out = self.table(dense=True)
-        if ranges is not None:
-            out = out.where(fold(Column.__and__, [(F.col(k) >= max(b, a.first)) & (F.col(k) < min(e, a.stop)) for k, a, (b, e) in zip(self.keys, self.axes, ranges)]))
-        elif coverage == "inner":
-            out = out.where(self._inner())
-        for k in range(self.rank):
-            out = out.join(F.broadcast(self.edges(k)), f"i{k}")  # as many rows as the axis has bins
+        if ranges is None:
+            ranges = [(0, a.size) if coverage == "inner" else (a.first, a.stop) for a in self.axes]
+        out = self.dense(ranges).select(*self.keys, *(c.alias(n) for n, c in self.accumulator.read().items()))
+        for k, (b, e) in enumerate(ranges):
+            out = out.join(F.broadcast(self.edges(k, b, e)), f"i{k}")  # MAX_BINS at most
         return self.ordered(out)
 
     def density(self, coverage: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals
 from ..functions.transforms import Log, Pow, Sqrt, UserTransform
 from ..operators import reduce as R
-from ..operators.accumulator import BigCount, Collector, Count, Custom, Fraction, Mean, Sum, WeightedMean, WeightedSum, maximum, means
+from ..operators.accumulator import BigCount, Collector, Count, Custom, Fraction, Mean, Nested, Sum, WeightedMean, WeightedSum, maximum, means
 from ..operators.axis import Adapted, UserAxis, boolean, category, circular, integer, regular, regular_step, variable
 from ..operators.binned import Binned
 
@@ -385,9 +385,97 @@ def hist_custom_aggregate(spark, d):
     return Binned(qty5(), accumulator=acc).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_suppkey").table()
 
 
-@query(cells_sql(QTY5, f"{FLAG}", agg="CAST(count(*) AS BIGINT) AS value"))
+@query(f"SELECT i0, string_agg(bin || ':' || n, ' ' ORDER BY bin) AS bins, CAST(count(*) AS BIGINT) AS count FROM (SELECT {QTY5} AS i0, l_linenumber + 10 * l_suppkey AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY i0")
 def hist_nested(spark, d):
-    return Binned(qty5(), category("ANR")).fill(table(spark, d, "lineitem"), "l_quantity", "l_returnflag").table()
+    """A growing table in every cell, of the bins that it has met; projected from two axes."""
+    h = Binned(qty5(), category("ANR"), accumulator=Nested(integer(0, 0, options={"growth"})))
+    h = h.fill(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", sample=F.col("l_linenumber") + 10 * F.col("l_suppkey"))
+    return nested_text(h.project(0))
+
+
+def nested_text(h: Binned) -> DataFrame:
+    return h.table().withColumn("bins", F.array_join(F.transform("bins", lambda b: F.concat_ws(":", b["bin"].cast("string"), b["value"].cast("string"))), " "))
+
+
+@query(f"SELECT i0, string_agg(bin || ':' || n, ' ' ORDER BY bin) AS bins, CAST(count(*) AS BIGINT) AS count FROM (SELECT {QTY5} AS i0, {FLAG} AS bin, 2 * count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY i0")
+def nested_stored(spark, d):
+    """Nested cells filled, added up, written and read back."""
+    from ..sources.store import load, save
+
+    h = Binned(qty5(), accumulator=Nested(category("ANR"))).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_returnflag")
+    path = shared_folder(spark, "nested")
+    save(h + h, path)
+    return nested_text(load(spark, path))
+
+
+# --- large cells, axes and tables
+
+
+@query(f"""WITH x AS (SELECT CAST(l_orderkey % 3 AS INTEGER) AS i0, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey % 3 ORDER BY l_shipdate, l_extendedprice) - 1 AS place FROM lineitem)
+SELECT i0, CAST(place // 1000 AS BIGINT) AS segment, CAST(1000 * (place // 1000) AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS count, round(min(x), 2) AS least, round(sum(x), 2) AS total FROM x GROUP BY i0, place // 1000""")
+def collector_segments(spark, d):
+    """All prices of three cells by date, a thousand to a row; two halves put together."""
+    from ..operators.collected import Collected
+
+    rows, day = table(spark, d, "lineitem"), F.unix_date(F.col("l_shipdate").cast("date"))
+    cell, whole = F.col("l_orderkey") % 3, integer(0, 3, options=())
+    a, b = (Collected(whole, size=1000).fill(rows.where(c), cell, sample="l_extendedprice", order_by=day) for c in ("l_linestatus = 'O'", "l_linestatus <> 'O'"))
+    out = (a + b).table()
+    return rounded(out.select("i0", "segment", "first", "count", F.array_min("items").alias("least"), F.aggregate("items", F.lit(0.0), lambda s, x: s + x).alias("total")), least=2, total=2)
+
+
+@query("SELECT CAST(CASE WHEN l_orderkey BETWEEN 1 AND 12000 THEN 12000 - l_orderkey ELSE 12000 END AS INTEGER) AS i0, CAST(count(*) AS BIGINT) AS value FROM lineitem GROUP BY 1")
+def hist_many_categories(spark, d):
+    """Order keys as categories, in descending order: a table of values is joined."""
+    return Binned(category(range(12000, 0, -1))).fill(table(spark, d, "lineitem"), "l_orderkey").table()
+
+
+@query("SELECT CAST(g.i AS INTEGER) AS i0, CAST(h.i AS INTEGER) AS i1, CAST(count(l_orderkey) AS BIGINT) AS value FROM (SELECT unnest([2499, 2500]) AS i) g CROSS JOIN (SELECT unnest([11, 12, 13]) AS i) h LEFT JOIN lineitem ON floor(l_extendedprice / 10.0) = g.i AND l_partkey = h.i GROUP BY 1, 2")
+def rectangle(spark, d):
+    """Six of a thousand million cells."""
+    h = Binned(regular(10_000, 0, 100_000), integer(0, 100_000)).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_partkey")
+    return h.indexed(ranges=[(2499, 2501), (11, 14)]).select("i0", "i1", "value")
+
+
+@query(f"SELECT i0, CAST(n AS VARCHAR) || repeat('0', 42) AS times, CAST(CAST(n AS HUGEINT) * 3 AS VARCHAR) || repeat('0', 42) AS sum FROM ({cells_sql(QTY5, agg='count(*) AS n')})")
+def count_widened(spark, d):
+    """Cells multiplied past 38 digits, and added up."""
+    h = Binned(qty5()).fill(table(spark, d, "lineitem"), "l_quantity")
+    ten14 = h.map_cells(value=F.lit(10**14))
+    wide = h * ten14 * ten14 * ten14
+    total = (wide + wide + wide).table().select("i0", F.col("digits").alias("sum"))
+    return wide.table().where("digits <> '0'").select("i0", F.col("digits").alias("times")).join(total, "i0")
+
+
+@query(f"SELECT i0, CAST(CAST(n AS HUGEINT) * 4000000000000000000 AS VARCHAR) AS value FROM ({cells_sql(QTY5, agg='count(*) AS n')})")
+def count_past_bigint(spark, d):
+    """Sums of cells beyond 2**63 without a word from the caller."""
+    h = Binned(qty5(), boolean()).fill(table(spark, d, "lineitem"), "l_quantity", F.col("l_orderkey") % 2 == 0)
+    h = h.map_cells(value=F.col("value") * F.lit(10**14))
+    out = h.project(0)
+    for _ in range(2):
+        out = out + out
+    return (out * Binned(qty5()).fill(table(spark, d, "lineitem"), "l_quantity").map_cells(value=F.lit(10_000))).table().where("value > 0").select("i0", F.col("digits").alias("value"))
+
+
+@query(f"SELECT i0, value, 'cell ' || i0 AS note FROM ({dense(f'SELECT {QTY5} AS i0 FROM lineitem', -1, 6)})")
+def annotated_cells(spark, d):
+    """Columns about cells beside their results."""
+    h = Binned(qty5()).fill(table(spark, d, "lineitem"), "l_quantity")
+    notes = h.dense().select("i0", F.concat(F.lit("cell "), F.col("i0").cast("string")).alias("note"))
+    return h.annotated(notes, dense=True)
+
+
+@query(cells_sql(QTY5, agg="greatest(max(l_extendedprice), 0) AS value"))
+def stored_own_accumulator(spark, d):
+    """The caller's own accumulator, registered, written and read back."""
+    from ..operators.accumulator import register
+    from ..sources.store import load, save
+
+    register(maximum)
+    path = shared_folder(spark, "own")
+    save(Binned(qty5(), accumulator=maximum()).fill(table(spark, d, "lineitem"), "l_quantity", sample="l_extendedprice"), path)
+    return load(spark, path).table()
 
 
 # --- after the fill

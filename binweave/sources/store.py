@@ -6,22 +6,21 @@ import json
 
 from pyspark.sql import SparkSession
 
-from ..operators.accumulator import BY_NAME, WHOLE, Count
+from ..operators.accumulator import BY_NAME
 from ..operators.axis import axis_from_json
 from ..operators.binned import Binned
 
 
 def describe(h: Binned) -> str:
+    """Axes and accumulator; the caller's own accumulators as far as they are registered."""
     if h.accumulator.name not in BY_NAME:
-        raise TypeError(f"{h.accumulator.name} can't be stored")
-    return json.dumps({"axes": [a.to_json() for a in h.axes], "accumulator": h.accumulator.name, "real": getattr(h.accumulator, "real", False), "most": getattr(h.accumulator, "most", None)})
+        raise TypeError(f"{h.accumulator.name} can't be stored; register() it")
+    return json.dumps({"axes": [a.to_json() for a in h.axes], "accumulator": h.accumulator.name, "parameters": h.accumulator.parameters()})
 
 
 def binned_from(description: str, cells) -> Binned:
     d = json.loads(description)
-    kind = BY_NAME[d["accumulator"]]
-    acc = Count(d["real"], d.get("most")) if kind is Count else kind(most=d.get("most")) if kind in WHOLE else kind()
-    return Binned(*map(axis_from_json, d["axes"]), accumulator=acc, cells=cells)
+    return Binned(*map(axis_from_json, d["axes"]), accumulator=BY_NAME[d["accumulator"]](**d["parameters"]), cells=cells)
 
 
 def save(h: Binned, path: str) -> None:
