@@ -7,7 +7,8 @@ looked-up terms' block maxima, plus the most that the others can give an item of
 blocks whose bound reaches the threshold are scored exactly.  What is retrieved is then verified: the item's 5-word shingles, its question's words and its answer's words must occur in
 the passage.
 
-The index grows with the benchmark only.  Benchmarks of more than `max_items` items are searched in several passes.
+The index grows with the benchmark only.  Benchmarks of more than `max_items` items are searched in several passes; frequencies, the mean
+length and the passages' length are those of all items in each, so the number of passes changes no result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import small_batches
+from ._spark import durable, small_batches
 from ._text import U, prefix, range_hash, slices, spread, term_hashes, utf8
 
 K1, B = 1.2, 0.75
@@ -41,7 +42,25 @@ class Index:
     words: list  # per item: terms in order
 
 
-def build(ids: list[int], texts: list[str], threshold: float) -> Index:
+@dataclass
+class Statistics:
+    """Of all items, in whatever parts they are searched."""
+
+    n: int
+    mean: float
+    terms: np.ndarray  # sorted hashes, those of a part's items at least
+    df: np.ndarray
+
+
+def statistics(texts: list[str]) -> Statistics:
+    terms, at = term_hashes(*utf8(pa.array(texts, pa.large_string())))
+    pairs = np.unique(np.stack([terms, np.repeat(np.arange(len(texts)), np.diff(at)).astype(U)]), axis=1) if len(terms) else np.zeros((2, 0), U)
+    found, df = np.unique(pairs[0], return_counts=True)
+    return Statistics(len(texts), max(1.0, len(terms) / max(1, len(texts))), found, df)
+
+
+def build(ids: list[int], texts: list[str], threshold: float, of_all: Statistics | None = None) -> Index:
+    of_all = of_all or statistics(texts)
     column = pa.array(texts, pa.large_string())
     terms, at = term_hashes(*utf8(column))
     owner = np.repeat(np.arange(len(ids)), np.diff(at))
@@ -49,21 +68,21 @@ def build(ids: list[int], texts: list[str], threshold: float) -> Index:
     t, o = terms[order], owner[order]
     new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))) if len(t) else np.zeros(0, np.int64)
     tf, t, o = np.diff(np.append(new, len(t))), t[new], o[new]
-    vocabulary, first, df = np.unique(t, return_index=True, return_counts=True)
-    n, length = len(ids), np.diff(at)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    mean = max(1.0, length.mean() if n else 1.0)
-    score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[o] / mean))
+    vocabulary, first, postings = np.unique(t, return_index=True, return_counts=True)
+    n, length, mean = len(ids), np.diff(at), of_all.mean
+    df = of_all.df[np.searchsorted(of_all.terms, vocabulary)]
+    idf = np.log1p((of_all.n - df + 0.5) / (df + 0.5))
+    score = np.repeat(idf, postings) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[o] / mean))
     own = np.bincount(o, score, n)
     weight = score / own[o] if len(o) else score
     # an item's postings from its most frequent term on: light while their weights stay below the threshold together
-    common = np.repeat(df, df)
+    common = np.repeat(df, postings)
     by_item = np.lexsort((t, -common, o))
     sums = np.cumsum(weight[by_item])
     begin = np.searchsorted(o[by_item], np.arange(n))
     sums -= np.append(0.0, sums)[begin][o[by_item]] if len(o) else 0.0
     posting_light = np.zeros(len(o), bool)
-    posting_light[by_item] = (sums < threshold - 1e-6) & (common[by_item] > max(2, n // 20))
+    posting_light[by_item] = (sums < threshold - 1e-6) & (common[by_item] > max(2, of_all.n // 20))
     rest = np.zeros(n // BLOCK + 1)
     np.maximum.at(rest, np.arange(n) // BLOCK, np.bincount(o, weight * posting_light, n))
     light = np.logical_and.reduceat(posting_light, first) if len(first) else np.zeros(0, bool)
@@ -158,6 +177,17 @@ HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()),
 _SQL = "array<struct<item_id:bigint,first_word:int,score:double,shingles:double,question:double,answer:double>>"
 
 
+def _item_terms(batches):
+    """An item's number of terms under NULL, and its distinct terms."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("t"))
+        for i, j in slices(offsets):
+            terms, at = term_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                own = np.unique(terms[a:b]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(own)]), pa.array(np.append(b - a, np.ones(len(own), np.int64)))], ["term", "n"])
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: tuple[float, float, float] = (0.5, 0.6, 0.5), passage_words: int = 128, max_items: int = 50_000,
     text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -168,17 +198,26 @@ def find_leaks(
     was copied lies whole in one of them.  `least`: shares of the item's 5-word shingles, question words and answer words that the passage must have.
 
     Edges: null and empty texts have no hits; items without words are never found, items with a null id are left out; an item whose text is
-    repeated is found under each of its ids; input columns named hits or contaminated are replaced; an empty benchmark leaves all clean.
+    repeated is found under each of its ids; a text of any length is read whole, in passages; repeated document rows are judged each; input columns named hits or contaminated are replaced; an empty benchmark leaves all clean.
     """
     small_batches(docs.sparkSession, 2000)
     kept = [c for c in docs.columns if c.lower() not in ("hits", "contaminated")]
     own = items.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
-    parts = max(1, -(-own.count() // max_items))
+    counted = durable(own.mapInArrow(_item_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("items"), F.max("n").alias("most")))
+    total = counted.where("term is null").first()
+    n, words, longest = (total["items"], total["df"], total["most"]) if total else (0, 0, 0)
+    size = max(passage_words, 2 * longest)
+    parts = max(1, -(-n // max_items))
     out = docs.select(F.struct(*kept).alias("row"), F.lit(None).cast(_SQL).alias("hits")) if not kept else docs.select(F.struct(*kept).alias("row"), F.array().cast(_SQL).alias("hits"))
     for part in range(parts):
-        rows = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").collect()
-        size = max(passage_words, 2 * max([len(r["t"].split()) for r in rows], default=0))
-        held = docs.sparkSession.sparkContext.broadcast(build([r["i"] for r in rows], [r["t"] for r in rows], threshold))
+        some = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        rows = some.orderBy("i", "t").collect()
+        held_terms = some.mapInArrow(_item_terms, "term long, n long").where("term is not null").select("term").distinct()
+        own_counts = counted.join(held_terms, "term", "left_semi").select("term", "df").toArrow()
+        terms, df = own_counts.column("term").to_numpy().view(U), own_counts.column("df").to_numpy()
+        order = np.argsort(terms)
+        of_all = Statistics(n, max(1.0, words / max(1, n)), terms[order], df[order])
+        held = docs.sparkSession.sparkContext.broadcast(build([r["i"] for r in rows], [r["t"] for r in rows], threshold, of_all))
         source = out.select(F.struct("row", "hits").alias("row"), F.col(f"row.`{text_col}`").cast("string").alias("text"))
         schema = f"row {source.schema['row'].dataType.simpleString()}, hits {_SQL}"
         out = source.mapInArrow(_find(held, size, threshold, least), schema).select("row.row", F.concat("row.hits", "hits").alias("hits"))

@@ -196,3 +196,36 @@ def test_recall_on_vectors_without_structure(spark):
         s[q] = -2
         hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
     assert len(got) == 120 and hits >= 0.9 * 600
+
+
+def test_parts_of_a_benchmark_change_nothing(spark):
+    """Items are weighed by all of them, however many passes they take."""
+    from binweave.llm.decontamination import find_leaks
+
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 60)))) for i in range(80)]
+    docs = []
+    for k in range(60):
+        own = items[rng.randrange(80)][1].split()
+        own = [w if rng.random() > 0.25 else rng.choice(vocabulary) for w in own]
+        docs.append((k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 200)) + own + rng.choices(vocabulary, k=30))))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    least = (0.0, 0.0, 0.0)
+    one, several = (sorted(map(repr, find_leaks(d, q, threshold=0.4, least=least, max_items=m).collect())) for m in (1000, 13))
+    assert one == several and sum("contaminated=True" in r for r in one) > 20
+
+
+def test_long_runs_of_digits(spark):
+    import time
+
+    from binweave.llm.pii import base_spans
+
+    began = time.time()
+    assert base_spans("1" * 1_000_000) == [] and time.time() - began < 10
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("12.05 a") for _ in range(rng.randint(0, 40)))
+        want = [("ip", m.start(), m.end()) for m in plain.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [s for s in base_spans(text) if s[0] == "ip"] == want
