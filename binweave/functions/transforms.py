@@ -27,6 +27,10 @@ class Transform:
     def inverse(self, y: float) -> float:
         return y
 
+    def back_column(self, y: Column) -> Column | None:
+        """inverse() as a Column; None if only the driver knows it."""
+        return y if type(self) is Transform else None
+
     def to_json(self) -> dict:
         return {"name": self.name}
 
@@ -46,6 +50,9 @@ class Log(Transform):
     def inverse(self, y: float) -> float:
         return math.exp(y)
 
+    def back_column(self, y: Column) -> Column:
+        return F.exp(y)
+
 
 @dataclass(frozen=True)
 class Sqrt(Transform):
@@ -62,6 +69,9 @@ class Sqrt(Transform):
     def inverse(self, y: float) -> float:
         return y * y
 
+    def back_column(self, y: Column) -> Column:
+        return y * y
+
 
 @dataclass(frozen=True)
 class Pow(Transform):
@@ -84,6 +94,9 @@ class Pow(Transform):
         except ValueError:
             return NAN
 
+    def back_column(self, y: Column) -> Column:
+        return F.pow(y, F.lit(1.0 / self.power))
+
     def to_json(self) -> dict:
         return {"name": self.name, "power": self.power}
 

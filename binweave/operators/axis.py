@@ -116,6 +116,10 @@ class Axis:
     def extent(self) -> int:
         return self.stop - self.first
 
+    def value_column(self, i: Column) -> Column | None:
+        """value() of a bin number in a column; None where only the driver knows it."""
+        return None
+
     def bin(self, i: int) -> Bin:
         if self.continuous:
             return Bin(self.value(i), self.value(i + 1))
@@ -263,6 +267,14 @@ class Regular(Axis):
             return self.transform.inverse(INF * self.delta)
         return self.transform.inverse((1 - z) * self.min + z * (self.min + self.delta))
 
+    def value_column(self, i: Column) -> Column | None:
+        z = (i + self.low) / self.cells
+        inner = self.transform.back_column((1 - z) * F.lit(self.min) + z * F.lit(self.min + self.delta))
+        if inner is None or self.circular:
+            return inner
+        ends = [F.lit(float(self.transform.inverse(x * self.delta))) for x in (-INF, INF)]
+        return F.when(i < 0, ends[0]).when(i > self.n, ends[1]).otherwise(inner)
+
     def raw_range(self, column: Column) -> Column | None:
         if type(self.transform) is not Transform or self.circular or self.growth or not self._plain or self.delta < 0:
             return None
@@ -507,6 +519,12 @@ class Integer(Axis):
             return -INF if i < 0 else INF
         return self.start + (float(i) if self.floating else int(i))
 
+    def value_column(self, i: Column) -> Column | None:
+        if not self.floating:
+            return i.cast("long") + self.start
+        inner = i.cast("double") + float(self.start)
+        return inner if self.circular else F.when(i < 0, -INF).when(i > self.size, INF).otherwise(inner)
+
     def raw_range(self, column: Column) -> Column | None:
         return None if self.circular or self.growth else (column >= self.start - 1) & (column <= self.stop_)
 

@@ -23,6 +23,7 @@ from .reduce import Command, normalised, plan
 MAX_RANK = 32
 MAX_DENSE = 50_000_000
 MAX_BINS = 1_000_000
+FEW_BINS = 50_000
 
 
 def _moved(old: Axis, new: Axis, i: Column) -> Column:
@@ -232,9 +233,22 @@ class Binned:
             ranges = [(0, a.size) if coverage == "inner" else (a.first, a.stop) for a in self.axes]
         out = self.dense(ranges).select(*self.keys, *(c.alias(n) for n, c in self.accumulator.read().items()))
         for k, (b, e) in enumerate(ranges):
-            out = out.join(F.broadcast(self.edges(k, b, e)), f"i{k}")  # MAX_BINS at most
+            out = self._with_bins(out, k, b, e)
         return self.ordered(out)
 
+    def _with_bins(self, out: DataFrame, k: int, begin: int, end: int) -> DataFrame:
+        """Rows with the columns of edges(k): computed from the bin number, or joined where the axis is a list of values."""
+        a, i = self.axes[k], F.col(f"i{k}")
+        low = a.value_column(i)
+        if low is None:
+            some = self.edges(k, begin, end)
+            return out.join(F.broadcast(some) if min(end, a.stop) - max(begin, a.first) <= FEW_BINS else some, f"i{k}")
+        if not a.continuous:
+            return out.withColumn(f"bin{k}", F.when((i >= 0) & (i < a.size), low.cast("string")))
+        out = out.withColumns({f"lower{k}": low, f"upper{k}": a.value_column(i + 1)})
+        low, high = F.col(f"lower{k}"), F.col(f"upper{k}")
+        return out.withColumns({f"center{k}": F.when(low == high, low).otherwise(0.5 * (low + high)), f"width{k}": high - low})
+
     def density(self, coverage: str = "inner") -> DataFrame:
         """Value over the product of bin widths (1 for discrete axes)."""
         out = self.indexed(coverage)

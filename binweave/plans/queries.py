@@ -687,11 +687,11 @@ def text_output(spark, d):
     return spark.createDataFrame(list(enumerate(listed(h).splitlines()[2:-1])), "n int, line string")
 
 
-@query("SELECT CAST(count(*) AS DOUBLE) AS value FROM nation WHERE n_nationkey < 24 AND n_nationkey % 3 = 0")
+@query("SELECT CAST(count(*) AS DOUBLE) AS value FROM customer")
 def sum_real_cells(spark, d):
-    """Cells of 1, 1e100 and -1e100: what is left of them survives the sum."""
-    weight = F.element_at(F.array(F.lit(1.0), F.lit(1e100), F.lit(-1e100)), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    h = Binned(integer(0, 25)).fill(table(spark, d, "nation").where("n_nationkey < 24"), "n_nationkey", weight=weight)
+    """Every customer has cells of 1, 1e100 and -1e100: what is left of them survives the sum."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("c"), F.posexplode(F.array(F.lit(1.0), F.lit(1e100), F.lit(-1e100))).alias("k", "w"))
+    h = Binned(integer(0, 1 << 30), integer(0, 3, options=())).fill(rows, "c", "k", weight="w")
     return spark.createDataFrame([(h.sum()["value"],)], "value double")
 
 
@@ -800,27 +800,39 @@ def hist_tuple(spark, d):
     return Binned(price8(), circle).fill(table(spark, d, "lineitem"), "l_extendedprice", ("l_quantity", "l_linenumber")).table()
 
 
-@query("SELECT CAST(i AS INTEGER) AS i0, round(10.0::DOUBLE ** i, 6) AS lower0, round(10.0::DOUBLE ** (i + 1), 6) AS upper0, round(9 * 10.0::DOUBLE ** i, 6) AS width0 FROM (SELECT unnest([0, 1, 2, 3]) AS i)")
+@query(f"""SELECT CAST(g.i AS INTEGER) AS i0, round(10.0::DOUBLE ** g.i, 6) AS lower0, round(10.0::DOUBLE ** (g.i + 1), 6) AS upper0, round(9 * 10.0::DOUBLE ** g.i, 6) AS width0, CAST(count(o_orderkey) AS BIGINT) AS value
+FROM (SELECT unnest(generate_series(0, 5)) AS i) g LEFT JOIN orders ON {reg('ln(o_totalprice)', 6, '0.0::DOUBLE', 'ln(1000000.0::DOUBLE)')} = g.i GROUP BY g.i""")
 def bins_log(spark, d):
-    bins = [(i, b.lower, b.upper, b.width) for i, b in enumerate(regular(4, 1, 10000, transform=Log()))]
-    return rounded(spark.createDataFrame(bins, "i0 int, lower0 double, upper0 double, width0 double"), lower0=6, upper0=6, width0=6)
+    """Bins of a transformed axis beside their cells."""
+    h = Binned(regular(6, 1, 1_000_000, transform=Log())).fill(table(spark, d, "orders"), "o_totalprice")
+    return rounded(h.indexed().select("i0", "lower0", "upper0", "width0", "value"), lower0=6, upper0=6, width0=6)
 
 
-@query("SELECT CAST(i AS INTEGER) AS i0, [0, 1, 4, 9][i + 2]::DOUBLE AS upper0, CASE WHEN i >= 0 THEN [0, 1, 4, 9][i + 1]::DOUBLE ELSE '-Infinity'::DOUBLE END AS lower0 FROM (SELECT unnest([-1, 0, 1, 2]) AS i)")
+@query("""SELECT CAST(g.i AS INTEGER) AS i0, CASE WHEN g.i < 0 THEN '-Infinity'::DOUBLE ELSE [0, 10, 40, 90][g.i + 1]::DOUBLE END AS lower0, CASE WHEN g.i > 2 THEN 'Infinity'::DOUBLE ELSE [0, 10, 40, 90][g.i + 2]::DOUBLE END AS upper0, CAST(count(event_id) AS BIGINT) AS value
+FROM (SELECT unnest([-1, 0, 1, 2, 3]) AS i) g LEFT JOIN events ON (CASE WHEN value < 0 THEN -1 WHEN value < 10 THEN 0 WHEN value < 40 THEN 1 WHEN value < 90 THEN 2 ELSE 3 END) = g.i GROUP BY g.i""")
 def bins_variable(spark, d):
-    return Binned(variable([0, 1, 4, 9])).edges(0).where("i0 < 3").select("i0", "lower0", "upper0")
+    return Binned(variable([0, 10, 40, 90])).fill(table(spark, d, "events"), "value").indexed("all").select("i0", "lower0", "upper0", "value")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i0, i * 90.0::DOUBLE AS value FROM (SELECT unnest(generate_series(-4, 8)) AS i)")
+@query("SELECT CAST(floor((value - 360 * floor(value / 360.0::DOUBLE)) / 90) AS INTEGER) AS i0, CAST(floor(value / 90.0::DOUBLE) AS BIGINT) AS unwound, floor(value / 90.0::DOUBLE) * 90 AS lower, CAST(count(*) AS BIGINT) AS value FROM (SELECT value * 20 - 500 AS value FROM events) GROUP BY ALL")
 def values_circular(spark, d):
-    """A circular axis goes on beyond its ends."""
-    axis = circular(4, 0, 360)
-    return spark.createDataFrame([(i, float(axis.value(i))) for i in range(-4, 9)], "i0 int, value double")
+    """A circular axis goes on beyond its ends: the value of a number outside is that of the turn it lies in."""
+    axis, value = circular(4, 0, 360), F.col("value") * 20 - 500
+    rows = table(spark, d, "events").select(value.alias("value")).withColumn("unwound", F.floor(F.col("value") / 90).cast("bigint"))
+    cells = rows.groupBy(axis.index(F.col("value")).alias("i0"), "unwound").agg(F.count(F.lit(1)).alias("value"))
+    return cells.select("i0", "unwound", axis.value_column(F.col("unwound")).alias("lower"), "value")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i0, CASE WHEN i < 5 THEN CAST(i + 3 AS VARCHAR) END AS bin0 FROM (SELECT unnest(generate_series(0, 4)) AS i)")
+@query("SELECT CAST(g.i AS INTEGER) AS i0, CASE WHEN g.i BETWEEN 0 AND 3 THEN CAST(g.i + 3 AS VARCHAR) END AS bin0, CAST(count(l_orderkey) AS BIGINT) AS value FROM (SELECT unnest(generate_series(-1, 4)) AS i) g LEFT JOIN lineitem ON greatest(-1, least(4, l_linenumber - 3)) = g.i GROUP BY g.i")
 def bins_integer(spark, d):
-    return Binned(integer(3, 8)).edges(0).where("i0 between 0 and 4")
+    return Binned(integer(3, 7)).fill(table(spark, d, "lineitem"), "l_linenumber").indexed("all").select("i0", "bin0", "value")
+
+
+@query(f"SELECT i0, '[' || printf('%g', 13000.0::DOUBLE * i0) || ', ' || printf('%g', 13000.0::DOUBLE * (i0 + 1)) || ')' AS bin0, 'mean(' || printf('%g', count(*)::DOUBLE) || ', ' || printf('%g', avg({W})) || ', ' || printf('%g', var_samp({W})) || ')' AS cell FROM (SELECT *, {PRICE8} AS i0 FROM lineitem) WHERE i0 BETWEEN 0 AND 7 GROUP BY i0 HAVING count(*) > 1")
+def cells_as_text(spark, d):
+    from ..sources.text import cells_text
+
+    return cells_text(profile_of(spark, d), "inner").where("cell not like '%none%'")
 
 
 @query(f"""SELECT 'inner' AS cell, coalesce(sum(value) FILTER (i0 = 2 AND i1 = 1), 0)::BIGINT AS value FROM ({CELLS2}) UNION ALL
@@ -884,11 +896,13 @@ def reset_and_filled(spark, d):
     return h.reset().fill(rows.where("l_returnflag = 'R'"), "l_quantity").table()
 
 
-@query("SELECT CAST(3 AS INTEGER) AS rank, CAST(10 * 7 * 6 AS BIGINT) AS size, CAST(8 AS INTEGER) AS bins, CAST(10 AS INTEGER) AS extent, TRUE AS continuous, TRUE AS inclusive")
+@query(f"SELECT CAST(3 AS INTEGER) AS rank, CAST(10 * 7 * 6 AS BIGINT) AS size, CAST(8 AS INTEGER) AS bins, CAST(10 AS INTEGER) AS extent, CAST(count(*) AS BIGINT) AS touched, CAST(sum(value) AS BIGINT) AS rows FROM ({cells_sql(PRICE8, QTY5, DISC4)})")
 def shape(spark, d):
-    h = Binned(price8(), qty5(), disc4())
-    a = h.axis(0)
-    return spark.createDataFrame([(h.rank, h.size, a.size, a.extent, a.continuous, a.inclusive)], "rank int, size bigint, bins int, extent int, continuous boolean, inclusive boolean")
+    """Cells there could be, and those that the rows have touched."""
+    h, a = hist3(spark, d), hist3(spark, d).axis(0)
+    assert a.continuous and a.inclusive
+    fixed = {"rank": F.lit(h.rank), "size": F.lit(h.size).cast("bigint"), "bins": F.lit(a.size), "extent": F.lit(a.extent)}
+    return h.table().agg(F.count(F.lit(1)).alias("touched"), F.sum("value").alias("rows")).withColumns(fixed)
 
 
 @query(f"SELECT i0, value * 2 + 1 AS value FROM ({dense(f'SELECT {PRICE8} AS i0 FROM lineitem', -1, 9)})")
@@ -896,10 +910,11 @@ def mapped_cells(spark, d):
     return Binned(price8()).fill(table(spark, d, "lineitem"), "l_extendedprice").map_cells(value=F.col("value") * 2 + 1).table()
 
 
-@query("SELECT TRUE AS too_few, TRUE AS too_many, TRUE AS too_long, TRUE AS no_sample")
+@query(f"SELECT i0, value, TRUE AS too_few, TRUE AS too_many, TRUE AS too_long, TRUE AS no_sample FROM ({cells_sql(PRICE8)})")
 def rejected_fills(spark, d):
-    """What doesn't fit the axes or the accumulator is refused before any row is read."""
+    """What doesn't fit the axes or the accumulator is refused, and the right fill goes on as if nothing had been tried."""
     rows = table(spark, d, "lineitem")
+    h, g, m = Binned(price8()), Binned(price8(), qty5()), Binned(price8(), accumulator=Mean())
 
     def refused(f) -> bool:
         try:
@@ -908,9 +923,8 @@ def rejected_fills(spark, d):
             return True
         return False
 
-    h, m = Binned(price8(), qty5()), Binned(price8(), accumulator=Mean())
-    tries = [lambda: h.fill(rows, "l_extendedprice"), lambda: h.fill(rows, "l_extendedprice", "l_quantity", "l_tax"), lambda: h.fill(rows, ("l_extendedprice", "l_tax"), "l_quantity"), lambda: m.fill(rows, "l_extendedprice")]
-    return spark.createDataFrame([tuple(map(refused, tries))], "too_few boolean, too_many boolean, too_long boolean, no_sample boolean")
+    tries = {"too_few": lambda: g.fill(rows, "l_extendedprice"), "too_many": lambda: g.fill(rows, "l_extendedprice", "l_quantity", "l_tax"), "too_long": lambda: g.fill(rows, ("l_extendedprice", "l_tax"), "l_quantity"), "no_sample": lambda: m.fill(rows, "l_extendedprice")}
+    return h.fill(rows, "l_extendedprice").table().withColumns({k: F.lit(refused(f)) for k, f in tries.items()})
 
 
 # --- more streams

@@ -1,7 +1,10 @@
-"""A binned table as text: cells as a list, or bars for one axis.  Collects the cells, so it is for small ones."""
+"""A binned table as text: columns of text for any size; for small ones, which are collected, a list of cells or bars for one axis."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from ..operators.binned import Binned
 
 
@@ -11,9 +14,53 @@ def _show(row: dict) -> str:
     return "(" + ", ".join(f"{k}={v:g}" if isinstance(v, (int, float)) else f"{k}={v}" for k, v in row.items()) + ")"
 
 
+MOST = 100_000
+
+
+def _few(h: Binned) -> list:
+    if h.size > MOST:
+        raise OverflowError(f"{h.size} cells are too many for one text; use cells_text")
+    return h.ordered(h.table(dense=True)).collect()
+
+
+def shown(c: Column) -> Column:
+    """A number with at most six digits, as a column of text."""
+    six = F.format_string("%.6g", c.cast("double"))
+    plain = F.regexp_replace(F.regexp_replace(six, r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
+    return F.when(c.isNull(), "none").when(F.isnan(c.cast("double")), "nan").when(F.abs(c.cast("double")) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(plain)
+
+
+#: What an accumulator's text lists, by its name.
+PARTS = {
+    "weighted_sum": ["value", "variance"], "mean": ["count", "value", "variance"], "weighted_mean": ["sum_of_weights", "value", "variance"], "fraction": ["successes", "failures"],
+}
+
+
+def cells_text(h: Binned, coverage: str = "all") -> DataFrame:
+    """Bin numbers, bins ("[1, 2)" or a value; "other" outside) and cells ("mean(3, 1.5, 0.25)", a count as its number) as text columns, for tables of any size."""
+    out, name = h.indexed(coverage), h.accumulator.name
+    bins = []
+    for k, a in enumerate(h.axes):
+        text = F.concat(F.lit("["), shown(F.col(f"lower{k}")), F.lit(", "), shown(F.col(f"upper{k}")), F.lit(")")) if a.continuous else F.coalesce(F.col(f"bin{k}"), F.lit("other"))
+        bins.append(text.alias(f"bin{k}"))
+    if name == "sum":
+        cell = F.concat(F.lit("sum("), shown(F.col("large")), F.lit(" + "), shown(F.col("small")), F.lit(")"))
+    elif name == "collector":
+        cell = F.concat(F.lit("collector{"), F.array_join(F.transform("items", shown), ", "), F.lit("}"))
+    elif name == "largecount":
+        cell = F.col("digits")
+    elif name in ("count", "bigcount") and not h.accumulator.real:
+        cell = F.col("value").cast("string")
+    elif name == "count":
+        cell = shown(F.col("value"))
+    else:
+        cell = F.concat(F.lit(f"{name}("), F.concat_ws(", ", *(shown(F.col(c)) for c in PARTS.get(name, h.accumulator.read()))), F.lit(")"))
+    return out.select(*h.keys, *bins, cell.alias("cell"))
+
+
 def table(h: Binned) -> str:
     """Axes, then one entry per cell, the first axis fastest."""
-    rows = h.ordered(h.table(dense=True)).collect()
+    rows = _few(h)
     lines = ["binned("] + [f"  {a!r}," for a in h.axes]
     lines += ["  (" + " ".join(f"{r[k]:2d}" for k in h.keys) + "): " + _show({k: v for k, v in r.asDict().items() if k not in h.keys}) for r in rows]
     return "\n".join([*lines, ")"])
@@ -24,7 +71,7 @@ def bars(h: Binned, width: int = 78, ascii_only: bool = False) -> str:
     if h.rank != 1:
         raise ValueError("bars need exactly one axis")
     a = h.axes[0]
-    rows = h.ordered(h.table(dense=True)).collect()
+    rows = _few(h)
 
     def label(i: int) -> str:
         if not a.continuous:
