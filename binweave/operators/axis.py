@@ -149,9 +149,18 @@ class Axis:
         """Condition on the raw column that holds for every row of an inner bin; it reaches the file scan."""
         return None
 
+    def ends(self, column: Column) -> tuple[Column, Column] | None:
+        """Aggregates of the rows from which grown_to() gives the axis after them; None if grown() needs more than that."""
+        return None
+
+    def grown_to(self, low: int | None, high: int | None) -> Axis:
+        """This axis with bins for what ends() found."""
+        return self
+
     def grown(self, rows: DataFrame, column: Column, order: Column | None = None) -> Axis:
         """This axis after seeing the rows."""
-        return self
+        ends = self.ends(column) if self.growth else None
+        return self if ends is None else self.grown_to(*rows.agg(*ends).first())
 
     def find(self, x) -> int:
         """Bin number of one value, on the driver (for reduce by value)."""
@@ -280,16 +289,16 @@ class Regular(Axis):
             return None
         return (column >= math.nextafter(self.start, -INF)) & (column <= math.nextafter(self.stop_, INF))
 
-    def grown(self, rows: DataFrame, column: Column, order: Column | None = None) -> Regular:
-        if not self.growth:
-            return self
+    def ends(self, column: Column) -> tuple[Column, Column]:
         z = self._z(column)
         at = F.when(F.abs(z) < INF, F.floor(z * self.cells))
-        lo, hi = rows.agg(F.min(at), F.max(at)).first()
-        if lo is None:
+        return F.min(at), F.max(at)
+
+    def grown_to(self, low: int | None, high: int | None) -> Regular:
+        if low is None:
             return self
-        low = min(self.low, lo)
-        return replace(self, low=low, n=max(self.low + self.n, hi + 1) - low)
+        first = min(self.low, low)
+        return replace(self, low=first, n=max(self.low + self.n, high + 1) - first)
 
     def reduced(self, begin: int, end: int, merge: int) -> Regular:
         if self.circular and not (begin == 0 and end == self.n):
@@ -528,17 +537,17 @@ class Integer(Axis):
     def raw_range(self, column: Column) -> Column | None:
         return None if self.circular or self.growth else (column >= self.start - 1) & (column <= self.stop_)
 
-    def grown(self, rows: DataFrame, column: Column, order: Column | None = None) -> Integer:
-        if not self.growth:
-            return self
+    def ends(self, column: Column) -> tuple[Column, Column]:
         x = column.cast("double") if self.floating else column.cast("long")
         key = F.when(F.abs(x) < INF, F.floor(x)) if self.floating else x
-        lo, hi = rows.agg(F.min(key), F.max(key)).first()
-        if lo is None:
+        return F.min(key), F.max(key)
+
+    def grown_to(self, low: int | None, high: int | None) -> Integer:
+        if low is None:
             return self
         if self.size == 0:  # an empty axis still begins at its start
-            lo, hi = min(lo, self.start), max(hi, self.start - 1)
-        return replace(self, start=min(self.start, lo), stop_=max(self.stop_, hi + 1))
+            low, high = min(low, self.start), max(high, self.start - 1)
+        return replace(self, start=min(self.start, low), stop_=max(self.stop_, high + 1))
 
     def reduced(self, begin: int, end: int, merge: int) -> Integer:
         if merge > 1:
@@ -761,6 +770,14 @@ class Adapted(Axis):
         raise TypeError("an adapted axis can't be stored")
 
 
+def grown_axes(axes: list[Axis], rows: DataFrame, sources: list[tuple[Column, ...]], order: Column | None = None) -> list[Axis]:
+    """All axes after seeing the rows; those that grow by their ends share one reading."""
+    ends = {k: e for k, (a, c) in enumerate(zip(axes, sources)) if a.growth and (e := a.ends(c[0])) is not None}
+    found = rows.agg(*(x for pair in ends.values() for x in pair)).first() if ends else ()
+    reached = {k: found[2 * n : 2 * n + 2] for n, k in enumerate(ends)}
+    return [a.grown_to(*reached[k]) if k in reached else a.grown(rows, c[0], order) if a.growth else a for k, (a, c) in enumerate(zip(axes, sources))]
+
+
 def axis_from_json(d: dict) -> Axis:
     kind = {"regular": Regular, "variable": Variable, "integer": Integer, "category": Category, "boolean": Boolean}[d["kind"]]
     d = {k: v for k, v in d.items() if k != "kind"}

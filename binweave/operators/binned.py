@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import limbs
 from ..plans.fill import as_column, axis_columns, dictionary, fill_cells, keys
 from .accumulator import ROWS, Accumulator, BigCount, Count, Fraction, LargeCount, Mean, WeightedMean, WeightedSum, bound, exact_sums, is_whole, whole_for
-from .axis import FEW, Axis, Category, Integer, Regular
+from .axis import FEW, Axis, Category, Integer, Regular, grown_axes
 from .reduce import Command, normalised, plan
 
 MAX_RANK = 32
@@ -102,7 +102,7 @@ class Binned:
         """
         order = None if order_by is None else as_column(order_by)
         sources = axis_columns(self.axes, list(columns))
-        axes = [a.grown(df, c[0], order) if a.growth else a for a, c in zip(self.axes, sources)]
+        axes = grown_axes(self.axes, df, sources, order)
         acc = self.accumulator
         if isinstance(acc, Count) and weight is not None:
             acc = Count(real=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.fill import as_column, axis_columns, binned, keys
-from .axis import Axis
+from .axis import Axis, grown_axes
 from .binned import Binned
 from .reduce import Command, normalised, plan
 
@@ -38,7 +38,7 @@ class Collected:
         """Rows with a NULL sample are left out."""
         x = as_column(sample).cast("double")
         o = x if order_by is None else as_column(order_by).cast("double")
-        axes = [a.grown(df, c[0], None if order_by is None else as_column(order_by)) if a.growth else a for a, c in zip(self.axes, axis_columns(self.axes, list(columns)))]
+        axes = grown_axes(self.axes, df, axis_columns(self.axes, list(columns)), None if order_by is None else as_column(order_by))
         rows = binned(df, axes, list(columns), _s0=x, _o=o).select(*self.keys, F.col("_o").alias("o"), F.col("_s0").alias("x"))
         new = Collected(*axes, size=self.size)
         if self._cells is None:

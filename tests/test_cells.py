@@ -162,3 +162,24 @@ def test_registered_queries_agree_with_sql(spark):
     con = database(FOLDER)
     for name in NAMES:
         assert difference(spark, con, FOLDER, QUERIES[name], SQL[name]) is None, name
+
+
+def test_growing_axes_share_a_reading(spark):
+    rows = spark.createDataFrame([(-3, 7.5, "b"), (4, -0.5, "a"), (None, float("nan"), None)], "i int, x double, c string")
+    grow = {"growth"}
+    h = Binned(integer(0, 1, options=grow), regular(2, 0, 1, options=grow), integer(0, 0, options=grow, floating=True), category([], options=grow)).fill(rows, "i", "x", "x", "c")
+    assert (h.axes[0].start, h.axes[0].stop_) == (-3, 5) and (h.axes[1].low, h.axes[1].size) == (-1, 17) and (h.axes[2].start, h.axes[2].stop_) == (-1, 8)
+    assert h.axes[3].values == ("a", "b") and h.sum()["value"] == 2
+    seen = []
+    counted = type(rows).agg
+
+    def agg(self, *a):
+        seen.append(len(a))
+        return counted(self, *a)
+
+    type(rows).agg = agg
+    try:
+        Binned(integer(0, 1, options=grow), regular(2, 0, 1, options=grow)).fill(rows, "i", "x")
+    finally:
+        type(rows).agg = counted
+    assert seen == [4]
