@@ -51,7 +51,7 @@ def kd_tree(rows: DataFrame, weight: str, dims: list[str], leaves: int, slack: f
     open_nodes = {1: leaves}
     rows = rows.select(F.col(weight).alias("_w"), *dims, F.lit(1).cast("long").alias("_node"))
     span: list[int] = []
-    near = 0.0
+    near: float | None = None
     while open_nodes := {k: m for k, m in open_nodes.items() if m > 1}:
         ends = [f(F.shiftright(F.col(d), 36)).alias(f"_{i}{f.__name__}") for i, d in enumerate(dims) for f in (F.min, F.max)]
         stats = {r["_node"]: r for r in rows.groupBy("_node").agg(F.sum("_w").alias("_total"), *ends).collect() if r["_node"] in open_nodes}
@@ -61,7 +61,7 @@ def kd_tree(rows: DataFrame, weight: str, dims: list[str], leaves: int, slack: f
         goal = {n: r["_total"] * (open_nodes[n] // 2) / open_nodes[n] for n, r in stats.items()}
         if not chosen:
             break
-        near = near or slack * stats[1]["_total"] / leaves
+        near = slack * stats[1]["_total"] / leaves if near is None else near
         # the row key that each open node is split by; done and empty nodes drop out
         keyed = _look_up(rows, {n: (i,) for n, i in chosen.items()}, "_dim int").select("_node", "_w", _dim(F.col("_dim"), dims).alias("_key"))
         found = {n: (0, 0, 0) for n in chosen}  # high bits so far, weight before them and at them

@@ -229,3 +229,40 @@ def test_long_runs_of_digits(spark):
         text = "".join(rng.choice("12.05 a") for _ in range(rng.randint(0, 40)))
         want = [("ip", m.start(), m.end()) for m in plain.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
         assert [s for s in base_spans(text) if s[0] == "ip"] == want
+
+
+def tree_by_hand(rows, leaves):
+    """(node, dim, cut) of every split: keys sorted, weights added up."""
+    out, spans = [], None
+    todo = [(1, leaves, rows)]
+    while todo:
+        node, m, own = todo.pop(0)
+        if m < 2 or not own:
+            continue
+        widths = [(max(r[1 + d] >> 36 for r in own) - min(r[1 + d] >> 36 for r in own)) for d in range(len(own[0]) - 1)]
+        spans = spans or [max(1, w) for w in widths]
+        dim = max(range(len(widths)), key=lambda d: (widths[d] / spans[d], -d))
+        goal, upto, cut = sum(r[0] for r in own) * (m // 2) / m, 0, None
+        for key in sorted({r[1 + dim] for r in own}):
+            here = sum(r[0] for r in own if r[1 + dim] == key)
+            if upto + here >= goal:
+                cut = key + (upto + here - goal <= goal - upto)
+                break
+            upto += here
+        out.append((node, dim, cut))
+        todo += [(2 * node, m // 2, [r for r in own if r[1 + dim] < cut]), (2 * node + 1, m - m // 2, [r for r in own if r[1 + dim] >= cut])]
+    return sorted(out)
+
+
+def test_medians_by_hand(spark):
+    """Exact weighted medians along the dimension that is widest for its whole span."""
+    from binweave.llm.sharding import kd_tree
+
+    rng = random.Random(10)
+    for leaves, kinds in ((8, 1 << 62), (5, 40), (6, 3)):
+        low = [rng.randrange(1 << 62) for _ in range(kinds)] if kinds < 100 else None
+        draw = lambda: rng.choice(low) if low else rng.randrange(1 << 62)
+        rows = [(rng.choice([1, 5, 400]), draw(), (draw() >> 3) if rng.random() < 0.8 else draw()) for _ in range(700)]
+        df = spark.createDataFrame(rows, "w long, k0 long, k1 long").repartition(3)
+        got = sorted((s.node, s.dim, s.cut) for s in kd_tree(df, "w", ["k0", "k1"], leaves))
+        assert got == tree_by_hand(rows, leaves)

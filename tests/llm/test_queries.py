@@ -1,9 +1,10 @@
 """The registered queries on the smallest tables against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -112,6 +113,76 @@ def test_pipeline(spark, docs):
     assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} <= set(out[0].asDict())
 
 
+def terms(text):
+    """Lower-cased words without up to three ASCII marks at either end."""
+    out = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)})):
+        mark = lambda c: "!" <= c <= "~" and not c.isalnum()
+        for _ in range(3):
+            w = w[:-1] if len(w) > 1 and mark(w[-1]) else w
+            w = w[1:] if len(w) > 1 and mark(w[0]) else w
+        out.append(w)
+    return out
+
+
+def contaminated(texts, items):
+    """Whether some passage scores half of what an item does against itself, and holds enough of its shingles, question and answer."""
+    words = [terms(t) for t in items]
+    n, df, mean = len(items), Counter(w for t in words for w in set(t)), max(1.0, sum(map(len, words)) / len(items))
+    weights = []
+    for t in words:
+        own = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w, c in Counter(t).items()}
+        weights.append({w: x / sum(own.values()) for w, x in own.items()})
+    grams = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    share = lambda part, whole: sum(x in whole for x in part) / len(part) if part else 1.0
+    size, out = max(128, 2 * max(map(len, words))), []
+    for text in texts:
+        t, hit = terms(text), False
+        for at in range(0, max(1, len(t) - size // 2), size // 2):
+            part = t[at : at + size]
+            here = set(part)
+            for own, w in zip(words, weights):
+                if own and sum(x for k, x in w.items() if k in here) >= 0.5:
+                    cut, k = max(1, len(own) - max(1, len(own) // 4)), min(5, len(own))
+                    hit |= share(grams(own, k), grams(part, k)) >= 0.5 and share(set(own[:cut]), here) >= 0.6 and share(set(own[cut:]), here) >= 0.5
+        out.append(hit)
+    return out
+
+
+def test_pipeline_by_hand(spark, docs):
+    """Near duplicates by all pairs, leaks by scoring every item, and targets, each over what the stages before have kept."""
+    import corpus_pipeline
+
+    keep = {i for i, r in rows(spark, "op6_kneser_ney_quality").items() if r["keep"]}
+    after = [d for d in docs if d[0] in keep]
+    alone = {i for i, _, _, kept in components([d[:2] for d in after], 5, 80) if kept}
+    after = [d for d in after if d[0] in alone]
+    items = [r["text"] for r in read(spark, FOLDER, "benchmark").collect()]
+    clean = [d for d, hit in zip(after, contaminated([d[1] for d in after], items)) if not hit]
+    assert 0 < len(clean) < len(after) < len(keep) < len(docs)
+    out = corpus_pipeline.run(spark, FOLDER).collect()
+    of, texts = {d[0]: d[3] for d in clean}, {d[0]: d[1] for d in clean}
+    assert {r["doc_id"] for r in out} <= set(of) and all(r["text"] == texts[r["doc_id"]] and r["source"] == of[r["doc_id"]] for r in out)
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
+    total, taken, largest = Counter(), Counter(), Counter()
+    for i, s in of.items():
+        total[s] += words[i]
+        largest[s] = max(largest[s], words[i])
+    for r in out:
+        taken[r["source"]] += words[r["doc_id"]]
+    names = sorted(total)
+    for s, t in zip(names, mixing.targets([total[s] for s in names], mixing.rotating_weights(names), 3)):
+        assert abs(taken[s] - t) <= largest[s] + 1  # whole documents only
+    copies = Counter(r["doc_id"] for r in out)
+    assert max(copies.values()) <= 3
+    slots, sizes = defaultdict(list), Counter()
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += len(r["text"].encode()) + 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) == set(range(8))
+    assert max(sizes.values()) - min(sizes.values()) <= 3 * max(len(t.encode()) + 1 for t in texts.values())
+
+
 def test_stages_on_awkward_rows(spark):
     """Nulls in all columns, empty and repeated rows, no rows."""
     import corpus_pipeline
