@@ -81,7 +81,7 @@ def drop_repeated_words(docs: DataFrame, length: int = 13, k: int = 5, hot: int
     [start, end) of words; kept has the other words joined by one space.
 
     Edges: null text has no words; texts of fewer words stay whole; rows with equal ids don't count as smaller than one another,
-    and a null id counts as larger than any other; repeats inside one document stay; every input row gives one row.
+    and a null id counts as larger than any other; repeats inside one document stay; texts of any length are read whole; every input row gives one row.
     """
     spec = Windows(length, k, True, hot)
 

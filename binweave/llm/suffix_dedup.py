@@ -4,7 +4,8 @@ Suffixes are taken at anchors (see _windows), range-partitioned by their leading
 Spark samples, and sorted in each bucket by multikey quicksort.  A splitter is a whole k-byte prefix, so
 suffixes that agree in it never lie on both sides of a bucket's boundary; and as every window of `length`
 bytes has its anchor's k bytes, no repeat crosses one.  In suffix order the common prefix with either
-neighbour bounds how far right a window can be shared; windows within that reach are then compared whole.
+neighbour bounds how far right a window can be shared; windows within that reach are brought together by their hashes and
+compared byte by byte.
 """
 
 from __future__ import annotations
@@ -70,13 +71,29 @@ def shared_windows(spec: Windows, matrix: np.ndarray, real: np.ndarray, key: np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, offs, hashes = np.concatenate(rows), np.concatenate(offs), np.concatenate(hashes)
     by = np.lexsort((key[rows], hashes))
-    h, k = hashes[by], key[rows][by]
-    first = np.ones(len(by), bool)
-    first[1:] = h[1:] != h[:-1]
+    of = np.cumsum(np.append(True, hashes[by][1:] != hashes[by][:-1])) - 1
+    of = _told_apart(np.lib.stride_tricks.sliding_window_view(matrix, spec.length, axis=1), rows[by], spec.left - off[rows[by]] + offs[by], of)
+    by = by[np.lexsort((key[rows[by]], of))]
+    of, k = np.sort(of), key[rows[by]]
+    first = np.append(True, of[1:] != of[:-1])
     later = by[k > k[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]]
     return rows[later], offs[later]
 
 
+def _told_apart(windows: np.ndarray, row: np.ndarray, at: np.ndarray, of: np.ndarray, step: int = 100_000) -> np.ndarray:
+    """Group numbers that equal bytes share and others don't, from groups (neighbours here) of equal hashes."""
+    lead = np.maximum.accumulate(np.where(np.append(True, of[1:] != of[:-1]), np.arange(len(of)), 0))
+    same = np.concatenate([(windows[row[i : i + step], at[i : i + step]] == windows[row[lead[i : i + step]], at[lead[i : i + step]]]).all(1) for i in range(0, len(of), step)])
+    if same.all():
+        return of
+    mixed = np.flatnonzero(np.isin(of, of[~same]))
+    texts = np.ascontiguousarray(windows[row[mixed], at[mixed]])
+    number = np.unique(texts.view(np.dtype((np.void, texts.shape[1] * texts.itemsize))).ravel(), return_inverse=True)[1]
+    out = of.copy()
+    out[mixed] = of.max() + 1 + number
+    return out
+
+
 def _compare_bucket(spec: Windows, groups: int):
     def compare(part: pa.Table):
         key, off, count = (part.column(c).to_numpy() for c in ("key", "off", "count"))
@@ -92,7 +109,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 50, k: int = 20, hot: int
     spans are the maximal removed runs [start, end) of UTF-8 bytes, kept is the rest (binary: a cut can fall inside a character).
 
     Edges: null text counts as empty; texts shorter than `length` stay whole; rows with equal ids don't count as smaller
-    than one another, and a null id counts as larger than any other; repeats inside one document stay; every input row gives one row.
+    than one another, and a null id counts as larger than any other; repeats inside one document stay; texts of any length are read whole; every input row gives one row.
     """
     spec = Windows(length, k, False, hot)
 

@@ -110,3 +110,25 @@ def test_multikey_quicksort():
     order = multikey_quicksort(keys)
     assert sorted(order) == list(range(5000))
     assert (keys[order] == np.array(sorted(map(tuple, keys)))).all()
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    """With two bits of hash left, bytes alone decide which windows are equal."""
+    import numpy as np
+
+    from binweave.llm import suffix_dedup
+
+    rng = np.random.default_rng(4)
+    spec = Windows(6, 2, False)
+    matrix = rng.integers(0, 2, (400, spec.width)).astype(np.uint8)
+    key, off, count = rng.integers(0, 90, 400), np.full(400, 3), np.ones(400, np.int64)
+    start = spec.left - 3
+    least = {}
+    for r in range(400):
+        w = matrix[r, start : start + 6].tobytes()
+        least[w] = min(least.get(w, 99), key[r])
+    want = {r for r in range(400) if least[matrix[r, start : start + 6].tobytes()] < key[r]}
+    for bits in (2, 64):
+        monkeypatch.setattr(suffix_dedup, "mix64", lambda x: x & np.uint64((1 << bits) - 1))
+        rows, at = suffix_dedup.shared_windows(spec, matrix, np.ones_like(matrix, bool), key, off, count)
+        assert set(rows.tolist()) == want and len(rows) == len(want) and set(at.tolist()) == {0}
