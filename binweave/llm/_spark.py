@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +34,10 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     with freeing(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+        out = df.select("*").checkpoint(eager=True)
+    gc.collect()  # plans before the cut, which the driver's JVM keeps as long as Python has names for them
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
