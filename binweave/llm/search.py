@@ -10,6 +10,7 @@ are scored exactly, and the tasks' lists are merged by rank.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -79,56 +80,64 @@ def _frequencies(held):
     return run
 
 
-def shard_top(arrays: list, terms: np.ndarray, idf: np.ndarray, mean: float, k: int, best: list[tuple[float, int]]) -> None:
-    """Put a shard's documents for a query of distinct terms into `best`, a heap of the k best (score, -id) so far.
+def shard_top(arrays: list, terms: np.ndarray, idf: np.ndarray, mean: float, k: int, best: list[tuple[float, int]]) -> int:
+    """Put a shard's documents for a query of distinct terms into `best`, a heap of the k best (score, -id) so far; the number of blocks scored.
 
-    Block-max WAND over blocks of documents: terms are ordered by the most they can add, and before the pivot are those that
-    together can't reach the k-th score, so blocks without a term from the pivot on are never looked at.  The others are bounded by
-    their terms' block maxima and scored from the highest bound on, until that is below the k-th score, which rises meanwhile.
+    Block-max WAND over blocks of documents: every term's list of blocks has a cursor.  With the terms in the order of their cursors, the pivot
+    is the first block at which the most that the terms so far can add reaches the k-th score; terms before it skip to it, as no block in between can
+    hold one of the k best.  Once all have come to the pivot, its block maxima decide whether its documents are scored, and the cursors there
+    move on.  The pivot moves faster as the k-th score rises.
     """
     ids, length, known, first, doc, tf, block_first, block, most, least = arrays
     if not len(known) or not len(terms):
-        return
+        return 0
     at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
     has = known[at] == terms
     at, idf = at[has], idf[has]
-    if not len(at):
-        return
-    blocks = [block[block_first[a] : block_first[a + 1]].astype(np.int64) for a in at]
-    bounds = []
+    blocks, bounds, lists = [], [], []
     for a, w in zip(at, idf):
         m, n = most[block_first[a] : block_first[a + 1]], least[block_first[a] : block_first[a + 1]]
-        bounds.append(w * m * (K1 + 1) / (m + K1 * (1 - B + B * n / mean)))
+        blocks.append(block[block_first[a] : block_first[a + 1]].tolist())
+        bounds.append((w * m * (K1 + 1) / (m + K1 * (1 - B + B * n / mean))).tolist())
+        lists.append((doc[first[a] : first[a + 1]], tf[first[a] : first[a + 1]], w))
     reach = lambda bound: (bound * (1 + 1e-9) >= best[0][0]) if len(best) == k else (bound > 0)
-    top = np.array([x.max() for x in bounds])
-    order = np.argsort(top, kind="stable")
-    pivot = np.flatnonzero(reach(np.cumsum(top[order])))
-    if not len(pivot):
-        return
-    from_pivot, before = order[pivot[0] :], order[: pivot[0]]
-    seen, slot = np.unique(np.concatenate([blocks[t] for t in from_pivot]), return_inverse=True)
-    total = np.bincount(slot, np.concatenate([bounds[t] for t in from_pivot]))
-    for t in before:
-        x = np.minimum(np.searchsorted(blocks[t], seen), len(blocks[t]) - 1)
-        total += np.where(blocks[t][x] == seen, bounds[t][x], 0.0)
-    lists = [(doc[first[a] : first[a + 1]], tf[first[a] : first[a + 1]], w) for a, w in zip(at, idf)]
-    for i in np.argsort(-total, kind="stable"):
-        if not reach(total[i]):
-            break
-        lo, hi = seen[i] * BLOCK, (seen[i] + 1) * BLOCK
-        scores, found = np.zeros(BLOCK), np.zeros(BLOCK, bool)
-        for d, f, w in lists:
-            x, y = np.searchsorted(d, lo), np.searchsorted(d, hi)
-            if x < y:
-                own, freq = d[x:y].astype(np.int64), f[x:y]
-                scores[own - lo] += w * freq * (K1 + 1) / (freq + K1 * (1 - B + B * length[own] / mean))
-                found[own - lo] = True
-        for j in np.flatnonzero(found):
-            entry = (float(scores[j]), -int(ids[lo + j]))
-            if len(best) < k:
-                heapq.heappush(best, entry)
-            elif entry > best[0]:
-                heapq.heapreplace(best, entry)
+    top, cursor, now, scored = [max(x) for x in bounds], [0] * len(at), [x[0] for x in blocks], 0
+    end = len(ids) // BLOCK + 1  # where the cursors of lists that have ended stand
+    while True:
+        pivot, upper = end, 0.0
+        for t in sorted(range(len(at)), key=now.__getitem__):
+            upper += top[t]
+            if reach(upper):
+                pivot = now[t]
+                break
+        if pivot == end:
+            return scored
+        goal = pivot
+        if min(now) == pivot:
+            goal, here = pivot + 1, [t for t, x in enumerate(now) if x == pivot]
+            if reach(sum(bounds[t][cursor[t]] for t in here)):
+                _score_block(pivot * BLOCK, [lists[t] for t in here], ids, length, mean, k, best)
+                scored += 1
+        for t, x in enumerate(now):
+            if x < goal:
+                cursor[t] = bisect_left(blocks[t], goal, cursor[t])
+                now[t] = blocks[t][cursor[t]] if cursor[t] < len(blocks[t]) else end
+
+
+def _score_block(lo: int, lists: list[tuple], ids: np.ndarray, length: np.ndarray, mean: float, k: int, best: list[tuple[float, int]]) -> None:
+    """The documents from number `lo` on that hold one of the lists' terms, with their exact scores."""
+    scores, found = np.zeros(BLOCK), np.zeros(BLOCK, bool)
+    for d, f, w in lists:
+        x, y = np.searchsorted(d, np.array([lo, lo + BLOCK], d.dtype))
+        own, freq = d[x:y].astype(np.int64), f[x:y]
+        scores[own - lo] += w * freq * (K1 + 1) / (freq + K1 * (1 - B + B * length[own] / mean))
+        found[own - lo] = True
+    for j in np.flatnonzero(found):
+        entry = (float(scores[j]), -int(ids[lo + j]))
+        if len(best) < k:
+            heapq.heappush(best, entry)
+        elif entry > best[0]:
+            heapq.heapreplace(best, entry)
 
 
 def _top(held, k: int):

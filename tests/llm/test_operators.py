@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binweave.llm import decontamination, mixing, packing, pii, quality, search, sharding
+from binweave.llm._text import unpack
 
 TYPES = "doc_id long, text string, lang string, source string"
 
@@ -165,6 +166,32 @@ def test_packing_round_trip(spark, tmp_path):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_moving_pivot_finds_the_best_and_skips_blocks(seed):
+    r = np.random.default_rng(seed)
+    n, k = 64 * 40 + 7, 5
+    texts = [np.sort((r.zipf(1.3, r.integers(0, 60)) % 400).astype(np.uint64)) for _ in range(n)]
+    ids = r.permutation(n).astype(np.int64)
+    arrays = unpack(search._build(ids, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
+    mean, scored, full = float(np.mean([len(t) for t in texts])), 0, 0
+    for _ in range(8):
+        terms = np.unique((r.zipf(1.2, 8) % 420).astype(np.uint64))
+        df = np.array([sum(t in x for x in texts) for t in terms])
+        terms, df = terms[df > 0], df[df > 0]
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        want = []
+        for i, x in zip(ids.tolist(), texts):
+            tf = np.array([(x == t).sum() for t in terms])
+            score = float((idf * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * len(x) / mean))).sum())
+            want.append((round(-score, 9), i))
+        best = []
+        scored += search.shard_top(arrays, terms, idf, mean, k, best)
+        full += len(np.unique(np.concatenate([np.flatnonzero([t in x for x in texts]) // search.BLOCK for t in terms])))
+        assert sorted((round(-s, 9), -i) for s, i in best) == sorted(w for w in want if w[0] < 0)[:k]
+    assert scored < full
+
+
+
 def test_search_against_all_scores(spark):
     rows = documents(n=400)
     docs = spark.createDataFrame(rows, TYPES).repartition(3)
