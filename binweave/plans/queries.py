@@ -318,6 +318,23 @@ def intervals_of(spark, d, method, z, digits=9):
     return cells.select("i0", F.round(low, digits).alias("lower"), F.round(high, digits).alias("upper"))
 
 
+def wilson_sql(z: float, name: str) -> str:
+    half, n = f"{z * z / 2!r}::DOUBLE", "(s + f)::DOUBLE"
+    a, b = f"(s + {half}) / ({n} + 2 * {half})", f"{z!r}::DOUBLE / ({n} + 2 * {half}) * sqrt(s * f / {n} + {half} / 2)"
+    return f"round({a} - {b}, 9) AS lower_{name}, round({a} + {b}, 9) AS upper_{name}"
+
+
+@query(f"SELECT i0, {wilson_sql(1.959963984540054, 'level')}, {wilson_sql(1.5, 'back')}, 0.866385597::DOUBLE AS level FROM ({COUNTS})")
+def fraction_levels(spark, d):
+    """Intervals for a confidence level, and for a deviation that went through its level and back."""
+    level = intervals.confidence_level(1.5)
+    cells = fraction_of(spark, d).cells
+    for name, z in (("level", intervals.deviation(0.95)), ("back", intervals.deviation(level))):
+        low, high = intervals.wilson(F.col("successes"), F.col("failures"), z)
+        cells = cells.withColumns({f"lower_{name}": F.round(low, 9), f"upper_{name}": F.round(high, 9)})
+    return cells.drop("successes", "failures").withColumn("level", F.lit(round(level, 9)))
+
+
 @query(f"WITH c AS ({COUNTS}) SELECT i0, round(s / n - b, 9) AS lower, round(s / n + b, 9) AS upper FROM (SELECT i0, s, (s + f)::DOUBLE AS n, 2.0::DOUBLE / (s + f) * sqrt(s * f / (s + f)::DOUBLE) AS b FROM c)")
 def fraction_wald(spark, d):
     return intervals_of(spark, d, intervals.wald, 2.0)
@@ -538,6 +555,34 @@ def reduce_shrink_rebin(spark, d):
     return hist2(spark, d).reduce(R.shrink_and_rebin(0, 26000, 78000, 2)).table()
 
 
+@query(regrouped("CASE WHEN i0 < 2 THEN -1 WHEN i0 >= 6 THEN 2 ELSE floor((i0 - 2) / 2.0) END", "CASE WHEN i1 < 0 THEN -1 WHEN i1 >= 4 THEN 2 ELSE floor(i1 / 2.0) END"))
+def reduce_fused(spark, d):
+    """A range and a rebin of one axis, given apart and in any order, are one command."""
+    return hist2(spark, d).reduce(R.rebin(0, 2), R.rebin(1, 2), R.shrink(0, 26000, 78000)).table()
+
+
+@query(f"SELECT i0, value, 'quantity' AS axis, 'day' AS other FROM ({dense(f'SELECT {QTY5} AS i0 FROM lineitem', -1, 6)})")
+def metadata_kept(spark, d):
+    """What the caller notes about an axis stays with it through reductions, projections and the stored form."""
+    from ..sources.store import binned_from, describe
+
+    h = Binned(regular(8, 0, 104000, {"unit": "day"}), regular(5, 0, 50, "quantity")).fill(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    h = h.reduce(R.rebin(0, 2))
+    h = binned_from(describe(h), h.cells)
+    other = h.axis(0).metadata["unit"]
+    out = h.project(1)
+    return out.table(dense=True).withColumns({"axis": F.lit(out.axis(0).metadata), "other": F.lit(other)})
+
+
+@query(f"SELECT * FROM ({dense(f'SELECT {PRICE8} AS i0 FROM lineitem', 0, 8)})")
+def hist_by_bins(spark, d):
+    """The bins that an axis is walked through say which rows a fill has put into them."""
+    price, bins = F.col("l_extendedprice"), list(price8())
+    counts = [F.count_if((price >= b.lower) & (price < b.upper)).alias(str(i)) for i, b in enumerate(bins)]
+    found = table(spark, d, "lineitem").agg(F.array(*counts).alias("found"))
+    return found.select(F.posexplode("found").alias("i0", "value"))
+
+
 @query(f"SELECT CAST(CASE WHEN i0 = 1 THEN 0 ELSE 1 END AS INTEGER) AS i0, CAST(sum(value) AS BIGINT) AS value FROM ({cells_sql(FLAG)}) GROUP BY 1")
 def reduce_cat(spark, d):
     return Binned(category("ANR")).fill(table(spark, d, "lineitem"), "l_returnflag").reduce(R.slice_(1, 2)).table()
