@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from binweave.llm import quality
 from tests.llm.test_operators import TYPES, plain_kneser_ney
 
@@ -31,6 +32,13 @@ def test_all_labelled_documents_are_read(labelled):
     assert out.where("keep and doc_id < 2300").count() == N and out.where("keep").count() == N
 
 
+def test_all_labelled_documents_are_read_in_the_pipeline(spark, labelled, monkeypatch):
+    docs, labels, seen = labelled
+    monkeypatch.setattr(corpus_pipeline, "read", lambda spark, folder, table: labels)
+    assert corpus_pipeline.quality(spark, docs, "").count() == N
+    assert seen == {"taught": N, "marked": 2 * N}
+
+
 def test_scores_by_bucket_against_the_formulas(spark):
     """The whole text's model and its halves', dealt to buckets and asked in rounds."""
     r = random.Random(8)
