@@ -598,9 +598,9 @@ def classify(
     """All columns of `docs`, then n_words, perplexity, lowest, highest, n_markers and keep.
 
     `labels` has (doc_id, quality, toxic).  All documents labelled good train the model and set the languages' quantiles, each
-    judged by the half of them that it isn't in; they and all labelled toxic give the markers.  Rows are taught as often as they
-    stand.  A caller may teach `max_train` documents only (those with the smallest hash of their id); the others labelled good
-    are then judged by the whole model.
+    judged by the half of them that it isn't in.  All documents labelled toxic, against all labelled otherwise (good or not), give
+    the markers.  Rows are taught as often as they stand.  A caller may teach `max_train` documents only (those with the smallest
+    hash of their id); the others labelled good are then judged by the whole model.
     Perplexities are drawn towards the language's mean by `prior` words, so a few odd words don't reject a short text; the
     quantiles `low` and `high` are widened by `slack` (0 for `low`: no lower bound; repetition is improbable by itself).
 
@@ -612,9 +612,10 @@ def classify(
     spark = docs.sparkSession
     small_batches(spark, 2000)
     kept = [c for c in docs.columns if c.lower() not in new]
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    known = known.withColumn("good", F.coalesce((F.col("q") == 1) & (F.col("toxic") == 0), F.lit(False)).cast("int")).where("good = 1 or toxic = 1")
-    known = known.select("_id", "good", "toxic", F.col("good").alias("taught"))
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    toxic = F.coalesce("t", F.lit(0))
+    known = known.withColumn("good", F.coalesce((F.col("q") == 1) & (toxic == 0), F.lit(False)).cast("int")).where("good = 1 or t in (0, 1)")
+    known = known.select("_id", "good", toxic.alias("toxic"), F.col("good").alias("taught"))
     if max_train is not None:
         chosen = known.where("good = 1").orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(max_train).select("_id", F.lit(1).alias("one"))
         known = known.join(chosen, "_id", "left").select("_id", "good", "toxic", F.coalesce("one", F.lit(0)).alias("taught"))

@@ -64,3 +64,25 @@ def test_quantiles_are_exact(spark):
     for lang in ("en", "de", None, ...):
         mine = sorted(p for k, p in rows if lang is ... or k == lang)
         assert out[lang] == [mine[int(np.ceil(q * len(mine))) - 1] for q in (0.01, 0.999)]
+
+
+@pytest.fixture
+def shared_word(spark):
+    """A word of all toxic documents and of as many that are neither good nor toxic; one unlabelled document has it, one the toxic word too."""
+    text = "plain words of text " * 5
+    rows = [(i, f"{text}{i % 30}", "en", "a") for i in range(300)] + [(i, f"{text}{i} scum notice", "en", "a") for i in range(300, 320)]
+    rows += [(i, f"{text}{i} notice", "en", "a") for i in range(320, 340)] + [(340, f"{text}notice", "en", "a"), (341, f"{text}scum", "en", "a")]
+    labels = [(i, int(i < 300), int(300 <= i < 320)) for i in range(340)] + [(342, 0, None)]
+    return spark.createDataFrame(rows, TYPES), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_markers_count_labelled_documents_that_are_neither_good_nor_toxic(shared_word):
+    out = {x["doc_id"]: x["n_markers"] for x in quality.classify(*shared_word).collect()}
+    assert out[340] == 0 and out[341] == 1 and out[300] == 1 and not any(out[i] for i in range(320, 340))
+
+
+def test_pipeline_keeps_a_word_that_labels_do_not_tie_to_toxic_text(spark, shared_word, monkeypatch):
+    docs, labels = shared_word
+    monkeypatch.setattr(corpus_pipeline, "read", lambda spark, folder, table: labels)
+    kept = {x["doc_id"] for x in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert 340 in kept and 341 not in kept and not kept & set(range(300, 320))
