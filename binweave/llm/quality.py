@@ -32,16 +32,12 @@ _UNIT = 1 << 24
 #: What a block of a bucket holds: counted trigrams, counted bigrams, documents; from _ASKED on trigrams to look up in model 0, 1, 2.
 _TRIGRAMS, _BIGRAMS, _DOCUMENTS, _ASKED = 0, 1, 2, 3
 _BLOCK = "bucket int, kind int, data binary"
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_SMALL = np.zeros(256, bool)
-_SMALL[97:123] = True
-_SMALL[128:] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_MARK = ~(_UPPER | _SMALL | _DIGIT)
-for _c in b".,;:'\"()-":
-    _MARK[_c] = False
+#: What a byte shows of its word's shape: capitals, lower case, digits, marks.
+_KIND = np.full(256, 8, np.uint8)
+_KIND[65:91] = 1
+_KIND[97:123] = _KIND[128:] = 2
+_KIND[48:58] = 4
+_KIND[[0x20, *range(0x09, 0x0E), *b".,;:'\"()-"]] = 0
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -54,13 +50,13 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
     again[1:] = hashes[1:] == hashes[:-1]
     again[at[:-1][at[1:] > at[:-1]]] = False  # no text goes on from another
     hashes[again] = _AGAIN  # a word said twice running
-    shape = np.zeros(len(starts), np.int64)
-    for bit, kind in enumerate((_UPPER, _SMALL, _DIGIT, _MARK)):
-        total = np.concatenate([[0], np.cumsum(kind[data])])
-        shape += (total[ends] > total[starts]).astype(np.int64) << bit
+    # white space has no kind, so bytes up to the next word's start add nothing
+    kinds = _KIND[data]
+    kinds |= (kinds & 1) << 4  # a capital that isn't the first byte
+    kinds[starts] &= 15
+    shape = np.bitwise_or.reduceat(kinds, starts).astype(np.int64)
     # capitals only at the start are not a mixture
-    inner = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    shape = np.where((shape & 3 == 3) & (inner[ends] == inner[np.minimum(starts + 1, ends)]), shape & ~1, shape)
+    shape = np.where(shape & 19 == 3, shape & ~1, shape) & 15
     return hashes, shape, at
 
 
