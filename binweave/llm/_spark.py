@@ -26,17 +26,22 @@ def freeing(spark: SparkSession) -> Iterator[None]:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir; only a local session (tests) may leave that unset.  Shuffle files before the cut go."""
+    """Cut the lineage through the shared folder in spark.checkpoint.dir; only a local session (tests) may leave that unset.  Shuffle files before the cut go.
+
+    The driver's JVM collects its garbage here as well.  Left alone it widens its heap first, up to all that it may have, and keeps
+    plans, broadcasts and files of former cuts until then.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    gc.collect()  # plans before the cut, which the driver's JVM keeps as long as Python has names for them; it is told of these meanwhile
     with freeing(df.sparkSession):
         out = df.select("*").checkpoint(eager=True)
-    gc.collect()  # plans before the cut, which the driver's JVM keeps as long as Python has names for them
     pa.default_memory_pool().release_unused()
+    context._jvm.System.gc()
     return out
 
 

@@ -115,7 +115,8 @@ def candidates(classes: DataFrame, trees: int, limit: int, depth: int, share: in
         held = _nodes(rows)
         small = held.where(F.col("c") <= limit).select("node", "f").join(slim, "f")
         a, b = (small.select("node", *(F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "low", "high"))) for s in "ab")
-        found = _likely(a.join(b, "node").where(F.col("a_f") < F.col("b_f")), share)
+        # cut at each level: the driver plans and runs the joins of one level at a time
+        found = durable(_likely(a.join(b, "node").where(F.col("a_f") < F.col("b_f")), share))
         pairs = found if pairs is None else pairs.unionByName(found)
         large = held.where(F.col("c") > limit)
         if large.isEmpty():
