@@ -209,10 +209,14 @@ class Binned:
         return self._with(self.axes, self._promoted(acc).cells.where(~where).unionByName(row), acc)
 
     def map_cells(self, **state: Column) -> Binned:
-        """All cells, untouched ones too, with states computed from their old ones."""
+        """All cells, untouched ones too, with states computed from their old ones; counts computed as decimals of more digits than bigint holds become wider."""
         cells, acc = self.dense(), self.accumulator
         if is_whole(acc):
             acc = type(acc)(most=acc.most if isinstance(acc, LargeCount) else None)  # new values, of the same width
+        if acc == Count() and "value" in state:
+            value, kind = state["value"], cells.select(state["value"]).schema[0].dataType
+            if isinstance(kind, T.DecimalType) and kind.precision - kind.scale > 18:
+                acc, state = BigCount(), {"value": F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)) if kind.scale else value}
         return self._with(self.axes, cells.select(*self.keys, *(state.get(c, F.col(c)).cast(t).alias(c) for c, t in acc.state)), acc)
 
     def edges(self, k: int, begin: int | None = None, end: int | None = None) -> DataFrame:

@@ -466,9 +466,9 @@ def count_widened(spark, d):
 
 @query(f"SELECT i0, CAST(CAST(n AS HUGEINT) * 4000000000000000000 AS VARCHAR) AS value FROM ({cells_sql(QTY5, agg='count(*) AS n')})")
 def count_past_bigint(spark, d):
-    """Sums of cells beyond 2**63 without a word from the caller."""
+    """Cells computed in decimals, and sums of them beyond 2**63 without a word from the caller."""
     h = Binned(qty5(), boolean()).fill(table(spark, d, "lineitem"), "l_quantity", F.col("l_orderkey") % 2 == 0)
-    h = h.map_cells(value=F.col("value") * F.lit(10**14))
+    h = h.map_cells(value=F.col("value").cast("decimal(38,0)") * F.lit(10**14))
     out = h.project(0)
     for _ in range(2):
         out = out + out

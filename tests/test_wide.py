@@ -2,8 +2,10 @@
 
 import math
 import random
+from decimal import Decimal
 from fractions import Fraction as Ratio
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from binweave.functions import limbs
 from binweave.operators.accumulator import Count, Mean, Sum, WeightedMean
 from binweave.operators.axis import integer
 from binweave.operators.binned import Binned, profile
+from binweave.plans.queries import QUERIES, SQL
 from binweave.sources.store import load, save
+from tests.compare import difference
 
 
 def exact(h, i):
@@ -108,3 +112,20 @@ def test_grouping_sets_read_once(spark):
 
 def test_count_kinds():
     assert Count(most=5) != Count(most=6) and Count(most=5) == Count(most=5)
+
+
+def test_mapped_counts_past_bigint(spark, tmp_path):
+    """200,000 rows of one quantity: their cells times 10**14 are beyond 2**63 before any sum."""
+    spark.range(200_000).select(F.col("id").alias("l_orderkey"), F.lit(7.0).alias("l_quantity")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), QUERIES["count_past_bigint"], SQL["count_past_bigint"]) is None
+
+
+def test_mapped_counts_are_as_wide_as_their_values(spark):
+    h = Binned(integer(0, 2)).fill(spark.createDataFrame([(0,), (0,), (0,), (1,)], "i int"), "i")
+    wide = F.col("value").cast("decimal(38,0)")
+    assert exact(h.map_cells(value=wide * F.lit(10**18) * F.lit(-7)), 0) == -21 * 10**18
+    assert [exact(h.map_cells(value=wide * F.lit(Decimal("0.5")) * k), 0) for k in (1, -1)] == [1, -1]  # cut towards 0, as bigint is
+    for value in (F.col("value") * 2, F.col("value") / 2, F.col("value").cast("decimal(18,0)"), F.lit(10**14)):
+        assert h.map_cells(value=value).accumulator == Count()
