@@ -445,13 +445,13 @@ def means(n: int) -> Custom:
 class Nested(Accumulator):
     """A binned table in every cell: the first sample's bins in `axis`, each with an inner accumulator's state; a cell holds the bins it has met.
 
-    An inner integer axis that grows does so in each cell by itself: its bins are numbered from the axis' start without end.
+    A cell has to fit one row; more than `most` bins in one are an error, if that is given.  An inner integer axis that grows does so in each cell by itself: its bins are numbered from the axis' start without end.
     """
 
     name = "nested"
     weighted = True
 
-    def __init__(self, axis, inner: Accumulator | None = None, most: int = 100_000):
+    def __init__(self, axis, inner: Accumulator | None = None, most: int | None = None):
         if axis.growth and axis.kind != "integer":
             raise ValueError("inside a cell, only integer axes grow")
         self.axis, self.inner, self.most = axis, inner or Count(), most
@@ -469,6 +469,8 @@ class Nested(Accumulator):
     def _gathered(self, cells: DataFrame, keys: list[str]) -> DataFrame:
         names = [c for c, _ in self.inner.state]
         out = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_bin").alias("bin"), *names))).alias("bins"))  # one per bin
+        if self.most is None:
+            return out
         return out.withColumn("bins", F.when(F.size("bins") > self.most, F.raise_error(F.lit(f"more than {self.most} bins in a cell")).cast(self.state[0][1])).otherwise(F.col("bins")))
 
     def filled(self, rows, keys, weight, samples):
@@ -499,7 +501,7 @@ class Nested(Accumulator):
         return {"bins": F.array().cast(self.state[0][1])}
 
 
-def nested_from(axis: dict, inner: list, most: int) -> Nested:
+def nested_from(axis: dict, inner: list, most: int | None) -> Nested:
     from .axis import axis_from_json
 
     return Nested(axis_from_json(axis), BY_NAME[inner[0]](**inner[1]), most)

@@ -3,12 +3,13 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from binweave.operators import reduce as R
 from binweave.operators.accumulator import Mean, Nested, WeightedSum, maximum, register
-from binweave.operators.axis import Adapted, category, integer, regular, variable
+from binweave.operators.axis import Adapted, boolean, category, integer, regular, variable
 from binweave.operators.binned import Binned
 from binweave.operators.collected import Collected
 from binweave.plans import fill
@@ -183,3 +184,22 @@ def test_growing_axes_share_a_reading(spark):
     finally:
         type(rows).agg = counted
     assert seen == [4]
+
+
+def test_nested_cells_of_many_bins(spark, tmp_path):
+    """More bins in a cell than the limit that there once was, added up, projected and stored; then the query beside its SQL."""
+    from binweave.plans.queries import QUERIES, SQL
+    from tests.compare import difference
+
+    n = 110_000
+    h = Binned(integer(0, 2), boolean(), accumulator=Nested(integer(0, 0, options={"growth"}))).fill(spark.range(n), F.lit(1), F.col("id") % 7 == 0, sample="id")
+    save(h + h, str(tmp_path / "twice"))
+    twice = load(spark, str(tmp_path / "twice")).project(0)
+    assert twice.accumulator == h.accumulator
+    bins = twice.table().select("i0", "count", F.expr("aggregate(bins, 0L, (s, b) -> s + b.value)").alias("rows"), F.expr("bins[0].bin").alias("first"), F.expr("bins[count - 1].bin").alias("last"))
+    assert [tuple(r) for r in bins.collect()] == [(1, n, 2 * n, 0, n - 1)]
+    rows = spark.range(n).select(F.lit(7.0).alias("l_quantity"), F.when(F.col("id") % 3 == 0, "A").otherwise("N").alias("l_returnflag"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_suppkey"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), QUERIES["hist_nested"], SQL["hist_nested"]) is None
