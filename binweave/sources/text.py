@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.binned import Binned
 
 
+def _number(v) -> str:
+    """A whole number with all its digits, a double with at most six."""
+    return f"{v:g}" if isinstance(v, float) else f"{v:d}" if isinstance(v, int) else str(v)
+
+
 def _show(row: dict) -> str:
     if set(row) == {"value"}:
         return f"{row['value']:g}"
@@ -80,7 +85,7 @@ def bars(h: Binned, width: int = 78, ascii_only: bool = False) -> str:
         return f"[{b.lower:6.4g}, {b.upper:6.4g})"
 
     labels, values = [label(r["i0"]) for r in rows], [float(r["value"]) for r in rows]
-    left, shown = max(map(len, labels)), [f"{v:g}" for v in values]
+    left, shown = max(map(len, labels)), [r["digits"] if "digits" in r else _number(r["value"]) for r in rows]
     right = max(map(len, shown))
     room = max(8, width - left - right - 4)
     lo, hi = min(0.0, *values), max(0.0, *values)

@@ -203,3 +203,19 @@ def test_nested_cells_of_many_bins(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert difference(spark, con, str(tmp_path), QUERIES["hist_nested"], SQL["hist_nested"]) is None
+
+
+def test_bars_show_all_digits_of_counts(spark):
+    """Counts of seven, twenty and eighty digits; doubles keep six."""
+    from binweave.operators.accumulator import Count, LargeCount
+    from binweave.sources.text import bars
+
+    rows = spark.range(1_234_567).select(F.when(F.col("id") == 0, "A").otherwise("N").alias("f"))
+    h = Binned(category("AN")).fill(rows, "f")
+    assert [line.split("|")[0] for line in bars(h, ascii_only=True).splitlines()[1:]] == ["A           1 ", "N     1234566 ", "other       0 "]
+    assert bars(h, ascii_only=True).splitlines()[2].count("=") == 78 - 5 - 7 - 4
+    wide = h.map_cells(value=F.col("value").cast("decimal(38,0)") * 10**13)
+    assert bars(wide).splitlines()[2].split()[1] == str(1_234_566 * 10**13)
+    large = wide * wide * wide * wide
+    assert isinstance(large.accumulator, LargeCount) and bars(large).splitlines()[2].split()[1] == str((1_234_566 * 10**13) ** 4)
+    assert (h * 1.0).accumulator == Count(real=True) and bars(h * 1.0).splitlines()[2].split()[1] == "1.23457e+06"
