@@ -15,8 +15,8 @@ def _number(v) -> str:
 
 def _show(row: dict) -> str:
     if set(row) == {"value"}:
-        return f"{row['value']:g}"
-    return "(" + ", ".join(f"{k}={v:g}" if isinstance(v, (int, float)) else f"{k}={v}" for k, v in row.items()) + ")"
+        return _number(row["value"])
+    return "(" + ", ".join(f"{k}={_number(v)}" for k, v in row.items()) + ")"
 
 
 MOST = 100_000

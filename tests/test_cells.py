@@ -219,3 +219,17 @@ def test_bars_show_all_digits_of_counts(spark):
     large = wide * wide * wide * wide
     assert isinstance(large.accumulator, LargeCount) and bars(large).splitlines()[2].split()[1] == str((1_234_566 * 10**13) ** 4)
     assert (h * 1.0).accumulator == Count(real=True) and bars(h * 1.0).splitlines()[2].split()[1] == "1.23457e+06"
+
+
+def test_listed_cells_show_all_digits_of_counts(spark):
+    """Whole numbers of seven digits, alone and beside doubles, which keep six."""
+    from binweave.operators.accumulator import Fraction
+    from binweave.sources.text import table
+
+    rows = spark.range(1_234_567).select(F.when(F.col("id") == 0, "A").otherwise("N").alias("f"), (F.col("id") % 2 == 0).alias("even"))
+    h = Binned(category("AN")).fill(rows, "f")
+    assert table(h).splitlines()[2:-1] == ["  ( 0): 1", "  ( 1): 1234566", "  ( 2): 0"]
+    assert table(h * 1.0).splitlines()[3] == "  ( 1): 1.23457e+06"
+    assert table(h.map_cells(value=F.col("value").cast("decimal(38,0)") * 10**13)).splitlines()[3] == f"  ( 1): {1_234_566 * 10**13}"
+    text = table(Binned(category("AN"), accumulator=Fraction()).fill(rows, "f", sample="even")).splitlines()[3]
+    assert text.startswith("  ( 1): (count=1234566, successes=617283, failures=617283, value=0.5, variance=2.025e-07, ")
