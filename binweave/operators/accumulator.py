@@ -442,6 +442,9 @@ def means(n: int) -> Custom:
     return Custom(state, fill, lambda: [F.sum(c) for c, _ in state], read, samples=n, weighted=True, name="means")
 
 
+RANGE = 12  # bits of the bin numbers that are gathered at a time
+
+
 class Nested(Accumulator):
     """A binned table in every cell: the first sample's bins in `axis`, each with an inner accumulator's state; a cell holds the bins it has met.
 
@@ -468,7 +471,10 @@ class Nested(Accumulator):
 
     def _gathered(self, cells: DataFrame, keys: list[str]) -> DataFrame:
         names = [c for c, _ in self.inner.state]
-        out = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_bin").alias("bin"), *names))).alias("bins"))  # one per bin
+        # in two steps, as a list of lists holds its rows packed: bins are gathered by ranges, which are put together in order
+        parts = cells.groupBy(*keys, F.shiftright("_bin", RANGE).alias("_range")).agg(F.array_sort(F.collect_list(F.struct(F.col("_bin").alias("bin"), *names))).alias("_part"))  # one per bin
+        whole = F.array_sort(F.collect_list(F.struct("_range", "_part")))
+        out = parts.groupBy(*keys).agg(F.flatten(F.transform(whole, lambda p: p["_part"])).alias("bins"))
         if self.most is None:
             return out
         return out.withColumn("bins", F.when(F.size("bins") > self.most, F.raise_error(F.lit(f"more than {self.most} bins in a cell")).cast(self.state[0][1])).otherwise(F.col("bins")))

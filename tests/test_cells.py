@@ -233,3 +233,14 @@ def test_listed_cells_show_all_digits_of_counts(spark):
     assert table(h.map_cells(value=F.col("value").cast("decimal(38,0)") * 10**13)).splitlines()[3] == f"  ( 1): {1_234_566 * 10**13}"
     text = table(Binned(category("AN"), accumulator=Fraction()).fill(rows, "f", sample="even")).splitlines()[3]
     assert text.startswith("  ( 1): (count=1234566, successes=617283, failures=617283, value=0.5, variance=2.025e-07, ")
+
+
+def test_nested_bins_stay_in_order_across_ranges(spark):
+    bins = [-(2**40), -4097, -4096, -1, 0, 4095, 4096, 2**40]
+    rows = spark.createDataFrame([(i, b, float(b)) for b in bins for i in (0, 1, 1)], "i int, b long, x double").repartition(5)
+    for inner, more in ((None, []), (Mean(), ["x"])):
+        h = Binned(integer(0, 2), accumulator=Nested(integer(0, 0, options={"growth"}), inner)).fill(rows, "i", sample=["b", *more])
+        for own, times in ((h, 1), (h + h, 2)):
+            got = own.at(1)["bins"]
+            assert [b["bin"] for b in got] == bins and {b["mean" if inner else "value"] for b in got} == (set(map(float, bins)) if inner else {2 * times})
+    assert h.reset().table().count() == 0 and h.fill(rows.limit(0), "i", sample=["b", "x"]) == h
